@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import exact_dedup, packing, token_store
+from tagloom.llm import exact_dedup, jaccard, packing, token_store
 from tagloom.llm.store import fresh_dir
 
 TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
@@ -21,6 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "tokens")
     manifest = token_store.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("bytes"), folder)
@@ -35,7 +40,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op5_packing, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
