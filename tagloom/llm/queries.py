@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import exact_dedup, jaccard, packing, token_store
+from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, token_store, warc
 from tagloom.llm.store import fresh_dir
 
 TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
@@ -40,9 +40,47 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_read(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    return warc.read(warc.write(_read(spark, sf_dir, "pages"), folder), folder)
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc)}
 
 ORACLE_SQL = {
+    "op8_line_dedup": rf"""
+        with cut as (
+            select page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '') as host,
+                   string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.BLOCKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)) as raw
+            from pages),
+        t as (select page_id, host, list_filter(list_transform(raw, lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') as lines from cut),
+        sites as (select host, count(*) as host_pages from t where host is not null group by host),
+        often as (
+            select host, line from (select host, unnest(list_distinct(lines)) as line from t where host is not null)
+            join sites using (host) group by host, line, host_pages
+            having count(*) > 1 and host_pages >= {line_dedup.MIN_PAGES} and count(*) > host_pages * cast({line_dedup.MAX_RATIO} as double)),
+        known as (select host, list(line) as common from often group by host),
+        met as (
+            select page_id, t.host, host_pages, lines, list_filter(lines, lambda x: common is null or not list_contains(common, x)) as stay
+            from t left join sites on t.host = sites.host left join known on t.host = known.host)
+        select page_id, host, host_pages, len(lines) as n_lines, len(lines) - len(stay) as n_dropped, array_to_string(stay, chr(10)) as text from met
+    """,
+    "op9_warc": r"""
+        with t as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, strlen(html) as payload_bytes, sha1(html) as hex, max(page_id) over (partition by html) as keep from t),
+        b as (select *, list_transform(range(0, 32), lambda i: cast((cast('0x' || substr(hex, cast(i * 5 // 4 as int) + 1, 2) || '00' as integer) >> (11 - cast(i * 5 % 4 as int))) & 31 as int)) as quintets from d)
+        select page_id, payload_bytes, array_to_string(list_transform(quintets, lambda q: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', q + 1, 1)), '') as payload_digest,
+               case when page_id = keep then 'response' else 'revisit' end as record_type, case when page_id <> keep then keep end as refers_to
+        from b
+    """,
     "op6_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
