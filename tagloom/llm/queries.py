@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, token_store, warc
+from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, quality, token_store, toxicity, warc
 from tagloom.llm.store import fresh_dir
 
 TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
@@ -21,6 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -53,7 +58,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_read(spark, sf_dir, "pages"), folder), folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc, op10_toxicity)}
 
 ORACLE_SQL = {
     "op8_line_dedup": rf"""

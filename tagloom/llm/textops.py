@@ -22,6 +22,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _TABLE = _TABLE[_FOLD]
 _TABLE[_SPACE] = 0
+#: Another cut: every ASCII byte that is neither letter nor digit stands between words.
+LETTERS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -65,12 +67,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         i = j
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, bounds): the words of document d are bounds[d] to bounds[d + 1]."""
+    words, bounds, _, _, _ = find_words(data, offsets, between)
+    return words, bounds
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bounds, starts, ends, prefix sums); starts and ends count from the first offset."""
     base = int(offsets[0])
     raw = data[base : int(offsets[-1])]
     cut = offsets - base
-    inside = ~_SPACE[raw]
+    inside = ~between[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -82,8 +90,12 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * _power(_BASE, len(raw)), out=total[1:])
-    words = mix((total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts])
-    return words, np.searchsorted(starts, cut)
+    return hash_span(total, starts, ends), np.searchsorted(starts, cut), starts, ends, total
+
+
+def hash_span(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges from the prefix sums of find_words()."""
+    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(total))[starts])
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
