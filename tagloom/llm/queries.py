@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, quality, token_store, toxicity, warc
+from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, ppm, quality, token_store, toxicity, warc
 from tagloom.llm.store import fresh_dir
 
 TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
@@ -26,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ppm, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc, op10_toxicity)}
 
 ORACLE_SQL = {
     "op8_line_dedup": rf"""

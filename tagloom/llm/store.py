@@ -68,8 +68,30 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tagloom_shipped", None) == sc.applicationId:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tagloom-code-")), "tagloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._tagloom_shipped = sc.applicationId
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches sent to Python, so that long texts don't fill a worker."""
+    """Bound the Arrow batches sent to Python, so that long texts don't fill a worker;
+    and make sure that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
