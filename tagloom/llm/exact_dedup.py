@@ -104,5 +104,5 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **op
     keys = materialise(renamed.select(inner, digest), "digests")
     kept = mark_digests(renamed, digest, id_col=inner, keys=keys, **options).where("kept")
     once = kept.where("group_size = 1").unionByName(kept.where("group_size > 1").dropDuplicates([inner, digest]))
-    return once.withColumnsRenamed(dict(zip(aside, clash, strict=True))).select(*df.columns)
+    return once.drop("keep_id", "group_size", "kept").withColumnsRenamed(dict(zip(aside, clash, strict=True))).select(*df.columns)
 
