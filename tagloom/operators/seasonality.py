@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +32,19 @@ class PeakSpec:
 
 @dataclass
 class Counts:
-    """days(tag, doy, n); months(tag, ym, n); all_months(ym, n); categories(tag, category)."""
+    """days(tag, doy, n); months(tag, ym, n); all_months(ym, n); categories(tag, category).
+
+    All but all_months come from one grouped table, which is kept until close()."""
 
     days: DataFrame
     months: DataFrame
     all_months: DataFrame
     categories: DataFrame
+    kept: DataFrame | None = None
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 #: Of the tables that save_tables and load_tables keep.
@@ -57,7 +65,7 @@ def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
     once = distinct_posts(posts)
     doy = day_of_leap_year(F.col("created_at"))
     rows = once.select(doy.alias("doy"), year_month(F.col("created_at")).alias("ym"), F.explode_outer(by_category()).alias("t"))
-    grouped = rows.where("t is not null").groupBy(F.col("t.tag").alias("tag"), F.col("t.category").alias("category"), "doy", F.when(F.col("doy").isNotNull(), F.col("ym")).alias("ym")).agg(F.count("*").alias("n"))
+    grouped = rows.where("t is not null").groupBy(F.col("t.tag").alias("tag"), F.col("t.category").alias("category"), "doy", F.when(F.col("doy").isNotNull(), F.col("ym")).alias("ym")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     often = grouped.groupBy("tag").agg(F.sum("n").alias("n")).where(F.col("n") >= min_posts).select("tag")
     kept = grouped.join(often, "tag", "left_semi").where("doy is not null")
     place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
@@ -66,6 +74,7 @@ def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
         kept.groupBy("tag", "ym").agg(F.sum("n").alias("n")),
         once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n")),
         kept.groupBy("tag").agg(F.min_by("category", place).alias("category")),
+        grouped,
     )
 
 
