@@ -86,6 +86,11 @@ def visible(tags: DataFrame, text: str = "", category: str | None = None, min_co
     return tags.where(reduce(Column.__and__, tests))
 
 
+def tag_links(tags: DataFrame, base: str) -> DataFrame:
+    """(tag, url): where the posts of a tag can be seen; the tag is percent-encoded."""
+    return tags.select("tag", F.concat(F.lit(f"{base}/posts?tags="), F.url_encode("tag")).alias("url"))
+
+
 def summary(tags: DataFrame, shown: DataFrame) -> DataFrame:
     """One row: total and visible tags, and the category with most visible tags."""
     per = shown.groupBy("category").agg(F.count("*").alias("n"))

@@ -132,6 +132,11 @@ def tag_summary(spark: SparkSession, d: str) -> DataFrame:
     return tags.summary(every, tags.visible(every, min_count=1000))
 
 
+@query("tag_links", "select distinct tag, 'https://posts.example.org/posts?tags=' || url_encode(tag) as url from (select unnest(string_split(tag_string_character, ' ')) as tag from posts) where tag <> ''")
+def tag_links(spark: SparkSession, d: str) -> DataFrame:
+    return tags.tag_links(tags.top_tags(posts(spark, d), "character", 10_000), "https://posts.example.org")
+
+
 @query("joined_tags", f"{OCCURRENCES}, m as ({TAG_MAP} order by count desc, tag limit 12) select string_agg(tag, ', ' order by count desc, tag) as tags from m")
 def joined_tags(spark: SparkSession, d: str) -> DataFrame:
     return sinks.joined_tags(tags.tag_map(posts(spark, d), 12))
