@@ -65,6 +65,10 @@ def _sketch(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
 
 
+def _hits(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+
+
 def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray, int]:
     """(doc_id, n, class, sketch) of every document; the bucket counts; the number of n-grams."""
 
@@ -76,14 +80,18 @@ def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Dat
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, sizes, classes, sketches, pieces, blobs), kinds, strict=True)], ["doc_id", "n", "class", "sketch", "piece", "counts"])
 
         for batch in batches:
-            sizes, classes, sketches = [], [], []
+            sizes, classes, sketches, held, waiting = [], [], [], [], 0
             for grams in _sets(batch, width):
-                counts += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(grams) > BUCKETS // 8 else 0
-                if len(grams) <= BUCKETS // 8:
-                    np.add.at(counts, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                held.append(grams)
+                waiting += len(grams)
+                if waiting > BUCKETS // 2:
+                    counts += _hits(held)
+                    held, waiting = [], 0
                 sizes.append(len(grams))
                 classes.append(_class(grams))
                 sketches.append(_sketch(grams))
+            if held:
+                counts += _hits(held)
             none = [None] * len(sizes)
             yield out(batch.column(0), sizes, classes, sketches, none, none)
         if counts.any():
@@ -175,9 +183,19 @@ def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts,
         rows = rows[fresh]
         token = rows["token"]
         same = token[1:] == token[:-1]
-        keep = split(token) > 1
+        salted = split(token) > 1
+        keep = salted.copy()
         keep[1:] |= same
         keep[:-1] |= same
+        rows, salted = rows[keep], salted[keep]
+        # of the classes that share an n-gram, those whose nearest sizes are too far link by no other either
+        order = np.lexsort((rows["n"], rows["token"]))
+        rows, salted = rows[order], salted[order]
+        n = rows["n"].astype(np.int64)
+        close = (rows["token"][1:] == rows["token"][:-1]) & (num * n[1:] <= den * n[:-1])
+        keep = salted.copy()
+        keep[1:] |= close
+        keep[:-1] |= close
         rows = rows[keep]
         for i in range(0, len(rows), 1 << 16):
             part = rows[i : i + (1 << 16)]
@@ -188,7 +206,8 @@ def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts,
 
 
 def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: DataFrame, counts, cut: np.ndarray) -> DataFrame:
-    """(class, fragment, grams) of the classes whose document's id is in needed (and a few others)."""
+    """(class, fragment, grams) of the classes whose document's id is in needed, and of a few
+    others; a class may come more than once."""
     h = F.xxhash64(F.col(id_col).cast("long"))
     bits = needed.select(F.xxhash64("doc_id").alias("h")).select(F.expr(f"pmod(h, {ID_WORDS})").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     table = np.zeros(ID_WORDS, np.uint64)
@@ -216,8 +235,7 @@ def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: Dat
                 ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], ["class", "fragment", "grams"])
 
-    found = df.select(h.alias("h"), F.col(text_col).cast("string")).mapInArrow(run, "class long, fragment int, grams array<long>")
-    return found.dropDuplicates(["class", "fragment"])
+    return df.select(h.alias("h"), F.col(text_col).cast("string")).mapInArrow(run, "class long, fragment int, grams array<long>")
 
 
 def _possible(n: Column, m: Column, left: Column, num: int, den: int) -> Column:
@@ -288,7 +306,8 @@ def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, num: int,
     of = lambda c: segments.select(F.col("class").alias(c), "fragment", F.col("grams").alias(f"of_{c}"))
     wide = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(f) for f in range(FRAGMENTS)))))
     parts = wide.join(of("b"), ["b", "fragment"]).join(of("a"), ["a", "fragment"])
-    total = parts.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("both"))
+    each = parts.groupBy("a", "b", "fragment").agg(F.max(F.size(F.array_intersect("of_a", "of_b"))).alias("both"))
+    total = each.groupBy("a", "b").agg(F.sum("both").alias("both"))
     n = lambda c: sizes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
     held = total.join(n("a"), "a").join(n("b"), "b")
     return held.where(F.col("both") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -302,10 +321,8 @@ def link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (den - num) // den // 1_000_000))
     classes = materialise(profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     heads = materialise(_heads(df, text_col, width, num, den, counts, parts), "heads")
-    named = heads.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    segments = materialise(_segments(df, id_col, text_col, width, named.select("doc_id"), counts, pivots(counts, FRAGMENTS)), "segments")
     share = heads.groupBy("class").agg((F.count("*") / F.first("n")).alias("share"))
-    links, labels = None, None
+    links, labels, cut = None, None, pivots(counts, FRAGMENTS)
     for turn in range(STAR_ROUNDS + 1):
         rows = heads.withColumn("comp", F.col("class")) if labels is None else heads.join(labels.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         if turn == STAR_ROUNDS:
@@ -314,7 +331,11 @@ def link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
             pairs = _star(rows.join(share, "class"), F.col("share"), num, den)
         else:
             pairs = _star(rows, F.xxhash64("class", F.lit(turn)), num, den)
+        pairs = materialise(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
+        segments = materialise(_segments(df, id_col, text_col, width, asked.select("doc_id"), counts, cut), "segments")
         found = materialise(_verified(pairs, segments, classes, num, den), "found")
+        discard(segments)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
@@ -326,8 +347,7 @@ def link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
         least = at.groupBy("comp").agg(F.min("doc_id").alias("least"))
         named = look_up(at.select("class", "comp"), least, "comp", rows).select("class", F.col("least").alias("doc_id"))
     named = materialise(named.withColumnRenamed("doc_id", "least"), "components")
-    for used in (heads, segments):
-        discard(used)
+    discard(heads)
     full = look_up(profile.where("n > 0").select("doc_id", "n", "class"), named, "class", rows).select("doc_id", "n", F.col("least").alias("component_id"), "class")
     bare = profile.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class"))
     return full.unionByName(bare).withColumnRenamed("n", "n_shingles")

@@ -23,17 +23,34 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: int) -> DataFram
     return done.unionByName(rest)
 
 
+def _bit(column: str, shift: int) -> str:
+    return f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast(`{column}` as bigint)), {shift}) & 63 as int))"
+
+
+def _tested(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """df with a column that is false where the key is certainly not in ids (one column, no
+    nulls). The Bloom filter that is broadcast has at most 2**20 rows of 16 bytes."""
+    word, bits, maybe, other = unused(df, "word", "bits", "maybe", "other")
+    place = f"pmod(xxhash64(cast(`{{}}` as bigint)), {FILTER_WORDS})"
+    both = f"{_bit('{0}', 40)} | {_bit('{0}', 46)}"
+    ids = ids.toDF(other)
+    table = ids.select(F.expr(place.format(other)).alias(word), F.expr(both.format(other)).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    seen = df.withColumn(word, F.expr(place.format(key))).join(F.broadcast(table), word, "left")
+    hit = F.expr(f"`{bits}` & ({both.format(key)})") == F.expr(both.format(key))
+    return seen.withColumn(maybe, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop(word, bits), maybe
+
+
+def possibly_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df without most rows whose key is not in ids, with none taken whose key is; no shuffle."""
+    seen, maybe = _tested(df, key, ids)
+    return seen.where(maybe).drop(maybe)
+
+
 def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is not in gone (one column of ids, materialised). Rows without
-    an id stay. A Bloom filter of at most 2**20 rows of 16 bytes is broadcast; rows that it
-    excludes are not shuffled, and the others are tested exactly."""
-    word, bits, maybe, other = unused(df, "word", "bits", "maybe", "other")
-    h = f"xxhash64(cast({{}} as bigint))"
-    one = lambda x, s: f"shiftleft(1L, cast(shiftrightunsigned({h.format(x)}, {s}) & 63 as int))"
-    ids = gone.toDF(other).where(F.col(other).isNotNull()).distinct()
-    table = ids.select(F.expr(f"pmod({h.format(other)}, {FILTER_WORDS})").alias(word), F.expr(f"{one(other, 40)} | {one(other, 46)}").alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
-    wanted = F.expr(f"{one(f'`{id_col}`', 40)} | {one(f'`{id_col}`', 46)}")
-    seen = df.withColumn(word, F.expr(f"pmod({h.format(f'`{id_col}`')}, {FILTER_WORDS})")).join(F.broadcast(table), word, "left")
-    seen = seen.withColumn(maybe, F.col(id_col).isNotNull() & F.coalesce(F.col(bits).bitwiseAND(wanted) == wanted, F.lit(False)))
-    kept, asked = seen.where(~F.col(maybe)), seen.where(F.col(maybe))
-    return kept.unionByName(asked.join(ids, F.col(id_col) == F.col(other), "left_anti")).select(*df.columns)
+    an id stay. Rows that a Bloom filter excludes are not shuffled; the others are tested exactly."""
+    own, = unused(df, "gone_id")
+    ids = gone.toDF(own).where(F.col(own).isNotNull()).distinct()
+    seen, maybe = _tested(df, id_col, ids)
+    kept, asked = seen.where(~F.col(maybe)).drop(maybe), seen.where(maybe).drop(maybe)
+    return kept.unionByName(asked.join(ids, F.col(id_col) == F.col(own), "left_anti")).select(*df.columns)
