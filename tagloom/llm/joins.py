@@ -40,12 +40,6 @@ def _tested(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, str]:
     return seen.withColumn(maybe, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop(word, bits), maybe
 
 
-def possibly_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df without most rows whose key is not in ids, with none taken whose key is; no shuffle."""
-    seen, maybe = _tested(df, key, ids)
-    return seen.where(maybe).drop(maybe)
-
-
 def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is not in gone (one column of ids, materialised). Rows without
     an id stay. Rows that a Bloom filter excludes are not shuffled; the others are tested exactly."""
