@@ -29,24 +29,53 @@ class _Unsafe(Exception):
     pass
 
 
-class _Memo(dict):
-    def __init__(self, encode, limit: int, strict: bool):
-        super().__init__()
-        self.encode, self.limit, self.strict, self.old = encode, limit, strict, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if self.strict and (not word or word[0].isspace() or word[-1].isspace()):
+class _Memo:
+    """The ids of words, two generations of at most limit words each. Words that are not known
+    are encoded together, with a separator between them whose id no such word contains."""
+
+    def __init__(self, encode, limit: int, before: str, between: str, own: str, strict: bool, bare: _Memo | None = None):
+        self.bare = bare
+        self.encode, self.limit, self.strict = encode, limit, strict
+        self.before, self.between, self.own = before, between, own
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+        self.mark = encode(own)
+
+    def bytes_of(self, words: list[str]) -> bytes:
+        found = list(map(self.young.get, words))
+        if None in found:
+            known = self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+            found = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return b"".join(found)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        if self.strict and any(not w or w[0].isspace() or w[-1].isspace() for w in words):
             raise _Unsafe
-        if len(word) > LONG_WORD:
-            return self.encode(word)
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+        known = {w: self.old[w] for w in words if w in self.old}
+        fresh = [w for w in words if w not in known]
+        alone = [w for w in fresh if len(w) > LONG_WORD or self.own in w]
+        fresh = [w for w in fresh if len(w) <= LONG_WORD and self.own not in w]
+        if fresh and len(self.mark) == 1:
+            ids = self.encode(self.before + self.between.join(fresh))
+            size, blob, ends = ids.itemsize, ids.tobytes(), [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            if len(ends) == len(fresh):
+                begins = [0, *(e + 1 for e in ends[:-1])]
+                known.update((w, blob[a * size : b * size]) for w, a, b in zip(fresh, begins, ends, strict=True))
+                fresh = []
+        known.update((w, self.encode(self.before + w).tobytes()) for w in fresh)
+        if len(self.young) + len(known) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(known)
+        known.update((w, self._long(w)) for w in alone)
+        return known
+
+    def _long(self, word: str) -> bytes:
+        """A word that is not kept: one with single line feeds inside comes from its parts."""
+        parts = word.split("\n")
+        if self.bare is not None and len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            line = self.mark.tobytes()
+            return line.join([self.bytes_of(parts[:1]), *(self.bare.bytes_of([p]) for p in parts[1:])])
+        return self.encode(self.before + word).tobytes()
 
 
 def cutting_rule(spec: dict) -> str | None:
@@ -73,25 +102,26 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             self.rule = cutting_rule(json.load(f))
-        self.spaced = _Memo(lambda w: self.whole(" " + w), memo, True)
-        self.plain = _Memo(self.whole, memo, False)
+        bare = _Memo(self.whole, memo // 8, "", "\n", "\n", True)
+        self.spaced = _Memo(self.whole, memo, " ", "\n ", "\n", True, bare)
+        self.plain = _Memo(self.whole, memo, "", " ~ ", "~", False)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
         if self.rule == "dropped":
-            found = b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
+            found = self.plain.bytes_of(text.replace("\n", " ").split(" "))
         elif self.rule == "spaced":
             words = text.split(" ")
             try:
-                found = self.whole(words[0]) + b"".join(map(self.spaced.__getitem__, words[1:]))
+                found = self.spaced.bare.bytes_of(words[:1]) + self.spaced.bytes_of(words[1:])
             except _Unsafe:
                 words = _INSIDE.split(text)
-                inner = [self.spaced[w] for w in words[1:-1]]
-                found = b"".join([self.whole(words[0]), *inner, *(self.whole(" " + w) for w in words[1:][-1:])])
+                ends = [self.whole(" " * (i > 0) + w).tobytes() for i, w in ((0, words[0]), (1, words[-1]))[: len(words)]]
+                found = ends[0] + self.spaced.bytes_of(words[1:-1]) + b"".join(ends[1:])
         else:
-            found = self.whole(text)
+            return self.whole(text)
         return np.frombuffer(found, self.dtype)
