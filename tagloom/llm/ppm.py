@@ -10,7 +10,7 @@ as a-z) and one end. Two kinds of context predict, the longest first:
   all bytes since then, or the last six to none. In a context with T occurrences of q
   different bytes, a byte seen c times has (c - 1/2) / T and an escape q / 2T (method D). After
   an escape the next shorter context predicts with the bytes of the longer one excluded,
-  and counts every distinct word once, as what follows an escape is new. Below the empty
+  and counts every context one byte longer once, as what follows an escape is new. Below the empty
   context every byte that it has not seen is as likely as another. A word ends with a
   space, a text with a line feed.
 
@@ -20,17 +20,17 @@ and the trie's counts are those of the distinct words weighted by their frequenc
 1. One scan counts the words of all texts (training texts with weight one, others with
    none), summed up for each task and then for each part of the hash range, and how often
    adaptive contexts escape.
-2. Each part adds its words to the counts of (context, byte). The contexts with the
-   largest totals of at least ``MIN_TOTAL`` form the model, as many as fit ``MAX_NODES``
-   contexts and ``MAX_ENTRIES`` bytes in them. A context never counts more than its suffix, so
-   the suffixes of a context that is kept are kept.
-3. Each part scores its distinct words. The most frequent words, at most ``MAX_FREQUENT``,
-   are broadcast with count and code length.
+2. The events of distinct words (a byte and its contexts) are dealt by the last two bytes
+   before them, so a part has every longer context with these bytes and, with the contexts
+   of one byte and none, which are broadcast, the whole chain of escapes. No context is
+   left out. Each part predicts its events and returns the sums to the words.
+3. Each part sums up its distinct words. The most frequent words, at most
+   ``MAX_FREQUENT``, are broadcast with count and code length.
 4. A second scan sums up each text's frequent words and passes its other words, by hash, to
    the parts, which return their sums.
 
-What is gathered grows with the corpus and stays distributed; only the model and the
-frequent words, of bounded size, reach the driver.
+What is gathered grows with the corpus and stays distributed; only the short contexts and
+the frequent words, of bounded size, reach the driver.
 
 Defined cases. Null text is empty: its end only. Null ids are scored and train the model
 (they have no remainder to hold them out). Repeated rows are counted and scored each. Other
@@ -53,11 +53,11 @@ from tagloom.llm.labelled import held_out
 from tagloom.llm.store import discard, materialise, small_batches
 
 FOLDS, ORDER = 10, 6
-MAX_NODES, MAX_ENTRIES, MAX_FREQUENT = 1 << 17, 1 << 20, 1 << 19
+MAX_FREQUENT = 1 << 19
 SMOOTH = 0.1
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
 FLUSH = 400_000
-MIN_TOTAL, WHOLE = 4, 7
+WHOLE = 7
 BLOCK_BITS = 12
 SIZES, FOLLOWERS = 8, 4
 _STEP, _BYTE = np.uint64(8), np.uint64(255)
@@ -249,73 +249,81 @@ def repeats(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place[order[ok]], size * FOLLOWERS + variety, had / times
 
 
-def _trie_counts(vocabulary: DataFrame, parts: int) -> DataFrame:
-    """(key, above, weight, kinds, total, first): how often each byte follows each context, in
-    how many distinct words; key is the context times 256 plus the byte, above the next shorter
-    context, total the context's weight, first marks one row of a context."""
-    kind = np.dtype([("key", "<u8"), ("above", "<u8"), ("weight", "<f8"), ("kinds", "<f8")])
+#: An event: the byte and the six before it (the byte lowest), the context WHOLE or zero, its
+#: weight, and the word that asks for it.
+EVENT = np.dtype([("window", "<u8"), ("whole", "<u8"), ("weight", "<i8"), ("word", "<u8")])
 
-    def joined(held: list[np.ndarray]) -> np.ndarray:
-        every = np.concatenate(held)
-        keys, first, back = np.unique(every["key"], return_index=True, return_inverse=True)
-        out = np.empty(len(keys), kind)
-        out["key"], out["above"] = keys, every["above"][first]
-        for c in ("weight", "kinds"):
-            out[c] = np.bincount(back, weights=every[c], minlength=len(keys))
-        return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def _dealt(rows: np.ndarray, part: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The rows of each part that has any."""
+    order = np.argsort(part, kind="stable")
+    cuts = [c for c in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(c)]
+    return [int(part[c[0]]) for c in cuts], [rows[c].tobytes() for c in cuts]
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            part = (textops.mix(rows["key"] >> _STEP) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            cuts = [c for c in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(c)]
-            return pa.RecordBatch.from_arrays([pa.array([int(part[c[0]]) for c in cuts], pa.int32()), pa.array([rows[c].tobytes() for c in cuts], pa.binary())], ["part", "rows"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                words = Words.of(*row)
-                words = words.pick(np.flatnonzero(words.counts > 0))
-                if not len(words.hashes):
-                    continue
-                padded, places, depth, owner = events(words)
-                weight = words.counts[owner].astype(float)
-                shorter = np.zeros(len(places), np.uint64)
-                for order in range(WHOLE + 1):
-                    ok = _reaches(depth, order)
-                    contexts = _contexts(padded, places[ok], depth[ok], order)
-                    own, first, back = np.unique(contexts << _STEP | padded[places[ok]], return_index=True, return_inverse=True)
-                    rows = np.empty(len(own), kind)
-                    rows["key"], rows["above"] = own, shorter[ok][first]
-                    rows["weight"], rows["kinds"] = np.bincount(back, weights=weight[ok], minlength=len(own)), np.bincount(back, minlength=len(own))
-                    held.append(rows)
-                    shorter[ok] = contexts
-                if sum(map(len, held)) > 3_000_000:
-                    held = [joined(held)]
-                    if len(held[0]) > 1_500_000:
-                        yield out(held[0])
-                        held = []
-        if held:
-            yield out(joined(held))
+def _suffix(window: np.ndarray, parts: int) -> np.ndarray:
+    """The part that has every context of two bytes or more with the same last two bytes."""
+    return (textops.mix(window >> _STEP & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int32)
+
+
+def _word_events(words: Words) -> np.ndarray:
+    """The events of distinct words, where spaces stand before the one before the word."""
+    padded, places, depth, owner = events(words)
+    window = padded[places].astype(np.uint64)
+    for j in range(1, ORDER + 1):
+        before = np.where(j <= depth, padded[places - np.minimum(j, depth)], 32)
+        window |= before.astype(np.uint64) << np.uint64(8 * j)
+    rows = np.zeros(len(places), EVENT)
+    rows["window"], rows["weight"], rows["word"] = window, words.counts[owner], words.hashes[owner]
+    far = np.flatnonzero(_reaches(depth, WHOLE))
+    rows["whole"][far] = _contexts(padded, places[far], depth[far], WHOLE)
+    return rows
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.frombuffer(rows, kind) for batch in batches for rows in batch.column(1).to_pylist()]
-        if not found:
-            return
-        rows = joined(found)
-        contexts = rows["key"] >> _STEP
-        first = np.concatenate(([True], contexts[1:] != contexts[:-1]))
-        node = np.cumsum(first) - 1
-        total = np.bincount(node, weights=rows["weight"])[node]
-        ok = total >= MIN_TOTAL
-        columns = [rows[c].astype(np.int64) for c in ("key", "above", "weight", "kinds")] + [total.astype(np.int64), first]
-        made = pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], ["key", "above", "weight", "kinds", "total", "first"])
-        for i in range(0, made.num_rows, 1 << 17):
-            yield made.slice(i, 1 << 17)
 
-    dealt = vocabulary.mapInArrow(count, "part int, rows binary").repartition(parts, "part")
-    return dealt.mapInArrow(merge, "key long, above long, weight long, kinds long, total long, first boolean")
+def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, summed weights, how many rows each has)."""
+    found, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+    return found, np.bincount(back, weights=weights, minlength=len(found)), times
+
+
+def _common(events_: DataFrame) -> tuple[np.ndarray, ...]:
+    """(keys, above, weights, kinds) of the contexts of one byte and none, which every part needs:
+    at most 65,792 entries."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty(0, np.uint64), np.empty(0))
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                rows = np.frombuffer(blob, EVENT)
+                rows = rows[rows["weight"] > 0]
+                held = _grouped(np.concatenate((held[0], rows["window"] & np.uint64(0xFFFFFF))), np.concatenate((held[1], rows["weight"])))[:2]
+        for i in range(0, len(held[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][i : i + (1 << 16)].astype(np.int64)), pa.array(held[1][i : i + (1 << 16)].astype(np.int64))], ["window", "n"])
+
+    three = events_.select("rows").mapInArrow(short, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    two = three.groupBy(F.expr("window & 65535").alias("window")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    window, n, kinds = (two[c].to_numpy() for c in ("window", "n", "kinds"))
+    window = window.astype(np.uint64)
+    last, total, different = _grouped(window & _BYTE, n)
+    above = np.zeros(len(window) + len(last), np.uint64)
+    return np.concatenate((np.uint64(1 << 56) | window, last)), above, np.concatenate((n, total)), np.concatenate((kinds, different))
+
+
+def _part_trie(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, ...]) -> Trie:
+    """The trie of all training events with some two last bytes of their contexts, and of the
+    common contexts. An entry's kinds are the contexts one longer that have it."""
+    ok = weight > 0
+    window, whole, weight = window[ok], whole[ok], weight[ok]
+    long = whole > 0
+    own, first, back = np.unique(whole[long] << _STEP | window[long] & _BYTE, return_index=True, return_inverse=True)
+    under = window[long][first]
+    found = [(own, np.uint64(ORDER << 48) | under >> _STEP, np.bincount(back, weights=weight[long], minlength=len(own)), np.ones(len(own)))]
+    direct, times, _ = _grouped(window[~long], weight[~long])
+    under, n = np.concatenate((under, direct)), np.concatenate((found[0][2], times))
+    for order in range(ORDER, 1, -1):
+        under, n, kinds = _grouped(under & np.uint64((1 << 8 * (order + 1)) - 1), n)
+        found.append((np.uint64(order << 56) | under, np.uint64((order - 1) << 48) | (under & np.uint64((1 << 8 * order) - 1)) >> _STEP, n, kinds))
+    return Trie(*(np.concatenate(x) for x in zip(*found, common, strict=True)))
 
 
 class Trie:
@@ -345,7 +353,6 @@ class Trie:
     def score(self, words: Words) -> np.ndarray:
         """log10 probability of each word, with the space or line feed that ends it."""
         padded, places, depth, owner = events(words)
-        out = np.zeros(len(places))
         symbol = padded[places].astype(np.uint64)
         node = np.full(len(places), -1)
         if len(self.nodes):
@@ -355,9 +362,28 @@ class Trie:
                 at = np.minimum(np.searchsorted(self.nodes, keys), len(self.nodes) - 1)
                 hit = self.nodes[at] == keys
                 node[ask[hit]] = at[hit]
+        return np.bincount(owner, weights=self.walk(node, symbol), minlength=len(words.hashes))
+
+    def of_events(self, window: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """log10 probability of each event."""
+        node = np.full(len(window), -1)
+        for order in range(WHOLE, -1, -1):
+            ask = np.flatnonzero((node < 0) & (whole > 0) if order == WHOLE else node < 0)
+            if not len(ask) or not len(self.nodes):
+                continue
+            keys = whole[ask] if order == WHOLE else np.uint64(order << 48) | (window[ask] & np.uint64((1 << 8 * (order + 1)) - 1)) >> _STEP
+            at = np.minimum(np.searchsorted(self.nodes, keys), len(self.nodes) - 1)
+            hit = self.nodes[at] == keys
+            node[ask[hit]] = at[hit]
+        return self.walk(node, window & _BYTE)
+
+    def walk(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte after the context of its node, or after none (-1)."""
+        out = np.zeros(len(node))
+        node = node.copy()
         live = np.flatnonzero(node >= 0)
         out[node < 0] = self.unknown
-        via = np.full(len(places), -1)
+        via = np.full(len(node), -1)
         while len(live):
             keys = self.nodes[node[live]] << _STEP | symbol[live]
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -371,23 +397,47 @@ class Trie:
             node[rest] = self.parent[node[rest]]
             out[rest[node[rest] < 0]] += self.unknown
             live = rest[node[rest] >= 0]
-        return np.bincount(owner, weights=out, minlength=len(words.hashes))
+        return out
 
 
-def train(vocabulary: DataFrame, parts: int) -> Trie:
-    counts = materialise(_trie_counts(vocabulary, parts), "trie")
-    bins = counts.groupBy(F.floor(F.log2("total") * 16).alias("bin")).agg(F.count("*").alias("entries"), F.sum(F.col("first").cast("long")).alias("nodes")).collect()  # at most 1,024 rows
-    nodes = entries = 0
-    least = 1 << 62
-    for row in sorted(bins, key=lambda r: -r["bin"]):
-        nodes, entries = nodes + row["nodes"], entries + row["entries"]
-        if nodes > MAX_NODES or entries > MAX_ENTRIES:
-            break
-        least = row["bin"]
-    kept = counts.where(F.floor(F.log2("total") * 16) >= least).select("key", "above", "weight", "kinds").toArrow()
-    discard(counts)
-    key, above, weight, kinds = (kept[c].to_numpy() for c in ("key", "above", "weight", "kinds"))
-    return Trie(key.view(np.uint64), above.view(np.uint64), weight, kinds)
+def _answers(vocabulary: DataFrame, parts: int) -> DataFrame:
+    """(part, hashes, logs): log10 probabilities of distinct words, in terms to be summed up."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                rows = _word_events(Words.of(*row))
+                part, blobs = _dealt(rows, _suffix(rows["window"], parts))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+    asked = materialise(vocabulary.mapInArrow(ask, "part int, rows binary"), "events")
+    common = vocabulary.sparkSession.sparkContext.broadcast(_common(asked))
+    kind = np.dtype([("word", "<u8"), ("log", "<f8")])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(blob, EVENT) for batch in batches for blob in batch.column(1).to_pylist()]
+        if not held:
+            return
+        every = np.concatenate(held)
+        held.clear()
+        logs = _part_trie(every["window"], every["whole"], every["weight"], common.value).of_events(every["window"], every["whole"])
+        words, back = np.unique(every["word"], return_inverse=True)
+        sums = np.empty(len(words), kind)
+        sums["word"], sums["log"] = words, np.bincount(back, weights=logs, minlength=len(words))
+        part, blobs = _dealt(sums, (words % np.uint64(parts)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "terms"])
+
+    made = materialise(asked.repartition(parts, "part").mapInArrow(answer, "part int, terms binary"), "answers")
+    discard(asked)
+    return made
+
+
+def _add_terms(hashes: np.ndarray, terms: list[bytes]) -> np.ndarray:
+    """The sum of the terms of each of the words."""
+    found = np.frombuffer(b"".join(terms), np.dtype([("word", "<u8"), ("log", "<f8")]))
+    order = np.argsort(hashes)
+    at = np.minimum(np.searchsorted(hashes, found["word"], sorter=order), max(0, len(hashes) - 1))
+    return np.bincount(order[at], weights=found["log"], minlength=len(hashes))
 
 
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -406,20 +456,32 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
     escapes = (tally[1] + 0.5) / (tally.sum(0) + 1)
     vocabulary = materialise(_vocabulary(counted, parts), "vocabulary")
     discard(counted)
-    trie = spark.sparkContext.broadcast(train(vocabulary, parts))
+    terms = _answers(vocabulary, parts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[bytes] = []
         for batch in batches:
-            rows = []
-            for part, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                words = Words.of(*blobs)
-                often = np.bincount(np.minimum(np.log2(np.maximum(words.counts, 1)) * 16, 1023).astype(int)[words.counts > 0], minlength=1024)
-                rows.append((part, blobs[0], blobs[1], trie.value.score(words).tobytes(), int(words.counts.sum()), int((words.counts > 0).sum()), often.tolist()))
-            if rows:
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "hashes", "counts", "logs", "tokens", "known", "often"])
-
-    judged = materialise(vocabulary.mapInArrow(judge, "part int, hashes binary, counts binary, logs binary, tokens long, known long, often array<long>"), "words")
+            for *row, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if blob is None:
+                    held.append(row)
+                else:
+                    found.append(blob)
+        if not held:
+            return
+        keys = np.concatenate([np.frombuffer(hashes, np.uint64) for _, hashes, _ in held])
+        logs = np.split(_add_terms(keys, found), np.cumsum([len(hashes) // 8 for _, hashes, _ in held])[:-1])
+        for (part, hashes, counts), log in zip(held, logs, strict=True):
+            c = np.frombuffer(counts, np.int64)
+            often = np.bincount(np.minimum(np.log2(np.maximum(c, 1)) * 16, 1023).astype(int)[c > 0], minlength=1024)
+            row = (part, hashes, counts, log.tobytes(), int(c.sum()), int((c > 0).sum()), often.tolist())
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "hashes", "counts", "logs", "tokens", "known", "often"])
+
+    none = F.lit(None).cast("binary")
+    both = vocabulary.select("part", "hashes", "counts", none.alias("terms")).unionByName(terms.select("part", none.alias("hashes"), none.alias("counts"), "terms"))
+    judged = materialise(both.repartition(parts, "part").mapInArrow(judge, "part int, hashes binary, counts binary, logs binary, tokens long, known long, often array<long>"), "words")
+    discard(terms)
     discard(vocabulary)
     sums = judged.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0

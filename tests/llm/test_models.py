@@ -276,6 +276,20 @@ def test_better_words_score_higher():
     assert known > unknown + 3
 
 
+def test_rare_contexts_count(spark):
+    """Texts of one word each that end alike: every byte is predicted by all bytes before it,
+    however few times these occurred."""
+    rng = np.random.default_rng(7)
+    rows = [(k, "".join(rng.choice(list("abc"), rng.integers(3, 9))) + "xyzzy") for k in range(120)]
+    taught = [(k, w) for k, w in rows if zlib.crc32(str(k).encode()) % 10]
+    count = Counter(w[:i] for _, w in taught for w in [w + " "] for i in range(len(w) + 1))
+    want = {k: sum(math.log10((count[w[: i + 1]] - 0.5) / count[w[:i]]) for w in [w + " "] for i in range(len(w))) for k, w in taught}
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs(spark, rows)).collect()}
+    first = taught[0][0]
+    for k, _ in taught:
+        assert got[k] - got[first] == pytest.approx(want[k] - want[first], abs=1e-9)
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(4)
     words = textops.mix(rng.integers(0, 4, 300).astype(np.uint64))
