@@ -6,31 +6,34 @@ as a-z) and one end. Two kinds of context predict, the longest first:
 - Adaptive: the two words before, as far as this text has had them. The word that follows has
   n / T of what does not escape if it followed n of T times. The escape is estimated over all
   training texts, for each size of T and number of different followers.
-- Pretrained: a trie of byte contexts that reach back at most to the space before the word:
-  all bytes since then, or the last six to none. In a context with T occurrences of q
+- Pretrained: byte contexts, all bytes since the space before the word where these are more
+  than six, or the last six to none, whichever words they belong to; a text's first word
+  comes after a space and line feeds. In a context with T occurrences of q
   different bytes, a byte seen c times has (c - 1/2) / T and an escape q / 2T (method D). After
   an escape the next shorter context predicts with the bytes of the longer one excluded,
   and counts every context one byte longer once, as what follows an escape is new. Below the empty
   context every byte that it has not seen is as likely as another. A word ends with a
   space, a text with a line feed.
 
-Because no pretrained context reaches beyond a word, its code length is a sum over words,
-and the trie's counts are those of the distinct words weighted by their frequency:
+From its sixth byte on a word's contexts lie inside it, so the code length of the rest of
+a word is computed once for the corpus. Up to there contexts reach into the words before
+it; these are windows of seven bytes, counted and looked up over the texts' bytes:
 
 1. One scan counts the words of all texts (training texts with weight one, others with
-   none), summed up for each task and then for each part of the hash range, and how often
-   adaptive contexts escape.
-2. The events of distinct words (a byte and its contexts) are dealt by the last two bytes
+   none), summed up for each task and then for each part of the hash range, in the same
+   way the windows, and how often adaptive contexts escape.
+2. Windows and the inner events of distinct words (a byte and its contexts) are dealt by the last two bytes
    before them, so a part has every longer context with these bytes and, with the contexts
    of one byte and none, which are broadcast, the whole chain of escapes. No context is
    left out. Each part predicts its events and returns the sums to the words.
 3. Each part sums up its distinct words. The most frequent words, at most
-   ``MAX_FREQUENT``, are broadcast with count and code length.
-4. A second scan sums up each text's frequent words and passes its other words, by hash, to
-   the parts, which return their sums.
+   ``MAX_FREQUENT``, are broadcast with count and code length, and so are the most frequent
+   windows, at most ``MAX_WINDOWS``.
+4. A second scan sums up each text's frequent words and windows and passes the others, by
+   hash, to the parts, which return their sums.
 
 What is gathered grows with the corpus and stays distributed; only the short contexts and
-the frequent words, of bounded size, reach the driver.
+the frequent words and windows, of bounded size, reach the driver.
 
 Defined cases. Null text is empty: its end only. Null ids are scored and train the model
 (they have no remainder to hold them out). Repeated rows are counted and scored each. Other
@@ -53,10 +56,10 @@ from tagloom.llm.labelled import held_out
 from tagloom.llm.store import discard, materialise, small_batches
 
 FOLDS, ORDER = 10, 6
-MAX_FREQUENT = 1 << 19
+MAX_FREQUENT, MAX_WINDOWS = 1 << 19, 1 << 20
 SMOOTH = 0.1
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
-FLUSH = 400_000
+FLUSH, AT_ONCE = 400_000, 100_000
 WHOLE = 7
 BLOCK_BITS = 12
 SIZES, FOLLOWERS = 8, 4
@@ -108,24 +111,69 @@ def _word_rows(words: Words, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], ["part", "hashes", "counts", "sizes", "data"])
 
 
-def _with_ends(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _with_ends(hashes: np.ndarray, bounds: np.ndarray, end=END) -> tuple[np.ndarray, np.ndarray]:
     """The words with the end of each text as one more word after them."""
-    return np.insert(hashes, bounds[1:], END), bounds + np.arange(len(bounds))
+    return np.insert(hashes, bounds[1:], end), bounds + np.arange(len(bounds))
+
+
+def crossings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, word) of the first five bytes of every word with the space after it, and of the
+    ends of texts, each of which is one more word: the byte and the six before it, the byte
+    lowest. Before a text's first space there are line feeds."""
+    own = ends - starts
+    sizes, bounds = _with_ends(own, bounds, 1)
+    real = np.ones(len(sizes), bool)
+    real[bounds[1:] - 1] = False
+    lead = np.zeros(len(sizes), np.int64)
+    lead[bounds[:-1]] = ORDER - 1
+    stops = np.cumsum(sizes + 1 + lead)
+    begins = stops - sizes - 1
+    text = np.full(int(stops[-1]) if len(stops) else 0, 10, np.uint8)
+    text[begins] = 32
+    text[np.repeat(begins[real] + 1 - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = textops._FOLD[_gather(data, starts, own)]
+    one = text.astype(np.uint64)
+    two = one.copy()
+    two[1:] |= one[:-1] << np.uint64(8)
+    seven = two.copy()
+    seven[2:] |= two[:-2] << np.uint64(16)
+    seven[4:] |= two[:-4] << np.uint64(32)
+    seven[6:] |= one[:-6] << np.uint64(48)
+    owners = [np.flatnonzero(sizes + real >= d) for d in range(1, ORDER)]
+    return np.concatenate([seven[begins[w] + d] for d, w in enumerate(owners, 1)]), np.concatenate(owners)
+
+
+def _merged(held: list[np.ndarray]) -> list[np.ndarray]:
+    """The windows of all tables as one sorted table, weights summed."""
+    every = np.concatenate(held)
+    order = np.argsort(every["window"])
+    window = every["window"][order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(window)), bool), window[1:] != window[:-1])))
+    rows = np.empty(len(first), WINDOW)
+    rows["window"] = window[first]
+    rows["weight"] = np.add.reduceat(every["weight"][order], first) if len(first) else 0
+    return [rows]
 
 
 def _counted(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of distinct words with their counts in a task's training texts, and a last row of
+    """Rows of distinct words with their counts in a task's training texts, rows of windows with
+    theirs, and a last row of
     how often adaptive contexts of each bucket had the next word and how often not."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Words] = []
         size = 0
         tally = np.zeros((2, SIZES * FOLLOWERS), np.int64)
+        windows: list[np.ndarray] = []
 
         def flush():
             words = Words.join(held)
             rows = _word_rows(words, (words.hashes % np.uint64(parts)).astype(np.int32))
-            return rows.append_column("tally", pa.nulls(rows.num_rows, pa.list_(pa.int64())))
+            return rows.append_column("tally", pa.nulls(rows.num_rows, pa.list_(pa.int64()))).append_column("windows", pa.nulls(rows.num_rows, pa.binary()))
+
+        def flush_windows(rows: np.ndarray) -> pa.RecordBatch:
+            part, blobs = _dealt(rows, _suffix(rows["window"], parts))
+            none = pa.nulls(len(part), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), none, none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["part", "hashes", "counts", "sizes", "data", "tally", "windows"])
 
         for batch in batches:
             learn = ~np.array(batch.column(0).to_pylist(), bool)
@@ -141,6 +189,13 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
                 ending = Words(np.array([END]), np.array([learn[a:b].sum()], np.int64), np.array([1]), np.array([10], np.uint8))
                 held += [Words(keys, counts, sizes, text), ending]
                 size += len(keys)
+                window, owner = crossings(data[int(cut[0]) : int(cut[-1])], starts, ends, bounds)
+                teaches = np.repeat(learn[a:b], np.diff(bounds) + 1)[owner]
+                for some, weight in ((window[teaches], 1), (window[~teaches], 0)):
+                    found, times = np.unique(some, return_counts=True)
+                    rows = np.empty(len(found), WINDOW)
+                    rows["window"], rows["weight"] = found, times * weight
+                    windows.append(rows)
                 place, bucket, share = repeats(*_with_ends(hashes, bounds))
                 taught = learn[a + np.searchsorted(bounds + np.arange(len(bounds)), place, "right") - 1]
                 tally += [np.bincount(bucket[taught & ok], minlength=SIZES * FOLLOWERS) for ok in (share > 0, share == 0)]
@@ -150,12 +205,19 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
+            if sum(map(len, windows)) > 4 * FLUSH:
+                windows = _merged(windows)
+                if len(windows[0]) > 2 * FLUSH:
+                    yield flush_windows(windows[0])
+                    windows = []
+        if windows:
+            yield flush_windows(_merged(windows)[0])
         if held:
             yield flush()
             none = [None]
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), *(pa.array(none, pa.binary()) for _ in range(4)), pa.array([tally.reshape(-1)], pa.list_(pa.int64()))], ["part", "hashes", "counts", "sizes", "data", "tally"])
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), *(pa.array(none, pa.binary()) for _ in range(4)), pa.array([tally.reshape(-1)], pa.list_(pa.int64())), pa.array(none, pa.binary())], ["part", "hashes", "counts", "sizes", "data", "tally", "windows"])
 
-    return docs.select("held_out", "text").mapInArrow(count, f"{WORDS}, {TALLY}")
+    return docs.select("held_out", "text").mapInArrow(count, f"{WORDS}, {TALLY}, windows binary")
 
 
 def _vocabulary(counted: DataFrame, parts: int) -> DataFrame:
@@ -178,7 +240,7 @@ def _vocabulary(counted: DataFrame, parts: int) -> DataFrame:
         for part in sorted(rows):
             yield from merge(iter(rows.pop(part)))
 
-    return counted.where("part is not null").drop("tally").repartition(parts, "part").mapInArrow(by_part, WORDS)
+    return counted.where("hashes is not null").drop("tally", "windows").repartition(parts, "part").mapInArrow(by_part, WORDS)
 
 
 def events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,13 +314,24 @@ def repeats(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 #: An event: the byte and the six before it (the byte lowest), the context WHOLE or zero, its
 #: weight, and the word that asks for it.
 EVENT = np.dtype([("window", "<u8"), ("whole", "<u8"), ("weight", "<i8"), ("word", "<u8")])
+WINDOW = np.dtype([("window", "<u8"), ("weight", "<i8")])
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Compressed here, since Parquet's codec takes memory outside the heap for whole pages."""
+    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(rows.tobytes(), asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little") * kind.itemsize
+    return np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True), kind)
 
 
 def _dealt(rows: np.ndarray, part: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """The rows of each part that has any."""
+    """The rows of each part that has any, packed."""
     order = np.argsort(part, kind="stable")
     cuts = [c for c in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(c)]
-    return [int(part[c[0]]) for c in cuts], [rows[c].tobytes() for c in cuts]
+    return [int(part[c[0]]) for c in cuts], [_packed(rows[c]) for c in cuts]
 
 
 def _suffix(window: np.ndarray, parts: int) -> np.ndarray:
@@ -267,12 +340,13 @@ def _suffix(window: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _word_events(words: Words) -> np.ndarray:
-    """The events of distinct words, where spaces stand before the one before the word."""
+    """The events of distinct words whose contexts lie inside the word."""
     padded, places, depth, owner = events(words)
+    inner = _reaches(depth, ORDER)
+    places, depth, owner = places[inner], depth[inner], owner[inner]
     window = padded[places].astype(np.uint64)
     for j in range(1, ORDER + 1):
-        before = np.where(j <= depth, padded[places - np.minimum(j, depth)], 32)
-        window |= before.astype(np.uint64) << np.uint64(8 * j)
+        window |= padded[places - j].astype(np.uint64) << np.uint64(8 * j)
     rows = np.zeros(len(places), EVENT)
     rows["window"], rows["weight"], rows["word"] = window, words.counts[owner], words.hashes[owner]
     far = np.flatnonzero(_reaches(depth, WHOLE))
@@ -293,14 +367,14 @@ def _common(events_: DataFrame) -> tuple[np.ndarray, ...]:
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.uint64), np.empty(0))
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                rows = np.frombuffer(blob, EVENT)
+            for inner, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = _unpacked(inner, EVENT) if blob is None else _unpacked(blob, WINDOW)
                 rows = rows[rows["weight"] > 0]
                 held = _grouped(np.concatenate((held[0], rows["window"] & np.uint64(0xFFFFFF))), np.concatenate((held[1], rows["weight"])))[:2]
         for i in range(0, len(held[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(held[0][i : i + (1 << 16)].astype(np.int64)), pa.array(held[1][i : i + (1 << 16)].astype(np.int64))], ["window", "n"])
 
-    three = events_.select("rows").mapInArrow(short, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    three = events_.select("rows", "windows").mapInArrow(short, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
     two = three.groupBy(F.expr("window & 65535").alias("window")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     window, n, kinds = (two[c].to_numpy() for c in ("window", "n", "kinds"))
     window = window.astype(np.uint64)
@@ -400,8 +474,13 @@ class Trie:
         return out
 
 
-def _answers(vocabulary: DataFrame, parts: int) -> DataFrame:
-    """(part, hashes, logs): log10 probabilities of distinct words, in terms to be summed up."""
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts, 1)) * 16, 1023).astype(int)
+
+
+def _answers(vocabulary: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
+    """(part, terms, hashes, weights, logs, often): log10 probabilities of the inner parts of
+    distinct words, in terms to be summed up, and of windows, with their hashes and counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,31 +489,103 @@ def _answers(vocabulary: DataFrame, parts: int) -> DataFrame:
                 part, blobs = _dealt(rows, _suffix(rows["window"], parts))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
 
-    asked = materialise(vocabulary.mapInArrow(ask, "part int, rows binary"), "events")
+    inner = materialise(vocabulary.mapInArrow(ask, "part int, rows binary"), "events", compression="none")
+    none = F.lit(None).cast("binary")
+    asked = inner.select("part", "rows", none.alias("windows")).unionByName(windows.select("part", none.alias("rows"), "windows"))
     common = vocabulary.sparkSession.sparkContext.broadcast(_common(asked))
     kind = np.dtype([("word", "<u8"), ("log", "<f8")])
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = ["part", "terms", "hashes", "weights", "logs", "often"]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(blob, EVENT) for batch in batches for blob in batch.column(1).to_pylist()]
-        if not held:
+        held, met = [np.empty(0, EVENT)], [np.empty(0, WINDOW)]
+        waiting = 0
+        for batch in batches:
+            for rows, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if blob is None:
+                    held.append(_unpacked(rows, EVENT))
+                else:
+                    met.append(_unpacked(blob, WINDOW))
+                    waiting += len(met[-1])
+                    if waiting > max(4 * AT_ONCE, len(met[0])):
+                        met, waiting = _merged(met), 0
+        every, seen = np.concatenate(held), _merged(met)[0]
+        del held, met
+        if not len(every) + len(seen):
             return
-        every = np.concatenate(held)
-        held.clear()
-        logs = _part_trie(every["window"], every["whole"], every["weight"], common.value).of_events(every["window"], every["whole"])
+        window, whole = np.concatenate((every["window"], seen["window"])), np.concatenate((every["whole"], np.zeros(len(seen), np.uint64)))
+        logs = _part_logs(window, whole, np.concatenate((every["weight"], seen["weight"])), common.value)
+        del window, whole
         words, back = np.unique(every["word"], return_inverse=True)
         sums = np.empty(len(words), kind)
-        sums["word"], sums["log"] = words, np.bincount(back, weights=logs, minlength=len(words))
+        sums["word"], sums["log"] = words, np.bincount(back, weights=logs[: len(every)], minlength=len(words))
         part, blobs = _dealt(sums, (words % np.uint64(parts)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "terms"])
-
-    made = materialise(asked.repartition(parts, "part").mapInArrow(answer, "part int, terms binary"), "answers")
-    discard(asked)
+        none = [None] * len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((part, blobs, none, none, none, none), kinds, strict=True)], names)
+        hashes, logs, weights = textops.mix(seen["window"]), logs[len(every) :], seen["weight"]
+        to = (hashes % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        for c in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            if len(c):
+                often = np.bincount(_bin(weights[c])[weights[c] > 0], minlength=1024).tolist()
+                row = (int(to[c[0]]), None, hashes[c].tobytes(), weights[c].tobytes(), logs[c].tobytes(), often)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    made = materialise(asked.repartition(parts, "part").mapInArrow(answer, "part int, terms binary, hashes binary, weights binary, logs binary, often array<long>"), "answers")
+    discard(inner)
     return made
 
 
+def _frequent(rows: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, logs) of the items with the largest counts, at most room, by hash."""
+    levels = rows.select(F.posexplode("often").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # 1,024 rows
+    least = 1 << 30
+    for row in levels:
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["bin"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, counts, logs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = np.frombuffer(counts, np.int64)
+                ok = (c > 0) & (_bin(c) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)[ok]), pa.array(c[ok]), pa.array(np.frombuffer(logs)[ok])], ["hash", "n", "log"])
+
+    found = rows.select("hashes", "counts", "logs").mapInArrow(pick, "hash long, n long, log double").toArrow()  # at most room rows
+    keys = found["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["n"].to_numpy()[order], found["log"].to_numpy()[order]
+
+
+def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _part_logs(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, ...]) -> np.ndarray:
+    """log10 probabilities of events, a few of the last two bytes of contexts at a time."""
+    last = (window >> _STEP).astype(np.uint16)
+    order = np.argsort(last, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(last[order])) + 1, len(order))
+    logs = np.empty(len(window))
+    a = 0
+    while a < len(order):
+        b = int(ends[min(np.searchsorted(ends, a + AT_ONCE), len(ends) - 1)])
+        some = order[a:b]
+        logs[some] = _part_trie(window[some], whole[some], weight[some], common).of_events(window[some], whole[some])
+        a = b
+    return logs
+
+
 def _add_terms(hashes: np.ndarray, terms: list[bytes]) -> np.ndarray:
     """The sum of the terms of each of the words."""
-    found = np.frombuffer(b"".join(terms), np.dtype([("word", "<u8"), ("log", "<f8")]))
+    kind = np.dtype([("word", "<u8"), ("log", "<f8")])
+    found = np.concatenate([np.empty(0, kind), *(_unpacked(blob, kind) for blob in terms)])
     order = np.argsort(hashes)
     at = np.minimum(np.searchsorted(hashes, found["word"], sorter=order), max(0, len(hashes) - 1))
     return np.bincount(order[at], weights=found["log"], minlength=len(hashes))
@@ -455,8 +606,9 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
         tally[divmod(r["i"], SIZES * FOLLOWERS)] = r["n"]
     escapes = (tally[1] + 0.5) / (tally.sum(0) + 1)
     vocabulary = materialise(_vocabulary(counted, parts), "vocabulary")
+    answers = _answers(vocabulary, counted.where("windows is not null").select("part", "windows"), parts)
     discard(counted)
-    terms = _answers(vocabulary, parts)
+    terms = answers.where("terms is not null")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -473,7 +625,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
         logs = np.split(_add_terms(keys, found), np.cumsum([len(hashes) // 8 for _, hashes, _ in held])[:-1])
         for (part, hashes, counts), log in zip(held, logs, strict=True):
             c = np.frombuffer(counts, np.int64)
-            often = np.bincount(np.minimum(np.log2(np.maximum(c, 1)) * 16, 1023).astype(int)[c > 0], minlength=1024)
+            often = np.bincount(_bin(c)[c > 0], minlength=1024)
             row = (part, hashes, counts, log.tobytes(), int(c.sum()), int((c > 0).sum()), often.tolist())
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "hashes", "counts", "logs", "tokens", "known", "often"])
@@ -481,40 +633,25 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
     none = F.lit(None).cast("binary")
     both = vocabulary.select("part", "hashes", "counts", none.alias("terms")).unionByName(terms.select("part", none.alias("hashes"), none.alias("counts"), "terms"))
     judged = materialise(both.repartition(parts, "part").mapInArrow(judge, "part int, hashes binary, counts binary, logs binary, tokens long, known long, often array<long>"), "words")
-    discard(terms)
     discard(vocabulary)
     sums = judged.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
-    levels = judged.select(F.posexplode("often").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # 1,024 rows
-    room, least = MAX_FREQUENT, 1 << 30
-    for row in levels:
-        room -= row["n"]
-        if room < 0:
-            break
-        least = row["bin"]
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hashes, counts, logs in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                ok = (c > 0) & (np.minimum(np.log2(np.maximum(c, 1)) * 16, 1023).astype(int) >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)[ok]), pa.array(c[ok]), pa.array(np.frombuffer(logs)[ok])], ["hash", "n", "log"])
-
-    often = judged.select("part", "hashes", "counts", "logs").mapInArrow(frequent, "hash long, n long, log double").toArrow()  # at most MAX_FREQUENT rows
-    keys = often["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[order], np.log10(often["n"].to_numpy()[order] + SMOOTH), often["log"].to_numpy()[order]))
+    keys, counts, logs = _frequent(judged, MAX_FREQUENT)
+    windows = answers.where("hashes is not null")
+    common_windows, _, window_logs = _frequent(windows.select("hashes", F.col("weights").alias("counts"), "logs", "often"), MAX_WINDOWS)
+    table = spark.sparkContext.broadcast((keys, np.log10(counts + SMOOTH), logs, common_windows, window_logs))
     scan_kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
     scan_names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "part", "hashes", "rows"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_known, bases, logs = table.value
+        hashes_known, bases, logs, common_windows, window_logs = table.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = textops.text_buffers(batch.column(2))
             tokens, known, base, log, rare, owners = [], [], [], [], [], []
             for a, b in textops.chunks(offsets):
-                hashes, bounds = textops.hash_words(data, offsets[a : b + 1])
+                hashes, bounds, starts, ends, _ = textops.find_words(data, offsets[a : b + 1])
+                window, owner = crossings(data[int(offsets[a]) : int(offsets[b])], starts, ends, bounds)
                 n = np.diff(bounds)
                 hashes, bounds = _with_ends(hashes, bounds)
                 place, bucket, share = repeats(hashes, bounds)
@@ -522,15 +659,20 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
                 asked[place[share > 0]] = False
                 ahead = np.zeros(len(hashes))
                 ahead[place] = np.log10(np.where(share > 0, (1 - escapes[bucket]) * share, escapes[bucket]))
-                at = np.minimum(np.searchsorted(hashes_known, hashes), max(0, len(hashes_known) - 1))
-                hit = hashes_known[at] == hashes if len(hashes_known) else np.zeros(len(hashes), bool)
+                at, hit = _look(hashes_known, hashes)
+                some = asked[owner]
+                window, owner = textops.mix(window[some]), owner[some]
+                there, found = _look(common_windows, window)
+                if len(common_windows):
+                    ahead += np.bincount(owner[found], weights=window_logs[there[found]], minlength=len(hashes))
                 add = lambda v, b=bounds: np.diff(np.concatenate(([0.0], np.cumsum(v)))[b])
                 tokens.append(n + 1)
                 known.append(add(hit).astype(np.int64))
                 base.append(add(np.where(hit, bases[at], 0.0)) if len(hashes_known) else np.zeros(len(n)))
                 log.append(add(ahead + (np.where(hit & asked, logs[at], 0.0) if len(hashes_known) else 0.0)))
-                rare.append(hashes[~hit])
-                owners.append(((row + a + np.repeat(np.arange(len(n)), n + 1)) * 2 + asked)[~hit])
+                text = row + a + np.repeat(np.arange(len(n)), n + 1)
+                rare += [hashes[~hit], window[~found]]
+                owners += [(text * 2 + asked)[~hit], text[owner[~found]] * 2 + 1]
             count = batch.num_rows
             if not count:
                 continue
@@ -558,7 +700,8 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
         for batch in batches:
             for hashes, rows, counts, logs in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if rows is None:
-                    known.append((np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(logs)))
+                    own = np.frombuffer(hashes, np.uint64)
+                    known.append((own, np.full(len(own), -1) if counts is None else np.frombuffer(counts, np.int64), np.frombuffer(logs)))
                 else:
                     asked.append((np.frombuffer(hashes, np.uint64), np.frombuffer(rows, np.int64)))
         if not asked:
@@ -571,7 +714,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
         owner, back = np.unique(rows >> 1, return_inverse=True)
         sums = np.empty(len(owner), kind)
         sums["row"] = owner
-        for name, values in (("known", counts[at] > 0), ("base", np.log10(counts[at] + SMOOTH)), ("log", logs[at] * (rows & 1))):
+        for name, values in (("known", counts[at] > 0), ("base", np.where(counts[at] < 0, 0.0, np.log10(np.maximum(counts[at], 0) + SMOOTH))), ("log", logs[at] * (rows & 1))):
             sums[name] = np.bincount(back, weights=values, minlength=len(owner))
         block = owner >> BLOCK_BITS
         cuts = np.split(sums, np.flatnonzero(np.diff(block)) + 1)
@@ -590,8 +733,8 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
             yield made.slice(i, 1 << 16)
 
     questions = scanned.where("part is not null").select("part", "hashes", "rows", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("logs"))
-    answers = judged.select("part", "hashes", F.lit(None).cast("binary").alias("rows"), "counts", "logs")
-    sums = questions.unionByName(answers).repartition(parts, "part").mapInArrow(meet, "block long, sums binary")
+    known = judged.select("part", "hashes", none.alias("rows"), "counts", "logs").unionByName(windows.select("part", "hashes", none.alias("rows"), none.alias("counts"), "logs"))
+    sums = questions.unionByName(known).repartition(parts, "part").mapInArrow(meet, "block long, sums binary")
     more = sums.repartition(parts, "block").mapInArrow(add_up, "row long, known long, base_more double, log_more double")
     full = scanned.where("part is null").join(more, "row", "left")
     nothing = lambda c: F.coalesce(F.col(c), F.lit(0))

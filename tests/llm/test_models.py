@@ -290,6 +290,54 @@ def test_rare_contexts_count(spark):
         assert got[k] - got[first] == pytest.approx(want[k] - want[first], abs=1e-9)
 
 
+def stream_events(text):
+    """(contexts from the longest to none, byte) of a text's bytes after its first space."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
+    stream = b"\n" * 5 + b"".join(b" " + w for w in words) + b" \n"
+    for i in range(6, len(stream)):
+        depth = i - stream.rindex(b" ", 0, i)
+        yield [("whole", stream[i - depth : i])] * (depth > 6) + [stream[i - k : i] for k in range(6, -1, -1)], stream[i]
+
+
+def test_scores_against_brute_force(spark):
+    """Byte contexts run across words, none is dropped, and word order counts."""
+    rng = np.random.default_rng(3)
+    some = ["red", "fox", "a", "I", "umbrellas", "Übermut", "sitting", "understanding"]
+    rows = [(k, " ".join(rng.permutation(some)[: rng.integers(0, 8)])) for k in range(80)]
+    rows += [(k, "qqz " + " ".join(rng.permutation(some)) + " understated sitter") for k in range(80, 140) if not zlib.crc32(str(k).encode()) % 10]
+    count, longer = {}, {}
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            for chain, byte in stream_events(t):
+                for j, c in enumerate(chain):
+                    count.setdefault(c, Counter())[byte] += 1
+                    longer.setdefault((c, byte), set()).add(chain[j - 1] if j else None)
+
+    def log(chain, byte):
+        total, child = 0.0, None
+        for c in chain:
+            if c not in count:
+                continue
+            seen = count[c]
+            if child is None:
+                weight, n = {b: x - 0.5 for b, x in seen.items()}, sum(seen.values())
+                escape = len(seen) / 2
+            else:
+                weight = {b: len(longer[c, b]) - 0.5 for b in seen if b not in child}
+                n = sum(len(longer[c, b]) for b in seen if b not in child)
+                escape = len(weight) / 2
+            if byte in weight:
+                return total + math.log10(weight[byte] / n)
+            total += math.log10(escape / n) if n else 0.0
+            child = seen
+        return total - math.log10(256 - len(count.get(b"", ())))
+
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        assert got[k] == pytest.approx(sum(log(*e) for e in stream_events(t)), abs=1e-6)
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(4)
     words = textops.mix(rng.integers(0, 4, 300).astype(np.uint64))
