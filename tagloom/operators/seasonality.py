@@ -1,7 +1,9 @@
 """Tags that peak at the same time of every year.
 
-Counts by day of the year and by month come from one grouped table. Peaks are found per tag
-in a dense array of the 366 days, with array functions, so no tag needs a window over rows.
+One row for each tag holds its counts by day of the leap year and by month, both bounded by the
+calendar. Peaks are found within that row: the days become a dense array, its running sums
+give every window going round the year, and the years are summed from the months. So from the
+scan to the peaks there is one plan without joins, whatever the number of tags.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import day_of_leap_year, glob_pattern, leap_label, year_month
-from tagloom.model import CATEGORIES
+from tagloom.model import CATEGORIES, column_of
 from tagloom.operators.tags import by_category
 
 DAYS = 366
@@ -32,19 +34,37 @@ class PeakSpec:
 
 @dataclass
 class Counts:
-    """days(tag, doy, n); months(tag, ym, n); all_months(ym, n); categories(tag, category).
+    """tags(tag, category, days, months), days an array of (doy, n) and months one of (ym, n); and
+    all_months(ym, n). days, months and categories give the same as rows."""
 
-    All but all_months come from one grouped table, which is kept until close()."""
-
-    days: DataFrame
-    months: DataFrame
+    tags: DataFrame
     all_months: DataFrame
-    categories: DataFrame
-    kept: DataFrame | None = None
+
+    @property
+    def days(self) -> DataFrame:
+        return self.tags.select("tag", F.inline("days"))
+
+    @property
+    def months(self) -> DataFrame:
+        return self.tags.select("tag", F.inline("months"))
+
+    @property
+    def categories(self) -> DataFrame:
+        return self.tags.select("tag", "category")
+
+    @staticmethod
+    def of(days: DataFrame, months: DataFrame, all_months: DataFrame, categories: DataFrame) -> Counts:
+        """From tables of rows, as they are kept in files."""
+        by_month = months.groupBy("tag").agg(F.collect_list(F.struct("ym", "n")).alias("months"))
+        return Counts(categories.join(in_rows(days), "tag").join(by_month, "tag").select("tag", "category", "days", "months"), all_months)
+
+    def keep(self) -> Counts:
+        """Hold the counts for several uses, until close()."""
+        self.tags.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
 
     def close(self) -> None:
-        if self.kept is not None:
-            self.kept.unpersist()
+        self.tags.unpersist()
 
 
 #: Of the tables that save_tables and load_tables keep.
@@ -52,30 +72,39 @@ CACHE = {"days": "tag string, doy int, n long", "months": "tag string, ym string
 
 
 def distinct_posts(posts: DataFrame) -> DataFrame:
-    """One post for each md5, or id where there is none; posts with neither all stay."""
+    """One post for each md5, or id where there is none; posts with neither all stay. A file's posts
+    are reduced before the shuffle, so one with very many is no hot key."""
     key = F.coalesce(F.nullif("md5", F.lit("")), F.nullif("id", F.lit(0)).cast("string"))
-    keyed = posts.withColumn("_key", key)
-    first = Window.partitionBy("_key").orderBy(F.asc_nulls_last("id"), "created_at")
-    once = keyed.where("_key is not null").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-    return once.unionByName(keyed.where("_key is null")).drop("_key")
+    own = F.when(key.isNull(), F.monotonically_increasing_id())
+    first = F.min_by(F.struct(*posts.columns), F.struct(F.col("id").isNull(), "id", "created_at"))
+    return posts.groupBy(key.alias("_key"), own.alias("_own")).agg(first.alias("_post")).select("_post.*")
 
 
 def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
     """Counts of the tags with at least min_posts occurrences in distinct posts, dated or not."""
-    once = distinct_posts(posts)
+    once = distinct_posts(posts.select("id", "md5", "created_at", *(column_of(c) for c in CATEGORIES)))
     doy = day_of_leap_year(F.col("created_at"))
-    rows = once.select(doy.alias("doy"), year_month(F.col("created_at")).alias("ym"), F.explode_outer(by_category()).alias("t"))
-    grouped = rows.where("t is not null").groupBy(F.col("t.tag").alias("tag"), F.col("t.category").alias("category"), "doy", F.when(F.col("doy").isNotNull(), F.col("ym")).alias("ym")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    often = grouped.groupBy("tag").agg(F.sum("n").alias("n")).where(F.col("n") >= min_posts).select("tag")
-    kept = grouped.join(often, "tag", "left_semi").where("doy is not null")
-    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    return Counts(
-        kept.groupBy("tag", "doy").agg(F.sum("n").alias("n")),
-        kept.groupBy("tag", "ym").agg(F.sum("n").alias("n")),
-        once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n")),
-        kept.groupBy("tag").agg(F.min_by("category", place).alias("category")),
-        grouped,
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("t.category")).cast("int")
+    rows = once.select(doy.alias("doy"), F.when(doy.isNotNull(), year_month(F.col("created_at"))).alias("ym"), F.explode(by_category()).alias("t"))
+    each = rows.groupBy(F.col("t.tag").alias("tag"), place.alias("place"), "doy", "ym").agg(F.count("*").alias("n"))
+    kind = lambda day, month, last: F.struct(day.alias("doy"), month.alias("ym"), F.lit(last).alias("is_month"))
+    both = each.select("tag", "place", "n", F.explode(F.array(kind(F.col("doy"), F.lit(None).cast("string"), False), kind(F.lit(None).cast("int"), F.col("ym"), True))).alias("k"))
+    summed = both.groupBy("tag", "k").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    dated = F.col("k.doy").isNotNull() | F.col("k.ym").isNotNull()
+    tags = summed.groupBy("tag").agg(
+        F.sum(F.when(~F.col("k.is_month"), F.col("n"))).alias("posts"),
+        F.min(F.when(dated, F.col("place"))).alias("place"),
+        F.collect_list(F.when(F.col("k.doy").isNotNull(), F.struct(F.col("k.doy").alias("doy"), "n"))).alias("days"),
+        F.collect_list(F.when(F.col("k.ym").isNotNull(), F.struct(F.col("k.ym").alias("ym"), "n"))).alias("months"),
     )
+    often = tags.where((F.col("posts") >= min_posts) & F.col("place").isNotNull())
+    every = once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n"))
+    return Counts(often.select("tag", F.array(*map(F.lit, CATEGORIES))[F.col("place") - 1].alias("category"), "days", "months"), every)
+
+
+def in_rows(days: DataFrame) -> DataFrame:
+    """(tag, days) of rows (tag, doy, n)."""
+    return days.groupBy("tag", "doy").agg(F.sum("n").alias("n")).groupBy("tag").agg(F.collect_list(F.struct("doy", "n")).alias("days"))
 
 
 def name_matches(search: str) -> Column:
@@ -84,47 +113,64 @@ def name_matches(search: str) -> Column:
     return reduce(Column.__and__, tests, F.lit(True))
 
 
-def ahead(days: DataFrame, width: int) -> DataFrame:
-    """(tag, doy, total): for each of the 366 days of a tag, its posts on that day and the days
-    after it, width days in all, going round the year. The year is laid out twice, with
-    zeroes, so every window is a run of rows; a tag's partition has 732."""
+def with_windows(tags: DataFrame, width: int) -> DataFrame:
+    """tags, whose rows have ``days``, with ``totals``: for each of the 366 days the posts on that day
+    and the days after it, width days in all, going round the year."""
     if not 1 <= width <= DAYS:
         raise ValueError(f"a window has 1 to {DAYS} days")
-    every = days.select("tag").distinct().select("tag", F.explode(F.sequence(F.lit(0), F.lit(2 * DAYS - 1))).alias("day"), F.lit(0).cast("long").alias("n"))
-    twice = days.select("tag", F.explode(F.array(F.col("doy"), F.col("doy") + DAYS)).alias("day"), "n")
-    filled = every.unionByName(twice).groupBy("tag", "day").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy("tag").orderBy("day").rowsBetween(0, width - 1)
-    return filled.select("tag", F.col("day").alias("doy"), F.sum("n").over(run).alias("total")).where(F.col("doy") < DAYS)
+    year = F.sequence(F.lit(0), F.lit(DAYS - 1))
+    none = F.lit(0).cast("long")
+    held = tags.withColumn("_on", F.map_from_entries("days"))
+    held = held.withColumn("_each", F.transform(year, lambda d: F.when(F.map_contains_key("_on", d), F.try_element_at("_on", d)).otherwise(none)))
+    held = held.withColumn("_upto", F.aggregate("_each", F.array(none), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))))
+    upto = F.col("_upto")
+    total = lambda d: F.when(d + width <= DAYS, upto[F.least(d + width, F.lit(DAYS))] - upto[d]).otherwise(upto[DAYS] - upto[d] + upto[F.greatest(d + (width - DAYS), F.lit(0))])
+    return held.withColumn("totals", F.transform(year, total)).drop("_on", "_each", "_upto")
 
 
-def densest(days: DataFrame, window: int) -> DataFrame:
-    """(tag, best_doy, peak_posts, total_posts): the window of days, going round the year, with
+def ahead(days: DataFrame, width: int) -> DataFrame:
+    """(tag, doy, total): the windows of rows (tag, doy, n), as rows."""
+    return with_windows(in_rows(days), width).select("tag", F.posexplode("totals").alias("doy", "total"))
+
+
+def with_densest(tags: DataFrame, window: int) -> DataFrame:
+    """tags with best_doy, peak_posts and total_posts: the window of days, going round the year, with
     most posts; of several the one that starts first, on a day with posts or without."""
-    best = ahead(days, window).groupBy("tag").agg(F.max(F.struct("total", (-F.col("doy")).alias("early"))).alias("b"))
-    totals = days.groupBy("tag").agg(F.sum("n").alias("total_posts"))
-    return best.join(totals, "tag").select("tag", (-F.col("b.early")).alias("best_doy"), F.col("b.total").alias("peak_posts"), "total_posts")
+    best = with_windows(tags, window).withColumn("_best", F.array_max(F.transform("totals", lambda n, d: F.struct(n.alias("n"), (-d).alias("early")))))
+    every = F.aggregate("days", F.lit(0).cast("long"), lambda sum_, d: sum_ + d["n"])
+    # a generator, since conditions on its columns aren't computed again below it
+    return best.select(*tags.columns, F.inline(F.array(F.struct((-F.col("_best.early")).alias("best_doy"), F.col("_best.n").alias("peak_posts"), every.alias("total_posts")))))
+
+
+def densest(days: DataFrame, window: int) -> DataFrame:
+    """(tag, best_doy, peak_posts, total_posts) of rows (tag, doy, n)."""
+    return with_densest(in_rows(days), window).drop("days")
 
 
 def peaks(counts: Counts, spec: PeakSpec = PeakSpec()) -> DataFrame:
     """(tag, category, peak_date, best_doy, w, score, peak_posts, bg_avg, max_peak_share,
     years_spiked, total_posts), best first."""
     w = spec.window
-    named = counts.categories.where(F.col("category").isin(list(spec.categories)) & name_matches(spec.search))
-    found = densest(counts.days.join(named.select("tag"), "tag", "left_semi"), w).where("total_posts > 0")
+    named = counts.tags.where(F.col("category").isin(list(spec.categories)) & name_matches(spec.search))
+    found = with_densest(named, w).where("total_posts > 0")
     rest = (F.col("total_posts") - F.col("peak_posts")) / F.lit(float(DAYS - w)) if w < DAYS else F.lit(0.0)
     found = found.withColumn("bg_avg", rest).withColumn("score", (F.col("peak_posts") / F.lit(float(w)) + F.lit(1e-5)) / (F.col("bg_avg") + F.lit(1e-5)))
     found = found.where(F.col("score") >= spec.min_score)
     month = lambda day: F.substring(leap_label(day), 1, 2)
-    found = found.withColumn("first_month", month(F.col("best_doy"))).withColumn("last_month", month(F.pmod(F.col("best_doy") + (w - 1), F.lit(DAYS))))
-    per_year = counts.months.join(found.select("tag", "first_month", "last_month"), "tag").where(F.substring("ym", 6, 2).isin(F.col("first_month"), F.col("last_month")))
-    per_year = per_year.groupBy("tag", F.substring("ym", 1, 4).alias("year")).agg(F.sum("n").alias("n"))
-    years = per_year.groupBy("tag").agg(F.max("n").alias("most"), F.sum("n").alias("sum"), F.sort_array(F.collect_list("n")).alias("each"))
-    lasting = years.where("sum > 0").select("tag", (F.col("most") / F.col("sum")).alias("part"), F.size(F.filter("each", lambda n: n >= F.col("most") * 0.1)).alias("years_spiked"))
+    first, last = month(F.col("best_doy")), month(F.pmod(F.col("best_doy") + (w - 1), F.lit(DAYS)))
+    near = found.withColumn("_first", first).withColumn("_last", last)
+    near = near.withColumn("_near", F.filter("months", lambda m: F.substring(m["ym"], 6, 2).isin(F.col("_first"), F.col("_last"))))
+    years = F.array_distinct(F.transform("_near", lambda m: F.substring(m["ym"], 1, 4)))
+    zero = F.lit(0).cast("long")
+    of_year = lambda y: F.aggregate(F.filter("_near", lambda m: F.substring(m["ym"], 1, 4) == y), zero, lambda sum_, m: sum_ + m["n"])
+    near = near.withColumn("_years", years).withColumn("_each", F.transform("_years", of_year))
+    near = near.withColumn("_most", F.array_max("_each")).withColumn("_sum", F.aggregate("_each", zero, lambda sum_, n: sum_ + n))
+    spiked = F.size(F.filter("_each", lambda n: n >= F.col("_most") * 0.1)).cast("long")
+    lasting = near.where("_sum > 0").select("tag", "category", "best_doy", "score", "peak_posts", "bg_avg", "total_posts", F.inline(F.array(F.struct((F.col("_most") / F.col("_sum")).alias("part"), spiked.alias("years_spiked")))))
     lasting = lasting.where((F.col("part") <= spec.max_peak_share) & (F.col("years_spiked") >= spec.min_recurrence))
-    out = found.join(lasting, "tag").join(named, "tag")
-    return out.select(
+    return lasting.select(
         "tag", "category", leap_label(F.col("best_doy") + w // 2).alias("peak_date"), "best_doy", F.lit(w).alias("w"), "score",
-        "peak_posts", "bg_avg", (F.col("part") * 100.0).alias("max_peak_share"), F.col("years_spiked").cast("long").alias("years_spiked"), "total_posts",
+        "peak_posts", "bg_avg", (F.col("part") * 100.0).alias("max_peak_share"), "years_spiked", "total_posts",
     ).orderBy(F.desc("score"), "tag")
 
 
