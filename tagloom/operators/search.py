@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.plans.query import parse
@@ -51,9 +51,10 @@ def matching(posts: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def first_of_file(posts: DataFrame) -> DataFrame:
-    """One post for each md5, that with the smallest id; all posts without md5 are one."""
-    best = Window.partitionBy("md5").orderBy(F.asc_nulls_last("id"), F.asc_nulls_first("created_at"))
-    return posts.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    """One post for each md5, that with the smallest id; all posts without md5 are one. A file's
+    posts are reduced before the shuffle, so one with very many, or none, is no hot key."""
+    first = F.min_by(F.struct(*posts.columns), F.struct(F.col("id").isNull(), "id", "created_at"))
+    return posts.groupBy(F.col("md5").alias("_md5")).agg(first.alias("_post")).select("_post.*")
 
 
 def ordered(posts: DataFrame, column: str, descending: bool, seed: int = 0) -> DataFrame:
