@@ -141,9 +141,9 @@ def count(posts: DataFrame, scan: Scan) -> Counts:
     artists = None
     if scan.artists:
         pairs = exploded.where("recent and solo is not null").groupBy("tag", "solo").agg(F.count("*").alias("n"))
-        artists = pairs.groupBy("tag").agg(F.sum("n").alias("solo_posts"), F.max("n").alias("top")).where("solo_posts > 0")
-        first = pairs.join(artists.select("tag", "top"), "tag").where("n = top").groupBy("tag").agg(F.min("solo").alias("top_artist"))
-        artists = artists.join(first, "tag")
+        most = F.min(F.struct((-F.col("n")).alias("less"), "solo"))  # of equals the first by name
+        artists = pairs.groupBy("tag").agg(F.sum("n").alias("solo_posts"), most.alias("m"))
+        artists = artists.select("tag", "solo_posts", (-F.col("m.less")).alias("top"), F.col("m.solo").alias("top_artist"))
     return Counts(tags, totals, artists)
 
 
