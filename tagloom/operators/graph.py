@@ -34,6 +34,12 @@ def nodes(posts: DataFrame, max_nodes: int = 60, focus: str = "", categories: tu
     return own.unionByName(beside).orderBy("turn", F.desc("related"), "tag").limit(max_nodes).drop("turn")
 
 
+def settled(chosen: DataFrame) -> DataFrame:
+    """The nodes (at most MOST_NODES rows) as a local table, so that edges, degrees and radii don't
+    count them again."""
+    return chosen.sparkSession.createDataFrame(chosen.limit(MOST_NODES).collect(), chosen.schema)
+
+
 def edge_counts(posts: DataFrame, chosen: DataFrame) -> DataFrame:
     """(a, b, count): posts that have both nodes a < b, each post once."""
     names = chosen.agg(F.collect_set("tag")).scalar()  # one bounded array

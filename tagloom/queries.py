@@ -308,7 +308,7 @@ LIMITED = ("artist", "copyright", "character", "general", "mixed", "unknown")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nodes(posts(spark, d), N)
+    return graph.settled(graph.nodes(posts(spark, d), N))
 
 
 query("bubble_nodes", f"{NODES} select * from nodes")(lambda spark, d: rounded(_nodes(spark, d)))
