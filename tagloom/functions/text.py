@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.model import COLORS, NO_COLOR
+
 UNIT_CHARS = {"Year": 4, "Month": 7, "Day": 10}
 
 
@@ -100,3 +102,14 @@ def derived_url(base: str, size: str, extension: str, digest: Column, url: Colum
     """The URL of a file's rendition by its hash, or its own URL without one."""
     path = F.concat(F.lit(f"{base}/{size}/"), F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 2), F.lit("/"), digest, F.lit(f".{extension}"))
     return F.coalesce(path, absolute_url(url))
+
+
+def color_of(category: Column) -> Column:
+    """The colour in which a category's tags are shown."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in COLORS.items() for x in pair))[category], F.lit(NO_COLOR))
+
+
+def anchors(tags: Column, color: str) -> Column:
+    """Each tag of a tag string as a link to itself, in a colour."""
+    link = lambda t: F.concat(F.lit('<a href="'), t, F.lit(f'" style="color:{color}; text-decoration:none;">'), t, F.lit("</a>"))
+    return F.array_join(F.transform(tag_array(tags), link), " ")

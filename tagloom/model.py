@@ -20,6 +20,8 @@ CATEGORIES = ("artist", "copyright", "character", "general", "meta")
 RATINGS = {"g": "General", "s": "Sensitive", "q": "Questionable", "e": "Explicit"}
 
 MIXED, UNKNOWN = "mixed", "unknown"
+#: The colour of each category's tags, and of tags of no category.
+COLORS = {"artist": "#f38ba8", "copyright": "#cba6f7", "character": "#a6e3a1", "general": "#89b4fa", "meta": "#fab387"}
 NO_COLOR = "#cdd6f4"
 
 

@@ -13,7 +13,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import tag_array
+from tagloom.functions.text import color_of, tag_array
 from tagloom.model import CATEGORIES, column_of
 from tagloom.operators.tags import by_category
 
@@ -91,8 +91,8 @@ class Scoring:
 
 @dataclass
 class Counts:
-    """tags(tag, category, recent, baseline); totals(recent, baseline), one row; artists(tag,
-    solo, top_artist, top): recent posts with one artist only."""
+    """tags(tag, category, recent, baseline); totals(total_recent, total_baseline, scanned, matched), one
+    row; artists(tag, solo, top_artist, top): recent posts with one artist only."""
 
     tags: DataFrame
     totals: DataFrame
@@ -109,16 +109,15 @@ class Counts:
 
 
 def in_windows(posts: DataFrame, scan: Scan) -> DataFrame:
-    """The posts of either window that have all seeds, with ``recent`` and their ``tags``: an
-    array of distinct (tag, category), the category of highest priority first."""
+    """The posts of either window with ``recent``, ``matched`` (whether they have all seeds) and their
+    ``tags``: an array of distinct (tag, category), the category of highest priority first."""
     w = scan.windows
     day = F.substring("created_at", 1, 10)
     near = posts.where((F.col("created_at") >= w.baseline_from) & (F.col("created_at") <= w.recent_to) & (F.char_length("created_at") >= 10))
     recent = day.between(w.recent_from, w.recent_to)
     rows = near.withColumn("recent", recent).where(recent | day.between(w.baseline_from, w.baseline_to))
     listed = tag_array(F.col("tag_string"))
-    if scan.seeds:
-        rows = rows.where(F.size(F.array_except(F.array(*map(F.lit, scan.seeds)), listed)) == 0)
+    matched = F.size(F.array_except(F.array(*map(F.lit, scan.seeds)), listed)) == 0 if scan.seeds else F.lit(True)
     pairs = by_category(tuple(c for c in CATEGORIES if c in scan.categories))
     if scan.count_mode == "tag_string":
         pairs = F.filter(pairs, lambda p: F.array_contains(listed, p["tag"]))
@@ -126,7 +125,7 @@ def in_windows(posts: DataFrame, scan: Scan) -> DataFrame:
         pairs = F.filter(pairs, lambda p: ~p["tag"].isin(list(scan.seeds)))
     solo = tag_array(F.col(column_of("artist")))
     extra = [F.when(F.size(solo) == 1, solo[0]).alias("solo")] if scan.artists else []
-    return rows.select("recent", pairs.alias("tags"), *extra)
+    return rows.select("recent", matched.alias("matched"), pairs.alias("tags"), *extra)
 
 
 def count(posts: DataFrame, scan: Scan) -> Counts:
@@ -134,10 +133,13 @@ def count(posts: DataFrame, scan: Scan) -> Counts:
     priority = F.create_map(*(F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)))
     names = F.array_distinct(F.transform("tags", lambda p: p["tag"]))
     places = F.transform(names, lambda t: F.struct(t.alias("tag"), F.array_min(F.transform(F.filter("tags", lambda p: p["tag"] == t), lambda p: priority[p["category"]])).alias("place")))
-    exploded = rows.select("recent", F.explode(places).alias("t"), *(["solo"] if scan.artists else [])).select("recent", "t.tag", "t.place", *(["solo"] if scan.artists else []))
+    exploded = rows.where("matched").select("recent", F.explode(places).alias("t"), *(["solo"] if scan.artists else [])).select("recent", "t.tag", "t.place", *(["solo"] if scan.artists else []))
     tags = exploded.groupBy("tag").agg(F.min("place").alias("place"), F.count_if("recent").alias("recent"), F.count_if(~F.col("recent")).alias("baseline"))
     tags = tags.select("tag", F.array(*map(F.lit, CATEGORIES))[F.col("place")].alias("category"), "recent", "baseline")
-    totals = rows.agg(F.count_if("recent").alias("total_recent"), F.count_if(~F.col("recent")).alias("total_baseline"))
+    totals = rows.agg(
+        F.count_if(F.col("matched") & F.col("recent")).alias("total_recent"), F.count_if(F.col("matched") & ~F.col("recent")).alias("total_baseline"),
+        F.count("*").alias("scanned"), F.count_if("matched").alias("matched"),
+    )
     artists = None
     if scan.artists:
         pairs = exploded.where("recent and solo is not null").groupBy("tag", "solo").agg(F.count("*").alias("n"))
@@ -147,9 +149,8 @@ def count(posts: DataFrame, scan: Scan) -> Counts:
     return Counts(tags, totals, artists)
 
 
-def scored(counts: Counts, scoring: Scoring) -> DataFrame:
-    """(tag, category, recent_count, baseline_count, recent_pct, baseline_pct, growth_x, delta_pct,
-    score, why), best first. Empty if either window has no posts."""
+def _grown(counts: Counts, scoring: Scoring) -> DataFrame:
+    """The tags that grew, with shares, growth and whether one artist dominates them."""
     rows = counts.tags.where(F.col("recent") >= max(1, scoring.min_recent))
     if scoring.excluded:
         rows = rows.where(~F.col("tag").isin(list(scoring.excluded)))
@@ -164,33 +165,58 @@ def scored(counts: Counts, scoring: Scoring) -> DataFrame:
     rows = rows.withColumn("growth_x", growth)
     if not scoring.only_new:
         rows = rows.where(F.col("growth_x") >= scoring.min_growth)
-    told = F.lit("")
-    if scoring.dominance is not None and counts.artists is not None:
-        rows = rows.join(counts.artists, "tag", "left")
-        part = F.col("top") / F.col("solo_posts") * 100.0
-        known = (F.col("category") != "artist") & (F.col("solo_posts") >= scoring.dominance_min_solo)
-        rows = rows.where(~F.coalesce(known & (part >= scoring.dominance), F.lit(False)))
-        told = F.when(known, F.format_string(" Top artist '%s' = %.1f%% of recent solo posts.", "top_artist", part)).otherwise("")
+    if scoring.dominance is None or counts.artists is None:
+        return rows.withColumn("known", F.lit(False)).withColumn("top_artist", F.lit(None).cast("string")).withColumn("part", F.lit(None).cast("double")).withColumn("dominated", F.lit(False))
+    rows = rows.join(counts.artists, "tag", "left").withColumn("part", F.col("top") / F.col("solo_posts") * 100.0)
+    known = F.coalesce((F.col("category") != "artist") & (F.col("solo_posts") >= scoring.dominance_min_solo), F.lit(False))
+    return rows.withColumn("known", known).withColumn("dominated", F.col("known") & (F.col("part") >= scoring.dominance))
+
+
+def scored(counts: Counts, scoring: Scoring) -> DataFrame:
+    """(tag, category, color, recent_count, baseline_count, recent_pct, baseline_pct, growth_x,
+    delta_pct, score, why), best first. Empty if either window has no posts."""
+    rows = _grown(counts, scoring).where("not dominated")
+    # The sentences of why.
+    told = F.when(F.col("known"), F.format_string(" Top artist '%s' = %.1f%% of recent solo posts.", "top_artist", "part")).otherwise("")
     delta = F.col("recent_pct") - F.col("baseline_pct")
     score = F.log1p("growth_x") * 45.0 + F.log1p(F.col("recent").cast("double")) * 12.0 + F.greatest(F.lit(0.0), delta) * 120.0
     new = F.format_string("New in explosion window: %,d posts, %.5f%% of recent posts.", "recent", "recent_pct")
     rose = F.format_string("Normalized share rose from %.5f%% to %.5f%% (%.2f×).", "baseline_pct", "recent_pct", "growth_x")
     why = F.concat(F.when(F.col("baseline") == 0, new).otherwise(rose), told)
-    named = rows.select("tag", "category", F.col("recent").alias("recent_count"), F.col("baseline").alias("baseline_count"), "recent_pct", "baseline_pct", "growth_x", delta.alias("delta_pct"), score.alias("score"), why.alias("why"))
+    named = rows.select("tag", "category", color_of(F.col("category")).alias("color"), F.col("recent").alias("recent_count"), F.col("baseline").alias("baseline_count"), "recent_pct", "baseline_pct", "growth_x", delta.alias("delta_pct"), score.alias("score"), why.alias("why"))
     return named.orderBy(F.desc("score"), "tag").limit(scoring.limit)
 
 
+def status(counts: Counts, scan: Scan, scoring: Scoring, cached: bool = False) -> str:
+    """One line on a result: how many tags, from what; or which window has no posts."""
+    w, n = scan.windows, counts.totals.first()
+    # The sentences of the status.
+    if not n["total_recent"]:
+        return f"No posts found in the explosion window {w.recent_from} → {w.recent_to} (after seed/type filters)."
+    if not n["total_baseline"]:
+        return f"No posts found in the baseline window {w.baseline_from} → {w.baseline_to} (after seed/type filters)."
+    found = _grown(counts, scoring).agg(F.count_if(~F.col("dominated")).alias("stay"), F.count_if("dominated").alias("drop")).first()
+    dropped = f" Filtered out {found['drop']:,} tag(s) dominated by a single artist (≥{scoring.dominance:g}%)." if found["drop"] else ""
+    return (
+        f"Found {min(found['stay'], scoring.limit):,} normalized exploding tags for type(s): {', '.join(scan.categories)}{' (cached counts)' * cached}.{dropped} "
+        f"Rows scanned in window: {n['scanned']:,}. Seed-matched rows: {n['matched']:,}. "
+        f"Baseline: {w.baseline_from} → {w.baseline_to} ({n['total_baseline']:,} posts). Explosion: {w.recent_from} → {w.recent_to} ({n['total_recent']:,} posts)."
+    )
+
+
 class ExplosionFinder:
-    """Scans once for each Scan and rescores from the kept counts."""
+    """Scans once for each Scan and rescores from the kept counts; ``status`` tells of the last result."""
 
     def __init__(self, posts: DataFrame):
-        self.posts, self.kept = posts, {}
+        self.posts, self.kept, self.status = posts, {}, ""
 
     def find(self, scan: Scan, scoring: Scoring = Scoring()) -> DataFrame:
         if scoring.dominance is not None and not scan.artists:
             scan = replace(scan, artists=True)
-        if scan not in self.kept:
+        cached = scan in self.kept
+        if not cached:
             self.kept[scan] = count(self.posts, scan).persist()
+        self.status = status(self.kept[scan], scan, scoring, cached)
         return scored(self.kept[scan], scoring)
 
     def close(self) -> None:

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import day_of_leap_year, glob_pattern, leap_label, year_month
+from tagloom.functions.text import color_of, day_of_leap_year, glob_pattern, leap_label, year_month
 from tagloom.model import CATEGORIES, column_of
 from tagloom.operators.tags import by_category
 
@@ -148,7 +148,7 @@ def densest(days: DataFrame, window: int) -> DataFrame:
 
 
 def peaks(counts: Counts, spec: PeakSpec = PeakSpec()) -> DataFrame:
-    """(tag, category, peak_date, best_doy, w, score, peak_posts, bg_avg, max_peak_share,
+    """(tag, category, color, peak_date, best_doy, w, score, peak_posts, bg_avg, max_peak_share,
     years_spiked, total_posts), best first."""
     w = spec.window
     named = counts.tags.where(F.col("category").isin(list(spec.categories)) & name_matches(spec.search))
@@ -169,7 +169,7 @@ def peaks(counts: Counts, spec: PeakSpec = PeakSpec()) -> DataFrame:
     lasting = near.where("_sum > 0").select("tag", "category", "best_doy", "score", "peak_posts", "bg_avg", "total_posts", F.inline(F.array(F.struct((F.col("_most") / F.col("_sum")).alias("part"), spiked.alias("years_spiked")))))
     lasting = lasting.where((F.col("part") <= spec.max_peak_share) & (F.col("years_spiked") >= spec.min_recurrence))
     return lasting.select(
-        "tag", "category", leap_label(F.col("best_doy") + w // 2).alias("peak_date"), "best_doy", F.lit(w).alias("w"), "score",
+        "tag", "category", color_of(F.col("category")).alias("color"), leap_label(F.col("best_doy") + w // 2).alias("peak_date"), "best_doy", F.lit(w).alias("w"), "score",
         "peak_posts", "bg_avg", (F.col("part") * 100.0).alias("max_peak_share"), "years_spiked", "total_posts",
     ).orderBy(F.desc("score"), "tag")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterable
+from dataclasses import fields, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,13 @@ from tagloom.sources.posts import read_posts
 
 
 class Engine:
-    """Holds the posts and the last result. Plugins get the engine and may listen for results."""
+    """Holds the posts and the last result. Plugins get the engine and may listen for results.
 
-    def __init__(self, spark: SparkSession, *paths: str, posts: DataFrame | None = None):
+    Folders: ``base`` (the working folder unless given), and below it data and extensions."""
+
+    def __init__(self, spark: SparkSession, *paths: str, posts: DataFrame | None = None, base: str | None = None):
         self.spark = spark
+        self.base = Path(base) if base else Path.cwd()
         self.posts = read_posts(spark, *paths) if posts is None else posts
         self.spec = SearchSpec()
         self.result: DataFrame | None = None
@@ -27,17 +31,44 @@ class Engine:
         self.errors: dict[str, str] = {}
         self._listeners: list[Callable[[DataFrame], None]] = []
 
-    def search(self, spec: SearchSpec | str) -> DataFrame:
-        self.spec = SearchSpec(query=spec) if isinstance(spec, str) else spec
+    def search(self, spec: SearchSpec | str | None = None) -> DataFrame:
+        if spec is not None:
+            self.spec = SearchSpec(query=spec) if isinstance(spec, str) else spec
         self.result = searching.search(self.posts, self.spec)
-        for listener in self._listeners:
-            listener(self.result)
+        self.refresh()
         return self.result
 
     @property
     def query(self) -> str:
         return self.spec.query
 
+    def set_query(self, text: str | None) -> None:
+        """The text that the next search() without an argument takes; the filters stay."""
+        self.spec = replace(self.spec, query=(text or "").strip())
+
+    @property
+    def last_filters(self) -> dict[str, object]:
+        """What the last search asked for beside its query, where it is not the default."""
+        plain = SearchSpec()
+        return {f.name: getattr(self.spec, f.name) for f in fields(SearchSpec) if f.name != "query" and getattr(self.spec, f.name) != getattr(plain, f.name)}
+
+    @property
+    def data_dir(self) -> Path:
+        return self.base / "data"
+
+    @property
+    def extensions_dir(self) -> Path:
+        return self.base / "extensions"
+
+    def set_status(self, text: object) -> None:
+        self.status = str(text)
+
+    def refresh(self) -> None:
+        """Tell the listeners of the result again."""
+        if self.result is not None:
+            for listener in self._listeners:
+                listener(self.result)
+
     def add_to_query(self, tag: str) -> str:
         return append_tag(self.spec.query, tag)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as fn
-from tagloom.model import CATEGORIES
+from tagloom.model import CATEGORIES, COLORS
 from tagloom.operators import autocomplete, explosion, graph, search, seasonality, tags, timeseries
 from tagloom.operators.search import SearchSpec
 from tagloom.plans.query import plain_condition
@@ -165,6 +165,14 @@ def _rare_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("histogram_gapfill", f"{FILLED} select unit, count from f")(_rare)
+_STEPS = {"Year": (4, "-01-01", "%Y"), "Day": (10, "", "%Y-%m-%d")}
+for _name, (_n, _rest, _shape) in _STEPS.items():
+    query(
+        f"histogram_gapfill_{_name.lower()}",
+        f"""with h as (select substr(created_at, 1, {_n}) as unit, count(*) as count from ({RARE}) group by 1),
+        c as (select strftime(unnest(generate_series(min(cast(unit || '{_rest}' as date)), max(cast(unit || '{_rest}' as date)), interval 1 {_name.lower()})), '{_shape}') as unit from h)
+        select c.unit, coalesce(h.count, 0) as count from c left join h using (unit)""",
+    )(lambda spark, d, i=_name: timeseries.without_gaps(timeseries.histogram(search.matching(posts(spark, d), SearchSpec("brand_24 score:>380")), i), i))
 query("histogram_normalized", f"{FILLED} select unit, count, total, round(percent, 6) as percent from s")(lambda spark, d: rounded(_rare_share(spark, d)))
 query("histogram_smoothed", f"{FILLED} select unit, count, total, round(avg(percent) over (order by unit rows between 4 preceding and current row), 6) as percent from s")(lambda spark, d: rounded(timeseries.smoothed(_rare_share(spark, d), "percent", 5)))
 
@@ -220,6 +228,7 @@ def _scored(new: bool = False, exclude_new: bool = False, growth: float = 1.05,
     select * from s order by score desc, tag limit 60"""
 
 
+_COLOR = f"case category {' '.join(f"when '{c}' then '{COLORS[c]}'" for c in CATEGORIES)} end"
 RESULT = ("tag", "category", "recent_count", "baseline_count", "recent_pct", "baseline_pct", "growth_x", "score")
 
 
@@ -238,6 +247,21 @@ DOMINATED = "and not (category <> 'artist' and coalesce((select sum(k) >= 2 and
 
 query("explosion_counts", f"{_exploded(ALL)} select tag, category, recent, baseline from c")(lambda spark, d: explosion.count(posts(spark, d), ALL).tags)
 query("explosion_score", f"{_exploded(ALL)}{_scored()}")(lambda spark, d: _found(spark, d, ALL, explosion.Scoring(5, 1.05, 60)))
+SHARES = f"""{_exploded(SOLO)},
+    w as (select tag, solo, count(*) as n from one where recent and solo is not null group by tag, solo),
+    v as (select tag, sum(n) as all_n, max(n) as top from w group by tag),
+    a as (select v.tag, all_n, top, min(solo) as top_artist from v join w on v.tag = w.tag and w.n = v.top group by v.tag, all_n, top),
+    p as (select c.*, recent * 1.0 / total_recent * 100 as rp, baseline * 1.0 / total_baseline * 100 as bp from c, n where recent >= 5),
+    g as (select p.*, (rp + 1e-6) / (bp + 1e-6) as growth, all_n, top, top_artist, coalesce(category <> 'artist' and all_n >= 2, false) as known from p left join a on p.tag = a.tag)
+    select tag, {_COLOR} as color, round(rp - bp, 6) as delta_pct,
+           case when baseline = 0 then format('New in explosion window: {{:,}} posts, ', recent) || printf('%.5f%% of recent posts.', rp)
+                else printf('Normalized share rose from %.5f%% to %.5f%% (%.2f×).', bp, rp, growth) end
+           || case when known then printf(' Top artist ''%s'' = %.1f%% of recent solo posts.', top_artist, top * 100.0 / all_n) else '' end as why
+    from g where growth >= 1.05 and not (known and top * 100.0 / all_n >= 30)"""
+
+query("explosion_why", SHARES)(lambda spark, d: rounded(explosion.scored(explosion.count(posts(spark, d), SOLO), explosion.Scoring(5, 1.05, 1 << 20, dominance=30.0, dominance_min_solo=2)).select("tag", "color", "delta_pct", "why")))
+query("explosion_totals", f"""{_exploded(SEEDED)}, m as (select count(*) filter (where {SEED_TEST}) as matched, count(*) filter (where recent and {SEED_TEST}) as total_recent, count(*) filter (where not recent and {SEED_TEST}) as total_baseline, count(*) as scanned from rows)
+    select total_recent, total_baseline, scanned, matched from m""")(lambda spark, d: explosion.count(posts(spark, d), SEEDED).totals)
 query("explosion_only_new", f"{_exploded(CHARACTERS)}{_scored(new=True, least=1)}")(lambda spark, d: _found(spark, d, CHARACTERS, explosion.Scoring(1, 1.05, 60, only_new=True)))
 query("explosion_exclude_new", f"{_exploded(CHARACTERS)}{_scored(exclude_new=True, least=1, extra=chr(32).join(['and tag not in', repr(('red_rod', 'old_gear'))]))}")(lambda spark, d: _found(spark, d, CHARACTERS, explosion.Scoring(1, 1.05, 60, exclude_new=True, excluded=("red_rod", "old_gear"))))
 query("explosion_seeded", f"{_exploded(SEEDED, SEED_TEST)}{_scored()}")(lambda spark, d: _found(spark, d, SEEDED, explosion.Scoring(5, 1.05, 60)))
@@ -268,7 +292,7 @@ def _peaks_sql(spec: seasonality.PeakSpec, where: str = "true") -> str:
     z as (select y.tag, max(n) * 1.0 / sum(n) as part, max(n) as mx from y group by 1),
     r as (select z.tag, part, count(*) filter (where n >= mx * 0.1) as years from z join y using (tag) group by 1, 2),
     peaks as (select tag, category, case when best_doy + {w // 2} < 366 then strftime(date '2000-01-01' + cast(best_doy + {w // 2} as integer), '%m-%d') else '01-01' end as peak_date,
-           best_doy, cast({w} as integer) as w, round(sc, 6) as score, peak_posts, round(bg, 6) as bg_avg, round(part * 100, 6) as max_peak_share, years as years_spiked, total_posts
+           best_doy, {_COLOR} as color, cast({w} as integer) as w, round(sc, 6) as score, peak_posts, round(bg, 6) as bg_avg, round(part * 100, 6) as max_peak_share, years as years_spiked, total_posts
     from scored join r using (tag) join cats using (tag) where sc >= {spec.min_score} and part <= {spec.max_peak_share} and years >= {spec.min_recurrence})"""
 
 
@@ -326,6 +350,23 @@ query("bubble_labels", f"{NODES}, b as (select sqrt(min(count)) as lo, sqrt(max(
     lambda spark, d: graph.labelled(graph.radii(_nodes(spark, d)), "nation_2").select("tag")
 )
 
+query("order_random", "select id from posts where score > 400")(lambda spark, d: search.search(posts(spark, d), SearchSpec("score:>400 order:random", seed=7)).select("id"))
+query("tag_anchors", f"select id, coalesce(list_aggregate(list_transform(string_split(tag_string_artist, ' '), lambda t: '<a href=\"' || t || '\" style=\"color:{COLORS['artist']}; text-decoration:none;\">' || t || '</a>'), 'string_agg', ' '), '') as artists from posts")(
+    lambda spark, d: posts(spark, d).select("id", fn.anchors(F.col("tag_string_artist"), COLORS["artist"]).alias("artists"))
+)
+
+
+@query("posts_files", "select id, rating, score, fav_count, created_at, case when id % 2 = 0 then md5 end as md5 from posts where created_at >= '1997-01-01' and created_at <= '1998-06-30'")
+def posts_files(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of two Parquet files of different columns and types, read as one table."""
+    every = posts(spark, d)
+    folder = sinks.scratch(spark)
+    every.where("id % 2 = 0").write.parquet(f"{folder}/even")
+    every.where("id % 2 <> 0").select(F.col("id").cast("string").alias("id"), "rating", F.col("score").cast("double").alias("score"), F.col("fav_count").cast("int").alias("fav_count"), "created_at").write.parquet(f"{folder}/odd")
+    read = sources.read_posts(spark, f"{folder}/even", f"{folder}/odd", f"{folder}/none")
+    return search.matching(read, SearchSpec(date_from="1997-01-01", date_to="1998-06-30")).select("id", "rating", "score", "fav_count", "created_at", "md5")
+
+
 # -- dictionary, files -------------------------------------------------------------------
 
 WORDS = "select lower(p_name) as name, p_size from part"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,14 @@ def write_dictionary(tags: DataFrame, counts: DataFrame, path: str) -> DataFrame
 
 def refreshed(tags: DataFrame, counts: DataFrame) -> DataFrame:
     return tags.drop("count").join(counts.select("tag", "count"), "tag", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files: below the shared one that spark.checkpoint.dir names; in local mode
+    without it, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tagloom-")
+    return f"{root.rstrip('/')}/tagloom/files-{uuid.uuid4().hex}"

@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import explosion, graph, layout, seasonality, tags, timeseries
+from tagloom.operators.search import SearchSpec
 from tagloom.plans.engine import Engine
 from tagloom.sources import sinks
 from tagloom.sources.posts import conform, latest_date
@@ -48,7 +51,7 @@ def test_explosion_counts_posts_once(spark):
     ])
     counts = explosion.count(posts, explosion.Scan(w, ("general",), artists=True))
     assert {r["tag"]: (r["recent"], r["baseline"]) for r in counts.tags.collect()} == {"a": (2, 1), "b": (1, 0)}
-    assert tuple(counts.totals.first()) == (3, 1)
+    assert tuple(counts.totals.first()) == (3, 1, 4, 4)
     assert {r["tag"]: (r["top_artist"], r["share"]) for r in explosion.artist_shares(counts).collect()} == {"a": ("z", 100.0), "b": ("z", 100.0)}
     only = explosion.scored(counts, explosion.Scoring(1, 0, 10, only_new=True)).collect()
     assert [r["tag"] for r in only] == ["b"] and only[0]["growth_x"] == explosion.ONLY_NEW_GROWTH
@@ -111,14 +114,50 @@ def test_edges(spark):
 
 
 def test_layouts():
-    names, radii = [f"t{i}" for i in range(20)], [18.0] * 20
-    edges = [(names[0], n, 0.5) for n in names[1:8]]
-    for places in (layout.structured(names, ["general", "artist"] * 10, list(range(20)), radii, [(a, b) for a, b, _ in edges], "t0"), layout.by_force(names, radii, edges, "t0")):
+    names, radii, counts = [f"t{i}" for i in range(20)], [18.0] * 20, list(range(20))
+    edges = [(names[0], n, 4 * k, 0.1 * k) for k, n in enumerate(names[1:8], 1)]
+    kinds = ["general", "artist"] * 10
+    tied = layout.structured(names, kinds, counts, radii, edges, "t0")
+    for places in (tied, layout.by_force(names, counts, radii, edges, "t0", counts)):
         assert places["t0"] == (0.0, 0.0)
         at = np.array([places[n] for n in names])
         apart = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)) + np.eye(20) * 1e9
         assert apart.min() > 36.0
-    assert layout.by_force([], [], []) == {}
+    far = {t: math.hypot(*p) for t, p in tied.items()}
+    assert max(far[n] for n in names[1:8]) < min(far[n] for n in names[8:]) and far["t7"] < far["t1"]
+    assert layout.structured(["a"], ["meta"], [3], [20.0]) == {"a": (0.0, 0.0)}
+    assert layout.by_force([], [], [], []) == {} == layout.structured([], [], [], [])
+
+
+def test_forces_against_loops():
+    """The force layout, node by node and pair by pair."""
+    rng, f = np.random.default_rng(5), layout.Forces()
+    for focus in ("", "t3"):
+        names, n = [f"t{i}" for i in range(12)], 12
+        counts, related, radii = rng.integers(1, 900, n).tolist(), rng.integers(0, 90, n).tolist(), rng.uniform(10, 30, n).tolist()
+        edges = [(names[i], names[j], int(rng.integers(1, 40)), float(rng.random())) for i in range(n) for j in range(i) if rng.random() < 0.3]
+        ranked = [t for t in sorted(names, key=lambda t: (related[names.index(t)], counts[names.index(t)]) if focus else counts[names.index(t)], reverse=True) if t != focus]
+        at = {t: np.array([math.cos(2 * math.pi * i / len(ranked)), math.sin(2 * math.pi * i / len(ranked))]) * (260 + 28 * (i // 24) if focus else 120 + 16 * i) for i, t in enumerate(ranked)}
+        if focus:
+            at[focus] = np.zeros(2)
+        size, heat = dict(zip(names, radii, strict=True)), 42 + n / 8
+        for _ in range(110):
+            move = {t: -f.to_middle * at[t] for t in names}
+            for s in names:
+                for t in names:
+                    if s != t:
+                        d = float(np.linalg.norm(at[s] - at[t]))
+                        move[s] = move[s] + (at[s] - at[t]) / d * ((f.area / n + f.area_each) / d + f.near_push * max(0.0, size[s] + size[t] + f.near_gap - d))
+            for s, t, together, _ in edges:
+                d = max(1.0, float(np.linalg.norm(at[s] - at[t])))
+                pull = (at[s] - at[t]) / d * (d - size[s] - size[t] - (65 if focus else 48)) * f.spring * (1 + min(3.0, together / 8))
+                move[s], move[t] = move[s] - pull, move[t] + pull
+            for t in names:
+                if t != focus:
+                    at[t] = at[t] + move[t] * min(1.0, heat / float(np.linalg.norm(move[t])))
+            heat *= f.cooling
+        got = layout.by_force(names, counts, radii, edges, focus, related)
+        assert all(got[t] == pytest.approx(tuple(at[t]), abs=1e-3) for t in names)
 
 
 def test_engine_and_plugins(spark, tmp_path):
@@ -126,9 +165,16 @@ def test_engine_and_plugins(spark, tmp_path):
     (tmp_path / "good.py").write_text("def setup(engine):\n    engine.on_result(lambda df: setattr(engine, 'status', 'seen'))\n")
     (tmp_path / "bad.py").write_text("def register(engine):\n    raise RuntimeError('no')\n")
     (tmp_path / "none.py").write_text("x = 1\n")
-    engine = Engine(spark, posts=posts)
+    engine = Engine(spark, posts=posts, base=str(tmp_path))
+    assert engine.data_dir == tmp_path / "data" and engine.extensions_dir == tmp_path / "extensions"
     assert engine.load_plugins(str(tmp_path)) == ["good"] and engine.errors == {"bad": "no"}
     assert engine.search("a").count() == 1 and engine.status == "seen" and engine.add_to_query("b") == "a b "
+    engine.search(SearchSpec("a", date_from="2020-01-01", dedup=True))
+    assert engine.last_filters == {"date_from": "2020-01-01", "dedup": True}
+    engine.set_query(" x ")
+    assert engine.query == "x" and engine.search().count() == 1 and engine.last_filters["dedup"]
+    engine.set_status(3)
+    assert engine.status == "3"
     with pytest.raises(FileNotFoundError):
         Engine(spark, str(tmp_path / "missing.parquet"))
 
