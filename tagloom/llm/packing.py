@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.store import small_batches
-from tagloom.llm.tokenise import Encoder
+from tagloom.llm.tokenise import read_file, shared
 
 CAPACITY, SLACK, TAIL = 4096, 0.01, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,18 +103,18 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
     over all workers and the same when a lost task runs again.
     """
     small_batches(df.sparkSession)
+    file = df.sparkSession.sparkContext.broadcast(read_file(tokenizer))  # a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, rows = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 33, capacity), []
+        encoder, packer, rows = shared(file.value), Packer(TaskContext.get().partitionId() << 33, capacity), []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             made = _batch(rows)
             return made.append_column("ids", pa.array([r[2].astype("i4") for r in rows], pa.list_(pa.int32()))) if with_ids else made
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.ids(text.as_py()), np.array([end_id], encoder.dtype))
-                rows += packer.add(key, ids)
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.many(batch.column(1).to_pylist()), strict=True):
+                rows += packer.add(key, np.append(ids, encoder.dtype.type(end_id)))
                 if len(rows) >= 4096:
                     yield out(rows)
                     rows = []

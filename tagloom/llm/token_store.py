@@ -15,8 +15,8 @@ Shards follow the order of document ids. A task writes its shard under a name of
 and reports it; only reported shards are in the manifest, so a repeated task leaves at
 most an unreferenced file. The manifest has one row for each shard.
 
-Defined cases. A null or empty text is its end id alone. Null ids come first and are
-read back as null. Rows that repeat are stored each, equal ids ordered by text. An
+Defined cases. A null or empty text is its end id alone. Null ids come first (ids are above
+-2**63) and are read back as null. Rows that repeat are stored each, equal ids ordered by their text's hash. An
 empty table gives no shard and no rows.
 """
 
@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.store import filesystem, fresh_dir, make_dir, small_batches
-from tagloom.llm.tokenise import Encoder
+from tagloom.llm.store import filesystem, make_dir, small_batches
+from tagloom.llm.tokenise import read_file, shared
 
 MAGIC = b"TLBITS01"
-BLOCK = 1 << 16
+BLOCK, SAMPLE = 1 << 16, 200
 MANIFEST = "shard string, part long, docs long, tokens long, bytes long"
 
 
@@ -150,34 +150,65 @@ class Shard:
             i = j
 
 
+def _bounds(df: DataFrame, parts: int) -> np.ndarray:
+    """parts - 1 ids that cut the ids of df into ranges of about as many rows, from a sample of
+    about SAMPLE ids for each range (or all). A null counts as the smallest id."""
+    rows = df.count()
+    few = df if rows <= SAMPLE * parts else df.sample(SAMPLE * parts / rows, 17)
+    found = np.sort(few.select(F.coalesce("k", F.lit(-(1 << 63))).alias("k")).toArrow()["k"].to_numpy())
+    return found[np.arange(1, parts) * len(found) // parts] if len(found) else found
+
+
+def _range_of(keys: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each id. An id that is a bound has all ranges beside it, in the order of the ties."""
+    first, last = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    share = (ties.astype(np.float64) + 2.0**63) / 2.0**64
+    return (first + np.minimum(share * (last - first + 1), last - first).astype(np.int64)).astype(np.int32)
+
+
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> list[dict]:
     """Encode df into shards below folder, in ascending order of id; the manifest, in order.
 
-    Texts are dealt by ranges of (id, hash), so one id that many rows share is spread too."""
+    Texts are encoded where they lie, and ids of two or four bytes are dealt by ranges of (id,
+    hash of text), so one id that many rows share is spread too, and a lost shard encodes nothing again.
+    There are as many shards as df has partitions, or shuffle partitions if these are more."""
     spark = df.sparkSession
     small_batches(spark)
     make_dir(spark, folder)
+    file = spark.sparkContext.broadcast(read_file(tokenizer))  # a few MB
+    key, text = F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")
+    picked = df.select(key, F.xxhash64(text).alias("h"), text)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), picked.rdd.getNumPartitions())
+    bounds = _bounds(df.select(key), parts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared(file.value)
+        for batch in batches:
+            keys, ties = batch.column(0).fill_null(-(1 << 63)).to_numpy(), batch.column(1).to_numpy()
+            ids = [x.tobytes() for x in encoder.many(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(_range_of(keys, ties, bounds)), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["part", "k", "h", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, part = Encoder(tokenizer), None, TaskContext.get().partitionId()
+        encoder, writer, part = shared(file.value), None, TaskContext.get().partitionId()
         bits = bits_for(max(encoder.vocab, end_id + 1))
+        end = np.array([end_id], np.uint32)
         shard = f"part-{part:08d}-{uuid.uuid4().hex}.bits"
         fs, root = filesystem(folder)
         out = None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     out = fs.open_output_stream(f"{root}/{shard}")
                     writer = ShardWriter(out, bits)
-                writer.add(key, np.append(encoder.ids(text.as_py()), np.array([end_id], encoder.dtype)))
+                writer.add(key, np.concatenate((np.frombuffer(ids.as_buffer(), encoder.dtype), end)))
         if writer is not None:
             size = writer.close()
             out.close()
             row = [[shard], [part], [len(writer.keys)], [writer.total], [size]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["shard", "part", "docs", "tokens", "bytes"])
 
-    key, text, tie = F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col)).alias("h")
-    dealt = df.select(key, text, tie).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+    encoded = picked.mapInArrow(encode, "part int, k long, h long, ids binary")
+    dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("k", "h", "ids").select("k", "ids")
     rows = dealt.mapInArrow(run, MANIFEST).collect()  # one row for each task
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from tagloom.llm import packing, ppm, quality, queries, textops, token_store, toxicity, warc
 from tagloom.llm.store import fresh_dir
-from tagloom.llm.tokenise import Encoder
+from tagloom.llm.tokenise import Encoder, read_file
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, sequence_id string, score string"
@@ -28,7 +28,7 @@ def docs(spark, rows):
 
 @pytest.fixture(scope="module")
 def encoders():
-    return {kind: Encoder(queries.tokenizer_path(kind), memo=500) for kind in ("bytes", "words")}
+    return {kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=500) for kind in ("bytes", "words")}
 
 
 def plain_ids(encoder, text):
@@ -49,9 +49,15 @@ def test_any_text_is_encoded_alike(text):
         assert encoder.ids(text).tolist() == plain_ids(encoder, text)
 
 
+def test_marks_after_known_words(encoders):
+    for encoder in encoders.values():
+        for text in ("a foo- foo b", "a foo-, foo, foo., b.; b foo: foo!", "\nfoo-\nfoo-. 12. 12 x.. .", "é é. É, \u0130 \u0130. ß. \ufb01."):
+            assert encoder.ids(text).tolist() == plain_ids(encoder, text)
+
+
 def _cached(held={}):  # noqa: B006
     if not held:
-        held.update({kind: Encoder(queries.tokenizer_path(kind), memo=50) for kind in ("bytes", "words")})
+        held.update({kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=50) for kind in ("bytes", "words")})
     return held
 
 
