@@ -27,7 +27,7 @@ from operator import is_
 
 import numpy as np
 
-LONG_WORD, MEMO, CHUNK, GROUP = 64, 600_000, 1 << 20, 200
+LONG_WORD, MEMO, CHUNK, GROUP = 64, 400_000, 1 << 20, 200
 _INSIDE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters beyond ASCII that are one letter in lower case too.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
