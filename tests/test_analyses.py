@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import explosion, graph, layout, seasonality, tags, timeseries
-from tagloom.operators.search import SearchSpec
+from tagloom.operators.search import SearchSpec, first_of_file, matching
 from tagloom.plans.engine import Engine
 from tagloom.sources import sinks
-from tagloom.sources.posts import conform, latest_date
+from tagloom.sources.posts import conform, latest_date, read_posts
 from tagloom.streaming.counts import windowed_counts
 
 
@@ -202,3 +202,54 @@ def test_streaming_counts(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r["key"], r["count"]) for r in spark.table("counted").collect()] == [("a", 2)]
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_plans_over_files(spark, tmp_path):
+    """Dates and columns reach the Parquet scan, and no analysis reads the posts twice."""
+    rows = [(k, f"2024-{1 + k % 12:02d}-11", "x", f"a b{k % 3}", str(k % 7) if k % 5 else None) for k in range(40)]
+    made(spark, rows[:20]).write.parquet(str(tmp_path / "one"))
+    made(spark, rows[20:]).drop("image_width").withColumn("id", F.col("id").cast("string")).write.parquet(str(tmp_path / "two"))
+    one, both = read_posts(spark, str(tmp_path / "one")), read_posts(spark, str(tmp_path / "one"), str(tmp_path / "two"))
+    assert sorted(r["id"] for r in both.collect()) == list(range(40))
+    found = matching(one, SearchSpec(date_from="2024-03-01", date_to="2024-06-30")).select("id")
+    plan = plan_of(found)
+    assert "GreaterThanOrEqual(created_at,2024-03-01)" in plan and "LessThanOrEqual(created_at,2024-06-30)" in plan
+    assert "ReadSchema: struct<id:bigint,created_at:string>" in plan
+    window = explosion.Windows("2024-01-01", "2024-06-30", "2024-07-01", "2024-12-31")
+    counts = explosion.count(one, explosion.Scan(window, artists=True))
+    for df in (counts.tags, counts.artists, seasonality.peaks(seasonality.count(one, 1)), first_of_file(one), graph.settled(graph.nodes(one, 5))):
+        assert plan_of(df).count("Batched: true") <= 1
+    scan = plan_of(counts.tags)
+    assert "GreaterThanOrEqual(created_at,2024-01-01)" in scan and "md5" not in scan
+    assert {r["md5"]: r["id"] for r in first_of_file(one).collect()}[None] == 0
+
+
+def test_counts_from_tables(spark):
+    """Peaks of counts that were kept as tables are those of the counts themselves."""
+    posts = made(spark, [(k, f"{2018 + k % 5}-{1 + (k % 4 == 0) * 6:02d}-{1 + k % 20:02d}", "x", "a" if k % 2 else "b", None) for k in range(1, 200)])
+    counts, spec = seasonality.count(posts, 1), seasonality.PeakSpec(30, 0.5, 0.9, 1)
+    rows = lambda c: sorted(map(tuple, seasonality.peaks(c, spec).collect()))
+    assert rows(counts) and rows(seasonality.Counts.of(counts.days, counts.months, counts.all_months, counts.categories)) == rows(counts)
+    kept = counts.keep()
+    assert rows(kept) == rows(counts) and not spark.catalog.listTables()
+    kept.close()
+
+
+def test_explosion_status(spark):
+    posts = made(spark, [(k, "2024-01-05" if k % 3 else "2024-02-05", "x", "a", None) for k in range(30)])
+    window = explosion.Windows("2024-01-01", "2024-01-31", "2024-02-01", "2024-02-29")
+    finder = explosion.ExplosionFinder(posts)
+    found = finder.find(explosion.Scan(window, ("general",)), explosion.Scoring(1, 0.0, 10)).collect()
+    assert [(r["tag"], r["color"]) for r in found] == [("a", "#89b4fa")] and found[0]["delta_pct"] == 0.0
+    assert finder.status.startswith("Found 1 normalized exploding tags for type(s): general. Rows scanned in window: 30. Seed-matched rows: 30.")
+    finder.find(explosion.Scan(window, ("general",)), explosion.Scoring(1, 0.0, 10, dominance=50.0))
+    assert "Filtered out 1 tag(s) dominated by a single artist (≥50%)." in finder.status and "(cached counts)" not in finder.status
+    finder.find(explosion.Scan(window, ("general",)), explosion.Scoring(1, 0.0, 5))
+    assert "(cached counts)" in finder.status
+    finder.find(explosion.Scan(window, ("general",), ("nowhere",)))
+    assert finder.status.startswith("No posts found in the explosion window")
+    finder.close()
