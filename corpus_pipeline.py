@@ -1,12 +1,12 @@
 """The training-data pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result
-as Parquet in the shared folder and hands it to the next. All stages but the last keep the
-columns of documents.
+as Parquet in the shared folder and hands it to the next; what a stage wrote on its way, and
+its predecessor's result, are deleted then. All stages but the last keep the columns of documents.
 
-Rows and columns. Null texts count as empty, extra columns stay, repeated rows are one
-document to the dedup stages, and rows without doc_id are kept by the stages that decide by
-doc_id. An empty table passes through empty.
+Rows and columns. Null texts count as empty, extra columns stay, and repeated rows are one
+document to the dedup stages. The n-gram Jaccard join decides by doc_id and keeps rows without
+one; all other stages decide by row. An empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import decontaminate, exact_dedup, jaccard, packing, quality
 from tagloom.llm.queries import tokenizer_path
-from tagloom.llm.store import materialise
+from tagloom.llm.store import discard, finished
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, written = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
