@@ -36,9 +36,11 @@ def top_tags(posts: DataFrame, category: str, n: int = 100) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag").limit(n)
 
 
-def tag_counts(posts: DataFrame) -> DataFrame:
-    """(tag, count) over the tag strings, most frequent first."""
-    tags = posts.select(F.explode(tag_array(F.col("tag_string"))).alias("tag"))
+def tag_counts(posts: DataFrame, empty: bool = False) -> DataFrame:
+    """(tag, count) over the tag strings, most frequent first; with empty, what stands between single
+    spaces, the empty tokens too."""
+    listed = F.split("tag_string", " ") if empty else tag_array(F.col("tag_string"))
+    tags = posts.select(F.explode(listed).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
 
 

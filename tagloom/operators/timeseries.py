@@ -17,6 +17,23 @@ def histogram(posts: DataFrame, interval: str = "Month") -> DataFrame:
     return posts.where(F.col("created_at").isNotNull()).groupBy(unit.alias("unit")).agg(F.count("*").alias("count")).orderBy("unit")
 
 
+class Totals:
+    """Histograms of all posts, kept for each interval until close()."""
+
+    def __init__(self, posts: DataFrame):
+        self.posts, self.kept = posts, {}
+
+    def __call__(self, interval: str = "Month") -> DataFrame:
+        if interval not in self.kept:
+            self.kept[interval] = histogram(self.posts, interval).persist()
+        return self.kept[interval]
+
+    def close(self) -> None:
+        for kept in self.kept.values():
+            kept.unpersist()
+        self.kept.clear()
+
+
 def without_gaps(counts: DataFrame, interval: str = "Month") -> DataFrame:
     """counts with every unit between the first and the last; left as it is if one is no date.
     The calendar is made of the counts' two ends alone, in one row."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,22 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
     return tags.tag_counts(posts(spark, d))
 
 
+SORTED = {"id_asc": "id", "id_desc": "id desc", "score": "score desc, id", "score_asc": "score, id", "favcount": "fav_count desc, id", "favcount_asc": "fav_count, id", "created_at": "created_at desc, id", "date_asc": "created_at, id"}
+
+
+@query("sort_orders", " union all ".join(f"select * from (select '{name}' as ord, id from posts where contains({PAD}, ' brand_24 ') order by {by} limit 4)" for name, by in SORTED.items()))
+def sort_orders(spark: SparkSession, d: str) -> DataFrame:
+    found = [search.search(posts(spark, d), SearchSpec(f"brand_24 order:{name}")).limit(4).select(F.lit(name).alias("ord"), "id") for name in SORTED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("tag_counts_raw", "select tag, count(*) as count from (select unnest(string_split(case when id % 9 = 0 then '' when id % 7 = 0 then replace(tag_string, 'promo', ' ') else tag_string end, ' ')) as tag from posts where tag_string is not null) group by tag")
+def tag_counts_raw(spark: SparkSession, d: str) -> DataFrame:
+    changed = F.when(F.col("id") % 9 == 0, "").when(F.col("id") % 7 == 0, F.replace("tag_string", F.lit("promo"), F.lit(" "))).otherwise(F.col("tag_string"))
+    rows = posts(spark, d).where("tag_string is not null").withColumn("tag_string", changed)
+    return tags.tag_counts(rows, empty=True)
+
+
 @query("tag_map", f"{OCCURRENCES} {TAG_MAP} order by count desc, tag limit 150")
 def tag_map(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tags.tag_map(posts(spark, d), 150))

@@ -239,6 +239,13 @@ def test_counts_from_tables(spark):
     kept.close()
 
 
+def test_totals_are_kept(spark):
+    totals = timeseries.Totals(made(spark, [(1, "2024-01-01", "x", "a", None), (2, "2024-02-01", "x", "a", None)]))
+    assert totals("Year").collect() == [("2024", 2)] and totals("Year") is totals("Year") and totals("Month").count() == 2
+    totals.close()
+    assert not totals.kept
+
+
 def test_explosion_status(spark):
     posts = made(spark, [(k, "2024-01-05" if k % 3 else "2024-02-05", "x", "a", None) for k in range(30)])
     window = explosion.Windows("2024-01-01", "2024-01-31", "2024-02-01", "2024-02-29")
