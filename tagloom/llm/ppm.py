@@ -5,35 +5,38 @@ as a-z) and one end. Two kinds of context predict, the longest first:
 
 - Adaptive: the two words before, as far as this text has had them. The word that follows has
   n / T of what does not escape if it followed n of T times. The escape is estimated over all
-  training texts, for each size of T and number of different followers.
-- Pretrained: byte contexts, all bytes since the space before the word where these are more
-  than six, or the last six to none, whichever words they belong to; a text's first word
-  comes after a space and line feeds. In a context with T occurrences of q
-  different bytes, a byte seen c times has (c - 1/2) / T and an escape q / 2T (method D). After
-  an escape the next shorter context predicts with the bytes of the longer one excluded,
-  and counts every context one byte longer once, as what follows an escape is new. Below the empty
-  context every byte that it has not seen is as likely as another. A word ends with a
-  space, a text with a line feed.
-
-From its sixth byte on a word's contexts lie inside it, so the code length of the rest of
-a word is computed once for the corpus. Up to there contexts reach into the words before
-it; these are windows of seven bytes, counted and looked up over the texts' bytes:
+  training texts, for each size of T and number of different followers. These symbols are whole
+  words; the bytes below them are another alphabet, in which no word is excluded.
+- Pretrained: byte contexts. A word's first ``CROSS`` - 1 bytes have the ``CROSS`` bytes before them, which
+  reach across the space into the words before; the others have all bytes since that space.
+  Shorter contexts are the last six of these bytes to none. A text's first word comes after a
+  space and line feeds. In a context with T occurrences of q different bytes, a byte seen c times
+  has (c - 1/2) / T and an escape q / 2T (method D). After an escape the next shorter context
+  predicts with the bytes of the longer one excluded, and counts every context one byte longer
+  once, as what follows an escape is new. Below the empty context every byte that it has not seen
+  is as likely as another. A word ends with a space, a text with a line feed.
+
+From its byte ``CROSS`` on a word's contexts lie inside it, so the code length of the rest of
+a word is computed once for the corpus. The bytes before it are windows of a byte and the ``CROSS``
+before it, counted and looked up over the texts' bytes:
 
 1. One scan counts the words of all texts (training texts with weight one, others with
    none), summed up for each task and then for each part of the hash range, in the same
    way the windows, and how often adaptive contexts escape.
-2. Windows and the inner events of distinct words (a byte and its contexts) are dealt by the last two bytes
-   before them, so a part has every longer context with these bytes and, with the contexts
-   of one byte and none, which are broadcast, the whole chain of escapes. No context is
-   left out. Each part predicts its events and returns the sums to the words.
+2. Windows and the inner events of distinct words (a byte and its contexts) are dealt by the last
+   three bytes before them, so a part has every longer context with these bytes and, with the
+   contexts of two bytes, one and none, which are broadcast (at most 2**24 entries of a byte after
+   two, of which valid UTF-8 text has fewer), the whole chain of escapes. No context is left out.
+   Each part predicts its events and returns the sums to the words.
 3. Each part sums up its distinct words. The most frequent words, at most
    ``MAX_FREQUENT``, are broadcast with count and code length, and so are the most frequent
    windows, at most ``MAX_WINDOWS``.
 4. A second scan sums up each text's frequent words and windows and passes the others, by
    hash, to the parts, which return their sums.
 
-What is gathered grows with the corpus and stays distributed; only the short contexts and
-the frequent words and windows, of bounded size, reach the driver.
+What is gathered grows with the corpus and stays distributed, in parts whose number grows with
+the texts' bytes; only the short contexts and the frequent words and windows, of bounded size,
+reach the driver.
 
 Defined cases. Null text is empty: its end only. Null ids are scored and train the model
 (they have no remainder to hold them out). Repeated rows are counted and scored each. Other
@@ -43,6 +46,7 @@ no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,13 +57,14 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import textops
 from tagloom.llm.labelled import held_out
-from tagloom.llm.store import discard, materialise, small_batches
+from tagloom.llm.store import discard, finished, materialise, small_batches, tidy
 
-FOLDS, ORDER = 10, 6
+FOLDS, ORDER, CROSS = 10, 6, 4
+PART_BYTES, PART_POWER = 1 << 22, 0.75
 MAX_FREQUENT, MAX_WINDOWS = 1 << 19, 1 << 20
 SMOOTH = 0.1
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
-FLUSH, AT_ONCE = 400_000, 100_000
+FLUSH, AT_ONCE = 200_000, 100_000
 WHOLE = 7
 BLOCK_BITS = 12
 SIZES, FOLLOWERS = 8, 4
@@ -73,6 +78,30 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)] if total else np.empty(0, np.uint8)
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The stable order of evenly spread keys: their leading bits and their places, sorted at once."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length())) if len(keys) else np.uint64(1)
+    mixed = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked = keys[order]
+    alike = mixed[1:] >> bits == mixed[:-1] >> bits
+    if (ranked[1:][alike] != ranked[:-1][alike]).any():
+        return np.argsort(keys, kind="stable")
+    return order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, first place of each, which of them each key is) of evenly spread keys."""
+    order = _ranked(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], order[fresh], back
+
+
 class Words:
     """Distinct words: hashes, counts, sizes and bytes."""
 
@@ -84,7 +113,7 @@ class Words:
         if len(parts) == 1 and len(parts[0].hashes) < 2:
             return parts[0]
         hashes, counts, sizes, data = (np.concatenate([getattr(p, k) for p in parts]) for k in ("hashes", "counts", "sizes", "data"))
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, back = _distinct(hashes)
         starts = np.cumsum(sizes) - sizes
         return Words(keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64), sizes[first], _gather(data, starts[first], sizes[first]))
 
@@ -117,29 +146,27 @@ def _with_ends(hashes: np.ndarray, bounds: np.ndarray, end=END) -> tuple[np.ndar
 
 
 def crossings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word) of the first five bytes of every word with the space after it, and of the
-    ends of texts, each of which is one more word: the byte and the six before it, the byte
-    lowest. Before a text's first space there are line feeds."""
+    """(window, word) of the bytes of every word, with the space after it, whose contexts reach
+    across the space before it, and of the ends of texts, each of which is one more word: the byte,
+    lowest, and above it the bytes before it. Before a text's first space there are line feeds,
+    as beyond the contexts' reach."""
     own = ends - starts
     sizes, bounds = _with_ends(own, bounds, 1)
     real = np.ones(len(sizes), bool)
     real[bounds[1:] - 1] = False
     lead = np.zeros(len(sizes), np.int64)
-    lead[bounds[:-1]] = ORDER - 1
+    lead[bounds[:-1]] = CROSS
     stops = np.cumsum(sizes + 1 + lead)
     begins = stops - sizes - 1
     text = np.full(int(stops[-1]) if len(stops) else 0, 10, np.uint8)
     text[begins] = 32
     text[np.repeat(begins[real] + 1 - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = textops._FOLD[_gather(data, starts, own)]
-    one = text.astype(np.uint64)
-    two = one.copy()
-    two[1:] |= one[:-1] << np.uint64(8)
-    seven = two.copy()
-    seven[2:] |= two[:-2] << np.uint64(16)
-    seven[4:] |= two[:-4] << np.uint64(32)
-    seven[6:] |= one[:-6] << np.uint64(48)
-    owners = [np.flatnonzero(sizes + real >= d) for d in range(1, ORDER)]
-    return np.concatenate([seven[begins[w] + d] for d, w in enumerate(owners, 1)]), np.concatenate(owners)
+    owners = [np.flatnonzero(sizes + real >= d) for d in range(1, CROSS)]
+    places = np.concatenate([begins[w] + d for d, w in enumerate(owners, 1)])
+    window = np.full(len(places), sum(10 << 8 * j for j in range(CROSS + 1, ORDER + 1)), np.uint64)
+    for j in range(CROSS + 1):
+        window |= text[places - j].astype(np.uint64) << np.uint64(8 * j)
+    return window, np.concatenate(owners)
 
 
 def _merged(held: list[np.ndarray]) -> list[np.ndarray]:
@@ -182,7 +209,7 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
                 cut = offsets[a : b + 1]
                 hashes, bounds, starts, ends, _ = textops.find_words(data, cut)
                 weight = np.repeat(learn[a:b], np.diff(bounds)).astype(float)
-                keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+                keys, first, back = _distinct(hashes)
                 sizes = (ends - starts)[first]
                 text = textops._FOLD[_gather(data, starts[first] + int(cut[0]), sizes)]
                 counts = np.bincount(back, weights=weight, minlength=len(keys)).astype(np.int64)
@@ -217,11 +244,12 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
             none = [None]
             yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), *(pa.array(none, pa.binary()) for _ in range(4)), pa.array([tally.reshape(-1)], pa.list_(pa.int64())), pa.array(none, pa.binary())], ["part", "hashes", "counts", "sizes", "data", "tally", "windows"])
 
-    return docs.select("held_out", "text").mapInArrow(count, f"{WORDS}, {TALLY}, windows binary")
+    return docs.select("held_out", "text").mapInArrow(tidy(count), f"{WORDS}, {TALLY}, windows binary")
 
 
 def _vocabulary(counted: DataFrame, parts: int) -> DataFrame:
-    """Rows of up to 65,536 distinct words with their counts in all training texts."""
+    """Blocks of up to 65,536 distinct words with their counts in all training texts, numbered
+    within their part."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Words.of(*row) for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)]
@@ -229,7 +257,8 @@ def _vocabulary(counted: DataFrame, parts: int) -> DataFrame:
             words = Words.join(held)
             for i in range(0, len(words.hashes), 1 << 16):
                 some = words.pick(np.arange(i, min(i + (1 << 16), len(words.hashes))))
-                yield _word_rows(some, np.full(len(some.hashes), int(some.hashes[0] % np.uint64(parts)), np.int32))
+                made = _word_rows(some, np.full(len(some.hashes), int(some.hashes[0] % np.uint64(parts)), np.int32))
+                yield made.append_column("block", pa.array([i >> 16], pa.int32()))
 
     # every word of a row has the same part, so rows of one part meet; parts that share a task are kept apart
     def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +269,7 @@ def _vocabulary(counted: DataFrame, parts: int) -> DataFrame:
         for part in sorted(rows):
             yield from merge(iter(rows.pop(part)))
 
-    return counted.where("hashes is not null").drop("tally", "windows").repartition(parts, "part").mapInArrow(by_part, WORDS)
+    return counted.where("hashes is not null").drop("tally", "windows").repartitionById(parts, F.col("part")).mapInArrow(tidy(by_part), f"{WORDS}, block int")
 
 
 def events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +314,7 @@ def repeats(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     place = place[inside]
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[inside].astype(np.uint64)
     before = textops.mix(textops.mix(words[place - 2] + text) * np.uint64(textops._BASE) + words[place - 1])
-    order = np.argsort(before, kind="stable")
+    order = _ranked(before)
     ranked = before[order]
     fresh = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
     twice = ~fresh
@@ -297,7 +326,7 @@ def repeats(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.flatnonzero(fresh)
     times = np.arange(len(order)) - first[group]
     follows = textops.mix(group.astype(np.uint64) * np.uint64(textops._BASE) + words[place[order]])
-    by = np.argsort(follows, kind="stable")
+    by = _ranked(follows)
     new = np.concatenate(([True], follows[by][1:] != follows[by][:-1]))
     run = np.cumsum(new) - 1
     had = np.empty(len(order), np.int64)
@@ -312,19 +341,27 @@ def repeats(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: An event: the byte and the six before it (the byte lowest), the context WHOLE or zero, its
-#: weight, and the word that asks for it.
-EVENT = np.dtype([("window", "<u8"), ("whole", "<u8"), ("weight", "<i8"), ("word", "<u8")])
+#: weight, and which word of its block asks for it.
+EVENT = np.dtype([("window", "<u8"), ("whole", "<u8"), ("weight", "<i8"), ("word", "<u4")])
 WINDOW = np.dtype([("window", "<u8"), ("weight", "<i8")])
+TERM = np.dtype([("word", "<u4"), ("log", "<f8")])
 
 
 def _packed(rows: np.ndarray) -> bytes:
-    """Compressed here, since Parquet's codec takes memory outside the heap for whole pages."""
-    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(rows.tobytes(), asbytes=True)
+    """Column by column, and compressed here, since Parquet's codec takes memory outside the heap
+    for whole pages."""
+    data = b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
+    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little") * kind.itemsize
-    return np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True), kind)
+    n = int.from_bytes(blob[:8], "little")
+    data = pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True)
+    rows, at = np.empty(n, kind), 0
+    for c in kind.names:
+        rows[c] = np.frombuffer(data, kind[c], n, at)
+        at += n * kind[c].itemsize
+    return rows
 
 
 def _dealt(rows: np.ndarray, part: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -335,20 +372,21 @@ def _dealt(rows: np.ndarray, part: np.ndarray) -> tuple[list[int], list[bytes]]:
 
 
 def _suffix(window: np.ndarray, parts: int) -> np.ndarray:
-    """The part that has every context of two bytes or more with the same last two bytes."""
-    return (textops.mix(window >> _STEP & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int32)
+    """The part that has every context of three bytes or more with the same last three bytes."""
+    return (textops.mix(window >> _STEP & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int32)
 
 
 def _word_events(words: Words) -> np.ndarray:
-    """The events of distinct words whose contexts lie inside the word."""
+    """The events of distinct words whose contexts lie inside the word; line feeds stand for what
+    is before it."""
     padded, places, depth, owner = events(words)
-    inner = _reaches(depth, ORDER)
+    inner = depth >= CROSS
     places, depth, owner = places[inner], depth[inner], owner[inner]
     window = padded[places].astype(np.uint64)
     for j in range(1, ORDER + 1):
-        window |= padded[places - j].astype(np.uint64) << np.uint64(8 * j)
+        window |= np.where(depth >= j, padded[places - j], 10).astype(np.uint64) << np.uint64(8 * j)
     rows = np.zeros(len(places), EVENT)
-    rows["window"], rows["weight"], rows["word"] = window, words.counts[owner], words.hashes[owner]
+    rows["window"], rows["weight"], rows["word"] = window, words.counts[owner], owner
     far = np.flatnonzero(_reaches(depth, WHOLE))
     rows["whole"][far] = _contexts(padded, places[far], depth[far], WHOLE)
     return rows
@@ -360,32 +398,58 @@ def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.bincount(back, weights=weights, minlength=len(found)), times
 
 
-def _common(events_: DataFrame) -> tuple[np.ndarray, ...]:
-    """(keys, above, weights, kinds) of the contexts of one byte and none, which every part needs:
-    at most 65,792 entries."""
+class Common:
+    """(keys, above, weights, kinds) of the contexts of one byte and none, and of those of two."""
+
+    def __init__(self, window: np.ndarray, n: np.ndarray, kinds: np.ndarray):
+        self.before = (window >> _STEP).astype(np.uint16)
+        self.two = (np.uint64(2 << 56) | window, np.uint64(1 << 48) | (window & np.uint64(0xFFFF)) >> _STEP, n, kinds)
+        pairs, total, different = _grouped(window & np.uint64(0xFFFF), n)
+        last, every, after = _grouped(pairs & _BYTE, total)
+        none = np.zeros(len(pairs) + len(last), np.uint64)
+        self.short = (np.concatenate((np.uint64(1 << 56) | pairs, last)), none, np.concatenate((total, every)), np.concatenate((different, after)))
+
+    def beside(self, window: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """The short contexts and, of those of two bytes, the ones that these events come after."""
+        asked = np.zeros(1 << 16, bool)
+        asked[(window >> _STEP).astype(np.uint16)] = True
+        some = asked[self.before]
+        return [tuple(column[some] for column in self.two), self.short]
+
+
+def _common(events_: DataFrame) -> Common:
+    """The contexts that every part needs, from the events' and windows' last four bytes."""
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.uint64), np.empty(0))
+        waiting, size = [held], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _grouped(np.concatenate([w for w, _ in waiting]), np.concatenate([n for _, n in waiting]))[:2]
+
         for batch in batches:
             for inner, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = _unpacked(inner, EVENT) if blob is None else _unpacked(blob, WINDOW)
                 rows = rows[rows["weight"] > 0]
-                held = _grouped(np.concatenate((held[0], rows["window"] & np.uint64(0xFFFFFF))), np.concatenate((held[1], rows["weight"])))[:2]
-        for i in range(0, len(held[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][i : i + (1 << 16)].astype(np.int64)), pa.array(held[1][i : i + (1 << 16)].astype(np.int64))], ["window", "n"])
-
-    three = events_.select("rows", "windows").mapInArrow(short, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
-    two = three.groupBy(F.expr("window & 65535").alias("window")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
-    window, n, kinds = (two[c].to_numpy() for c in ("window", "n", "kinds"))
-    window = window.astype(np.uint64)
-    last, total, different = _grouped(window & _BYTE, n)
-    above = np.zeros(len(window) + len(last), np.uint64)
-    return np.concatenate((np.uint64(1 << 56) | window, last)), above, np.concatenate((n, total)), np.concatenate((kinds, different))
-
-
-def _part_trie(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, ...]) -> Trie:
-    """The trie of all training events with some two last bytes of their contexts, and of the
+                waiting.append(_grouped(rows["window"] & np.uint64(0xFFFFFFFF), rows["weight"])[:2])
+                size += len(waiting[-1][0])
+                if size > 4 * FLUSH:
+                    waiting = [merged()]
+                    size = 0
+        window, n = merged()
+        for i in range(0, len(window), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(window[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["window", "n"])
+
+    four = events_.select("rows", "windows").mapInArrow(tidy(short), "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    three = four.groupBy(F.expr("window & 16777215").alias("window")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    window, n, kinds = (three[c].to_numpy() for c in ("window", "n", "kinds"))
+    return Common(window.astype(np.uint64), n, kinds)
+
+
+def _part_trie(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: Common) -> Trie:
+    """The trie of all training events with some three last bytes of their contexts, and of the
     common contexts. An entry's kinds are the contexts one longer that have it."""
+    beside = common.beside(window)
     ok = weight > 0
     window, whole, weight = window[ok], whole[ok], weight[ok]
     long = whole > 0
@@ -394,10 +458,10 @@ def _part_trie(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common
     found = [(own, np.uint64(ORDER << 48) | under >> _STEP, np.bincount(back, weights=weight[long], minlength=len(own)), np.ones(len(own)))]
     direct, times, _ = _grouped(window[~long], weight[~long])
     under, n = np.concatenate((under, direct)), np.concatenate((found[0][2], times))
-    for order in range(ORDER, 1, -1):
+    for order in range(ORDER, 2, -1):
         under, n, kinds = _grouped(under & np.uint64((1 << 8 * (order + 1)) - 1), n)
         found.append((np.uint64(order << 56) | under, np.uint64((order - 1) << 48) | (under & np.uint64((1 << 8 * order) - 1)) >> _STEP, n, kinds))
-    return Trie(*(np.concatenate(x) for x in zip(*found, common, strict=True)))
+    return Trie(*(np.concatenate(x) for x in zip(*found, *beside, strict=True)))
 
 
 class Trie:
@@ -479,66 +543,77 @@ def _bin(counts: np.ndarray) -> np.ndarray:
 
 
 def _answers(vocabulary: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
-    """(part, terms, hashes, weights, logs, often): log10 probabilities of the inner parts of
-    distinct words, in terms to be summed up, and of windows, with their hashes and counts."""
+    """(part, block, terms, hashes, weights, logs, often): log10 probabilities of the inner parts of
+    blocks of distinct words, in terms to be summed up, and of windows, with their hashes and counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for own, block, *row in zip(*(batch.column(i).to_pylist() for i in (0, 5, 1, 2, 3, 4)), strict=True):
                 rows = _word_events(Words.of(*row))
                 part, blobs = _dealt(rows, _suffix(rows["window"], parts))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([own] * len(part), pa.int32()), pa.array([block] * len(part), pa.int32()), pa.array(blobs, pa.binary())], ["part", "own", "block", "rows"])
 
-    inner = materialise(vocabulary.mapInArrow(ask, "part int, rows binary"), "events", compression="none")
-    none = F.lit(None).cast("binary")
-    asked = inner.select("part", "rows", none.alias("windows")).unionByName(windows.select("part", none.alias("rows"), "windows"))
+    inner = materialise(vocabulary.mapInArrow(tidy(ask), "part int, own int, block int, rows binary"), "events", compression="none")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = inner.select("part", "own", "block", "rows", none("binary").alias("windows")).unionByName(windows.select("part", none("int").alias("own"), none("int").alias("block"), none("binary").alias("rows"), "windows"))
     common = vocabulary.sparkSession.sparkContext.broadcast(_common(asked))
-    kind = np.dtype([("word", "<u8"), ("log", "<f8")])
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    names = ["part", "terms", "hashes", "weights", "logs", "often"]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = ["part", "block", "terms", "hashes", "weights", "logs", "often"]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = [np.empty(0, EVENT)], [np.empty(0, WINDOW)]
+        held, met, blocks = [np.empty(0, EVENT)], [np.empty(0, WINDOW)], [(0, 0)]
         waiting = 0
         for batch in batches:
-            for rows, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for own, block, rows, blob in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if blob is None:
                     held.append(_unpacked(rows, EVENT))
+                    blocks.append((own, block))
                 else:
                     met.append(_unpacked(blob, WINDOW))
                     waiting += len(met[-1])
                     if waiting > max(4 * AT_ONCE, len(met[0])):
                         met, waiting = _merged(met), 0
+        ends = np.cumsum([len(x) for x in held])
         every, seen = np.concatenate(held), _merged(met)[0]
         del held, met
         if not len(every) + len(seen):
             return
         window, whole = np.concatenate((every["window"], seen["window"])), np.concatenate((every["whole"], np.zeros(len(seen), np.uint64)))
-        logs = _part_logs(window, whole, np.concatenate((every["weight"], seen["weight"])), common.value)
-        del window, whole
-        words, back = np.unique(every["word"], return_inverse=True)
-        sums = np.empty(len(words), kind)
-        sums["word"], sums["log"] = words, np.bincount(back, weights=logs[: len(every)], minlength=len(words))
-        part, blobs = _dealt(sums, (words % np.uint64(parts)).astype(np.int32))
-        none = [None] * len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((part, blobs, none, none, none, none), kinds, strict=True)], names)
-        hashes, logs, weights = textops.mix(seen["window"]), logs[len(every) :], seen["weight"]
+        weight, word = np.concatenate((every["weight"], seen["weight"])), every["word"].copy()
+        del every
+        logs = _part_logs(window, whole, weight, common.value)
+        del window, whole, weight
+        for (own, block), start, end in zip(blocks[1:], ends[:-1], ends[1:], strict=True):
+            words, back = np.unique(word[start:end], return_inverse=True)
+            sums = np.empty(len(words), TERM)
+            sums["word"], sums["log"] = words, np.bincount(back, weights=logs[start:end], minlength=len(words))
+            row = (own, block, _packed(sums), None, None, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+        hashes, logs, weights = textops.mix(seen["window"]), logs[len(word) :], seen["weight"]
         to = (hashes % np.uint64(parts)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         for c in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
             if len(c):
                 often = np.bincount(_bin(weights[c])[weights[c] > 0], minlength=1024).tolist()
-                row = (int(to[c[0]]), None, hashes[c].tobytes(), weights[c].tobytes(), logs[c].tobytes(), often)
+                row = (int(to[c[0]]), None, None, hashes[c].tobytes(), weights[c].tobytes(), logs[c].tobytes(), often)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    made = materialise(asked.repartition(parts, "part").mapInArrow(answer, "part int, terms binary, hashes binary, weights binary, logs binary, often array<long>"), "answers")
+    made = materialise(asked.repartitionById(parts, F.col("part")).mapInArrow(tidy(answer), "part int, block int, terms binary, hashes binary, weights binary, logs binary, often array<long>"), "answers")
     discard(inner)
     return made
 
 
 def _frequent(rows: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, counts, logs) of the items with the largest counts, at most room, by hash."""
-    levels = rows.select(F.posexplode("often").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # 1,024 rows
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.zeros(1024, np.int64)
+        for batch in batches:
+            every += batch.column(0).flatten().to_numpy().reshape(-1, 1024).sum(0)
+        bins = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(every[bins])], ["bin", "n"])
+
+    tallied = rows.select("often").mapInArrow(tidy(tally), "bin int, n long")
+    levels = tallied.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # 1,024 rows
     least = 1 << 30
     for row in levels:
         room -= row["n"]
@@ -553,23 +628,39 @@ def _frequent(rows: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray, np.nd
                 ok = (c > 0) & (_bin(c) >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)[ok]), pa.array(c[ok]), pa.array(np.frombuffer(logs)[ok])], ["hash", "n", "log"])
 
-    found = rows.select("hashes", "counts", "logs").mapInArrow(pick, "hash long, n long, log double").toArrow()  # at most room rows
+    found = rows.select("hashes", "counts", "logs").mapInArrow(tidy(pick), "hash long, n long, log double").toArrow()  # at most room rows
     keys = found["hash"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found["n"].to_numpy()[order], found["log"].to_numpy()[order]
 
 
-def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted keys, whether it is there)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+class Table:
+    """Sorted evenly spread hashes, found by their leading bits."""
 
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
 
-def _part_logs(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, ...]) -> np.ndarray:
-    """log10 probabilities of events, a few of the last two bytes of contexts at a time."""
-    last = (window >> _STEP).astype(np.uint16)
+    def look(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, whether it is there)."""
+        slot = wanted >> self.shift
+        at, stop = self.first[slot], self.first[slot + np.uint64(1)]
+        hit = np.zeros(len(wanted), bool)
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            same = self.keys[at[live]] == wanted[live]
+            hit[live[same]] = True
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < stop[live]]
+        return np.minimum(at, max(0, len(self.keys) - 1)), hit
+
+
+def _part_logs(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common: Common) -> np.ndarray:
+    """log10 probabilities of events, a few of the last three bytes of contexts at a time."""
+    last = sum((window >> np.uint64(8 * j) & _BYTE).astype(np.uint32) << np.uint32(8 * (3 - j)) for j in (1, 2, 3))
     order = np.argsort(last, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(last[order])) + 1, len(order))
     logs = np.empty(len(window))
@@ -582,23 +673,19 @@ def _part_logs(window: np.ndarray, whole: np.ndarray, weight: np.ndarray, common
     return logs
 
 
-def _add_terms(hashes: np.ndarray, terms: list[bytes]) -> np.ndarray:
-    """The sum of the terms of each of the words."""
-    kind = np.dtype([("word", "<u8"), ("log", "<f8")])
-    found = np.concatenate([np.empty(0, kind), *(_unpacked(blob, kind) for blob in terms)])
-    order = np.argsort(hashes)
-    at = np.minimum(np.searchsorted(hashes, found["word"], sorter=order), max(0, len(hashes) - 1))
-    return np.bincount(order[at], weights=found["log"], minlength=len(hashes))
+def score(df: DataFrame, **options) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, as a written
+    table. base_score is the text's log10 probability by smoothed word frequencies."""
+    return finished(lambda: _score(df, **options), "scores")
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    base_score is the text's log10 probability by smoothed word frequencies."""
+def _score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    # distinct words and windows grow with a power of the text
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size / PART_BYTES) ** PART_POWER))
     counted = materialise(_counted(docs, parts), "counted")
     tallies = counted.where("tally is not null").select(F.posexplode("tally").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()  # 64 rows
     tally = np.zeros((2, SIZES * FOLLOWERS))
@@ -611,28 +698,26 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
     terms = answers.where("terms is not null")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        found: list[bytes] = []
+        held: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+        found: dict[tuple[int, int], list[bytes]] = {}
         for batch in batches:
-            for *row, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, block, hashes, counts, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if blob is None:
-                    held.append(row)
+                    held[part, block] = hashes, counts
                 else:
-                    found.append(blob)
-        if not held:
-            return
-        keys = np.concatenate([np.frombuffer(hashes, np.uint64) for _, hashes, _ in held])
-        logs = np.split(_add_terms(keys, found), np.cumsum([len(hashes) // 8 for _, hashes, _ in held])[:-1])
-        for (part, hashes, counts), log in zip(held, logs, strict=True):
+                    found.setdefault((part, block), []).append(blob)
+        for key, (hashes, counts) in held.items():
             c = np.frombuffer(counts, np.int64)
+            terms = np.concatenate([np.empty(0, TERM), *(_unpacked(blob, TERM) for blob in found.pop(key, ()))])
+            log = np.bincount(terms["word"], weights=terms["log"], minlength=len(c))
             often = np.bincount(_bin(c)[c > 0], minlength=1024)
-            row = (part, hashes, counts, log.tobytes(), int(c.sum()), int((c > 0).sum()), often.tolist())
+            row = (key[0], hashes, counts, log.tobytes(), int(c.sum()), int((c > 0).sum()), often.tolist())
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "hashes", "counts", "logs", "tokens", "known", "often"])
 
     none = F.lit(None).cast("binary")
-    both = vocabulary.select("part", "hashes", "counts", none.alias("terms")).unionByName(terms.select("part", none.alias("hashes"), none.alias("counts"), "terms"))
-    judged = materialise(both.repartition(parts, "part").mapInArrow(judge, "part int, hashes binary, counts binary, logs binary, tokens long, known long, often array<long>"), "words")
+    both = vocabulary.select("part", "block", "hashes", "counts", none.alias("terms")).unionByName(terms.select("part", "block", none.alias("hashes"), none.alias("counts"), "terms"))
+    judged = materialise(both.repartitionById(parts, F.col("part")).mapInArrow(tidy(judge), "part int, hashes binary, counts binary, logs binary, tokens long, known long, often array<long>"), "words")
     discard(vocabulary)
     sums = judged.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
@@ -645,6 +730,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_known, bases, logs, common_windows, window_logs = table.value
+        known_words, known_windows = Table(hashes_known), Table(common_windows)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = textops.text_buffers(batch.column(2))
@@ -659,10 +745,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
                 asked[place[share > 0]] = False
                 ahead = np.zeros(len(hashes))
                 ahead[place] = np.log10(np.where(share > 0, (1 - escapes[bucket]) * share, escapes[bucket]))
-                at, hit = _look(hashes_known, hashes)
+                at, hit = known_words.look(hashes)
                 some = asked[owner]
                 window, owner = textops.mix(window[some]), owner[some]
-                there, found = _look(common_windows, window)
+                there, found = known_windows.look(window)
                 if len(common_windows):
                     ahead += np.bincount(owner[found], weights=window_logs[there[found]], minlength=len(hashes))
                 add = lambda v, b=bounds: np.diff(np.concatenate(([0.0], np.cumsum(v)))[b])
@@ -690,7 +776,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, scan_kinds, strict=True)], scan_names)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, part int, hashes binary, rows binary"
-    scanned = materialise(docs.mapInArrow(scan, schema), "scan")
+    scanned = materialise(docs.mapInArrow(tidy(scan), schema), "scan")
 
     kind = np.dtype([("row", "<i8"), ("known", "<f8"), ("base", "<f8"), ("log", "<f8")])
 
@@ -734,8 +820,8 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold
 
     questions = scanned.where("part is not null").select("part", "hashes", "rows", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("logs"))
     known = judged.select("part", "hashes", none.alias("rows"), "counts", "logs").unionByName(windows.select("part", "hashes", none.alias("rows"), none.alias("counts"), "logs"))
-    sums = questions.unionByName(known).repartition(parts, "part").mapInArrow(meet, "block long, sums binary")
-    more = sums.repartition(parts, "block").mapInArrow(add_up, "row long, known long, base_more double, log_more double")
+    sums = questions.unionByName(known).repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), "block long, sums binary")
+    more = sums.repartition(parts, "block").mapInArrow(tidy(add_up), "row long, known long, base_more double, log_more double")
     full = scanned.where("part is null").join(more, "row", "left")
     nothing = lambda c: F.coalesce(F.col(c), F.lit(0))
     per_token = float(np.log10(total + SMOOTH * (distinct + 1)))

@@ -8,12 +8,15 @@ other's local disks.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,16 +45,35 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     that survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(made)
+    return made
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a written table, without the tables that were written on the way."""
+    _scopes.append([])
+    try:
+        df = make()
+    finally:
+        scope = _scopes.pop()
+    made = materialise(df, name)
+    for table in scope:
+        discard(table)
+    return made
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by materialise(), once nothing reads it any more."""
+    """Delete the files behind a table made by materialise(), once nothing reads it any more; a second
+    time nothing happens. Spark deletes the shuffle files of plans that are gone when the driver
+    collects its garbage, which a large heap may put off for long, so this asks for it."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def make_dir(spark: SparkSession, uri: str) -> None:
@@ -96,6 +118,36 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def _libc():
+    """The C library where it is glibc, whose allocator can be told to give memory back."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim, libc.mallopt  # noqa: B018
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches after which the worker process, which is kept for later tasks, gives its free
+    memory back. Large arrays are mapped on their own, so that they leave no holes in the heap."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """For each name, that name or a variant of it that no column of df has (in any case)."""
     taken = {c.lower() for c in df.columns}
