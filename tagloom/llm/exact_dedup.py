@@ -6,7 +6,8 @@ more form a second filter. Pass 2 tests every row: a text that occurs twice hits
 such slots, so a row that misses one is unique and passes straight through without a
 shuffle. Only the rest ("possibly repeated") are grouped by their SHA-256.
 
-Bounds. The broadcast filter has at most ``max_filter_bits / 64`` rows of 16 bytes.
+Bounds. The broadcast filter has at most ``max_filter_bits / 64`` rows of 16 bytes; unless given, so
+many that they take about a thirty-second of an executor's memory, and 2**20 rows at least.
 Beyond about ``max_filter_bits / 16`` texts it passes less and less straight through, and
 rows are grouped by digest instead; the result is the same. Groups with at least a
 65,536th of all rows are at most 65,536, so their keepers are broadcast and none of their
@@ -21,18 +22,28 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.joins import with_ids
 from tagloom.llm.store import materialise, unused
 
 HOT_SHARE = 65536
-MAX_FILTER_BITS = 1 << 26
+MIN_FILTER_BITS, ROW_COST, MEMORY_SHARE = 1 << 26, 64, 32
+
+
+def filter_bits(spark: SparkSession) -> int:
+    """The filter's bits for which this session's executors have room."""
+    memory = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.sparkContext.getConf().get("spark.executor.memory", "1g"))
+    return max(MIN_FILTER_BITS, memory // MEMORY_SHARE // ROW_COST * 64)
 
 
 def normalised(text: Column) -> Column:
-    """The text with each run of ASCII white space as one space; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    """The text with each run of ASCII white space as one space; null is empty. A run that is one
+    space already is no match, which spares most of the work."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
 def text_digest(text: Column) -> Column:
@@ -52,32 +63,41 @@ def repeated_slots(keys: DataFrame, key: str, words: int) -> DataFrame:
     return twice.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
 
 
-def mark_digests(df: DataFrame, digest: str, *, id_col: str = "doc_id", keep: str = "min", max_filter_bits: int = MAX_FILTER_BITS, keys: DataFrame | None = None) -> DataFrame:
+class _Filter:
+    """Tells which digests possibly repeat, by the second of the two filters."""
+
+    def __init__(self, keys: DataFrame, digest: str, max_filter_bits: int | None):
+        self.rows = keys.count()
+        self.words = max(64, min(max_filter_bits or filter_bits(keys.sparkSession), 1 << (max(1, self.rows) * 16 - 1).bit_length()) // 64)
+        self.digest, self.twice = digest, repeated_slots(keys, digest, self.words)
+
+    def test(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """df with a column that is false where the digest is certainly alone."""
+        word, bits, flag = unused(df, "word", "bits", "maybe")
+        hashed = F.xxhash64(self.digest)
+        wanted = reduce(Column.bitwiseOR, (F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({self.digest}), {s}) & 63 as int))") for s in (40, 46)))
+        met = df.withColumn(word, F.pmod(hashed, F.lit(self.words))).join(F.broadcast(self.twice.toDF(word, bits)), word, "left")
+        return met.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(wanted) == wanted, F.lit(False))).drop(word, bits), flag
+
+
+def mark_digests(df: DataFrame, digest: str, *, id_col: str = "doc_id", keep: str = "min", max_filter_bits: int | None = None, keys: DataFrame | None = None, filter_: _Filter | None = None) -> DataFrame:
     """df with keep_id, group_size and kept, for rows whose column ``digest`` is computed.
 
-    keys: a narrow, materialised table of the same rows' id and digest, if df is wide.
-    keep: "min" or "max", which id of a group stays.
+    keys: a narrow, materialised table of the same rows' id and digest, if df is wide, or of more
+    rows that the groups are made of. keep: "min" or "max", which id of a group stays.
     """
     best = {"min": F.min, "max": F.max}[keep]
     keys = df if keys is None else keys
-    rows = keys.count()
-    words = max(64, min(max_filter_bits, 1 << (max(1, rows) * 16 - 1).bit_length()) // 64)
-    word, bits, flag, own = unused(df, "word", "bits", "maybe", "own_digest")
-    twice = F.broadcast(repeated_slots(keys, digest, words).toDF(word, bits))
-
-    def tested(x: DataFrame) -> DataFrame:
-        h = F.xxhash64(digest)
-        wanted = F.expr("shiftleft(1L, cast({b} as int))".format(b=f"shiftrightunsigned(xxhash64({digest}), 40) & 63")).bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({digest}), 46) & 63 as int))"))
-        y = x.withColumn(word, F.pmod(h, F.lit(words))).join(twice, word, "left")
-        return y.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(wanted) == wanted, F.lit(False))).drop(word, bits)
-
-    groups = tested(keys).where(flag).groupBy(F.col(digest).alias(own)).agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    hot_rows = max(64, -(-rows // HOT_SHARE))
+    seen = filter_ or _Filter(keys, digest, max_filter_bits)
+    own, = unused(df, "own_digest")
+    asked, flag = seen.test(keys)
+    groups = asked.where(flag).groupBy(F.col(digest).alias(own)).agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    hot_rows = max(64, -(-seen.rows // HOT_SHARE))
     hot = F.broadcast(groups.where(F.col("group_size") >= hot_rows))
     cold = groups.where(F.col("group_size") < hot_rows)
     result = ("keep_id", "group_size", "kept")
-    wide = df.drop(*(c for c in df.columns if c.lower() in result))
-    at_hot = tested(wide).join(hot, F.col(digest) == F.col(own), "left").drop(own)
+    tested, flag = seen.test(df.drop(*(c for c in df.columns if c.lower() in result)))
+    at_hot = tested.join(hot, F.col(digest) == F.col(own), "left").drop(own)
     straight = at_hot.where(~F.col(flag) | F.col("group_size").isNotNull())
     dealt = at_hot.where(F.col(flag) & F.col("group_size").isNull()).drop("keep_id", "group_size").join(cold, F.col(digest) == F.col(own), "left").drop(own)
     both = straight.unionByName(dealt).drop(flag)
@@ -92,17 +112,23 @@ def mark(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **opt
     return mark_digests(keys, "text_sha256", id_col=id_col, **options)
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df that stay, with df's columns: two scans of the texts and a shuffle of
-    the rows that are possibly repeated."""
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int | None = None, **options) -> DataFrame:
+    """The rows of df that stay, with df's columns. One scan of the texts for their digests; rows
+    whose id no possibly repeated text has pass straight in a second one, and a third writes the
+    others, which alone are hashed again and shuffled."""
     digest, = unused(df, "text_sha256")
-    hashed = df.withColumn(digest, text_digest(F.col(text_col)))
     clash = [c for c in df.columns if c.lower() in ("keep_id", "group_size", "kept")]
     aside = unused(df, *(f"own_{c}" for c in clash))
-    renamed = hashed.withColumnsRenamed(dict(zip(clash, aside, strict=True)))
-    inner = dict(zip(clash, aside, strict=True)).get(id_col, id_col)
-    keys = materialise(renamed.select(inner, digest), "digests")
-    kept = mark_digests(renamed, digest, id_col=inner, keys=keys, **options).where("kept")
-    once = kept.where("group_size = 1").unionByName(kept.where("group_size > 1").dropDuplicates([inner, digest]))
-    return once.drop("keep_id", "group_size", "kept").withColumnsRenamed(dict(zip(aside, clash, strict=True))).select(*df.columns)
-
+    renamed = df.withColumnsRenamed(dict(zip(clash, aside, strict=True)))
+    new = dict(zip(clash, aside, strict=True))
+    own_id, own_text = new.get(id_col, id_col), new.get(text_col, text_col)
+    keys = materialise(renamed.select(own_id, text_digest(F.col(own_text)).alias(digest)), "digests")
+    filter_ = _Filter(keys, digest, max_filter_bits)
+    asked, flag = filter_.test(keys)
+    seen, maybe = with_ids(renamed, asked.where(flag).select(own_id), own_id)
+    again = F.col(maybe) | F.col(own_id).isNull()
+    repeated = materialise(seen.where(again).drop(maybe).withColumn(digest, text_digest(F.col(own_text))), "repeated")
+    kept = mark_digests(repeated, digest, id_col=own_id, keys=keys, filter_=filter_, **options).where("kept")
+    once = kept.where("group_size = 1").unionByName(kept.where("group_size > 1").dropDuplicates([own_id, digest]))
+    every = seen.where(~again).drop(maybe).unionByName(once.drop("keep_id", "group_size", "kept", digest))
+    return every.withColumnsRenamed(dict(zip(aside, clash, strict=True))).select(*df.columns)

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.store import unused
 
 FILTER_WORDS = 1 << 20
-HOT_SHARE = 65536
+HOT_SHARE, HOT_SIZE = 65536, 1 << 20
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, count: int) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, count: int, size: str = "1") -> DataFrame:
     """rows left-joined to table, whose column key is unique. Keys with at least a 65,536th
-    of the count rows are at most 65,536 and are broadcast; the rest join by shuffle."""
+    of the count rows are at most 65,536; of these, the most frequent are broadcast until their
+    sizes (an expression over table) add up to HOT_SIZE. The rest join by shuffle."""
     hot = max(64, -(-count // HOT_SHARE))
     mark, = unused(rows.join(table.limit(0), key, "left"), "at_hot")
-    keys = F.broadcast(rows.groupBy(key).agg(F.count("*").alias(mark)).where(F.col(mark) >= hot).join(table, key))
+    often = rows.groupBy(key).agg(F.count("*").alias(mark)).where(F.col(mark) >= hot).join(table, key)
+    summed, = unused(often, "sum_of_sizes")
+    before = Window.orderBy(F.desc(mark), key)  # over at most 65,536 rows
+    keys = F.broadcast(often.withColumn(summed, F.sum(F.expr(size)).over(before)).where(F.col(summed) <= HOT_SIZE).drop(summed))
     first = rows.join(keys, key, "left")
     done = first.where(F.col(mark).isNotNull()).drop(mark)
     rest = first.where(F.col(mark).isNull()).select(*rows.columns).join(table, key, "left")
@@ -27,6 +31,11 @@ def _bit(column: str, shift: int) -> str:
     return f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast(`{column}` as bigint)), {shift}) & 63 as int))"
 
 
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df with a column that is false where the key is certainly not in ids, and for a null key."""
+    return _tested(df, key, ids)
+
+
 def _tested(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, str]:
     """df with a column that is false where the key is certainly not in ids (one column, no
     nulls). The Bloom filter that is broadcast has at most 2**20 rows of 16 bytes."""
