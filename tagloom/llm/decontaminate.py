@@ -8,13 +8,17 @@ unchanged. One Aho-Corasick automaton finds all pieces in a document, and Myers'
 bit-parallel distance verifies the stretch around each hit, from which a piece's place in
 the item tells where the item must lie.
 
-The benchmark is the query set: it is taken in blocks of at most ``block_chars``
-characters (or one item), each broadcast and held against all documents.
+An item whose budget is 0 must stand between the same borders as in the benchmark: its ends are
+ends of words.
 
-Defined cases. Null text or an empty table gives no match; null items and items of fewer
-than ``min_chars`` characters are no evidence and match nothing. Repeated documents are
-each reported, repeated items too. Null ids are reported as null. Other columns are
-ignored. Texts are searched whole.
+The benchmark is the query set: it is broadcast in blocks of at most ``block_chars`` characters
+(or one item). Documents are read once: a task holds up to ``hold_chars`` characters of them
+(or one) and takes the blocks in turn, with one block's automaton at a time.
+
+Defined cases. Null text or an empty table gives no match; null items and items without a letter
+or digit are no evidence and match nothing. Repeated documents are each reported, repeated items
+too. Null ids are reported as null. Other columns are ignored by find_leaks(); clean() decides by
+row, whatever its id, and keeps all columns. Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -26,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.joins import without_ids
-from tagloom.llm.store import materialise, small_batches
+from tagloom.llm.store import small_batches, tidy
 
-MAX_ERROR, MIN_CHARS, BLOCK_CHARS = 0.08, 24, 1 << 20
+MAX_ERROR, BLOCK_CHARS, HOLD_CHARS = 0.08, 1 << 20, 1 << 23
 SCHEMA = "doc_id long, item_id long, errors long, start long, stop long"
 _BETWEEN = re.compile(r"[\W_]+")
 
@@ -88,7 +91,7 @@ class Matcher:
         self.items = [(key, text, int(max_error * len(text))) for key, text in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, budget) in enumerate(self.items):
-            for place, piece in pieces(text, budget):
+            for place, piece in pieces(text, budget) if budget else [(-1, f" {text} ")]:
                 found.setdefault(piece, []).append((i, place))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
@@ -98,9 +101,11 @@ class Matcher:
     def matches(self, text: str) -> Iterator[tuple[int | None, int, int, int]]:
         """(item id, edits, start, stop) for each item that the normalised text contains."""
         spans: dict[int, list[list[int]]] = {}
-        for last, (size, where) in self.automaton.iter(text):
+        if not self.items:
+            return
+        for last, (size, where) in self.automaton.iter(f" {text} "):
             for i, place in where:
-                begin = last + 1 - size - place
+                begin = last - size - place  # the text has a space before it here
                 budget, held = self.items[i][2], spans.setdefault(i, [])
                 lo, hi = max(0, begin - budget), begin + len(self.items[i][1]) + budget
                 if held and held[-1][0] <= lo <= held[-1][1]:
@@ -130,11 +135,11 @@ def _joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, min_chars: int, limit: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     held, size = [], 0
     for row in items.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         text = plain(row["t"])
-        if len(text) < min_chars:
+        if not text:
             continue
         if held and size + len(text) > limit:
             yield held
@@ -145,28 +150,63 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, min_chars: int, limi
         yield held
 
 
-def find_leaks(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = MAX_ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+class _Search:
+    """All blocks of items, as a task holds them against documents."""
+
+    def __init__(self, items: DataFrame, item_col: str, text_col: str, max_error: float, block_chars: int, hold_chars: int):
+        context = items.sparkSession.sparkContext
+        self.blocks = [context.broadcast(block) for block in _blocks(items, item_col, text_col, block_chars)]
+        self.max_error, self.hold = max_error, hold_chars
+
+    def __call__(self, batches: Iterator[pa.RecordBatch], text_of: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        """Each batch with the matches of its rows."""
+        matcher = Matcher(self.blocks[0].value, self.max_error) if len(self.blocks) == 1 else None
+        held: list[tuple[pa.RecordBatch, list[str]]] = []
+        size = 0
+
+        def search() -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+            found = [[[] for _ in texts] for _, texts in held]
+            for block in self.blocks:
+                m = matcher or Matcher(block.value, self.max_error)
+                for rows, (_, texts) in zip(found, held, strict=True):
+                    for row, text in zip(rows, texts, strict=True):
+                        row += m.matches(text)
+            yield from zip((batch for batch, _ in held), found, strict=True)
+
+        for batch in batches:
+            texts = [plain(text.as_py()) for text in batch.column(text_of)]
+            held.append((batch, texts))
+            size += sum(map(len, texts))
+            if matcher or size > self.hold:
+                yield from search()
+                held, size = [], 0
+        if held:
+            yield from search()
+
+
+def find_leaks(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = MAX_ERROR, block_chars: int = BLOCK_CHARS, hold_chars: int = HOLD_CHARS) -> DataFrame:
     """(doc_id, item_id, errors, start, stop) for each document and item that it contains;
     start and stop count characters of the normalised text."""
-    spark = df.sparkSession
-    small_batches(spark)
-    docs = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    found = spark.createDataFrame([], SCHEMA)
-    for block in _blocks(items, item_col, item_text_col, min_chars, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, max_error)
-            for batch in batches:
-                rows = [(key, *match) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for match in matcher.matches(plain(text.as_py()))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "errors", "start", "stop"])
-
-        found = found.unionByName(docs.mapInArrow(run, SCHEMA))
-    return found
-
-
-def clean(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df that contain no item. Rows without an id stay."""
-    leaks = materialise(find_leaks(df, items, id_col=id_col, **options).select("doc_id").distinct(), "leaks")
-    return without_ids(df, leaks, id_col)
+    small_batches(df.sparkSession)
+    search = _Search(items, item_col, item_text_col, max_error, block_chars, hold_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in search(batches, 1):
+            rows = [(key, *match) for key, matches in zip(batch.column(0).to_pylist(), found, strict=True) for match in matches]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "errors", "start", "stop"])
+
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), SCHEMA)
+
+
+def clean(df: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = MAX_ERROR, block_chars: int = BLOCK_CHARS, hold_chars: int = HOLD_CHARS) -> DataFrame:
+    """The rows of df that contain no item, with all their columns."""
+    small_batches(df.sparkSession)
+    search = _Search(items, item_col, item_text_col, max_error, block_chars, hold_chars)
+    place = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in search(batches, place):
+            yield batch.filter(pa.array([not matches for matches in found], pa.bool_()))
+
+    return df.mapInArrow(tidy(run), df.schema)
