@@ -70,6 +70,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_ppm, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc, op10_toxicity)}
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (
+            select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end as grams from w),
+        e as (select doc_id, len(grams) as n, unnest(grams) as gram from s),
+        links as (
+            select a.doc_id as a, b.doc_id as b from e a join e b on a.gram = b.gram and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+        select s.doc_id, cast(len(grams) as bigint) as n_shingles, least_id as component_id
+        from s join (select doc_id, min(other) as least_id from reach group by doc_id) c on s.doc_id = c.doc_id
+    """,
     "op8_line_dedup": rf"""
         with cut as (
             select page_id, nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '') as host,
@@ -80,7 +94,7 @@ ORACLE_SQL = {
         often as (
             select host, line from (select host, unnest(list_distinct(lines)) as line from t where host is not null)
             join sites using (host) group by host, line, host_pages
-            having count(*) > 1 and host_pages >= {line_dedup.MIN_PAGES} and count(*) > host_pages * cast({line_dedup.MAX_RATIO} as double)),
+            having count(*) > 1 and count(*) > host_pages * cast({line_dedup.MAX_RATIO} as double)),
         known as (select host, list(line) as common from often group by host),
         met as (
             select page_id, t.host, host_pages, lines, list_filter(lines, lambda x: common is null or not list_contains(common, x)) as stay
