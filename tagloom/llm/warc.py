@@ -8,7 +8,7 @@ filtering of their SHA-1, so the other pages are not shuffled.
 Writing yields the index: file, offset, length, url, digest and kind of every record.
 Records are read by the index alone: its rows, sorted by file and offset, are coalesced
 into byte ranges (gaps up to ``gap`` bytes, ranges up to ``span`` bytes), and each range is
-read with one request and cut into its records.
+read with one request and cut into its records. There is a task for each 64 MiB of records at least.
 
 A task writes files under names of its own and reports their records; files of a lost
 task are in no index.
@@ -16,7 +16,7 @@ task are in no index.
 Defined cases. Null html is an empty payload; a null url gives a record without target
 URI. Null ids come last: they refer to a page with an id if there is one, else all of the
 group are responses, and they read back as null. Rows that repeat id and payload are all
-responses if their id is the largest. An empty table gives an empty index.
+responses if their id is the largest, and one record (with one record id) written more than once. An empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.exact_dedup import mark_digests
-from tagloom.llm.store import filesystem, make_dir, materialise, small_batches
+from tagloom.llm.store import filesystem, make_dir, materialise, small_batches, tidy
 
 MIN_BYTES, FILE_BYTES, LEVEL = 0, 1 << 28, 3
-GAP, SPAN = 1 << 16, 1 << 22
+GAP, SPAN, TASK_BYTES = 1 << 16, 1 << 22, 1 << 26
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, payload_digest string, record_type string, page_id long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -49,21 +49,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """Of a page's payload; a revisit, or a page without id, is told apart by its place in the files."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}').urn}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE, place: str = "") -> bytes:
     """One record, uncompressed. The block is the HTTP header and, in a response, the payload."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, place if revisit or page_id is None else '')}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -94,13 +95,14 @@ def write(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str =
         fs, root = filesystem(folder)
         out, name, at = None, "", 0
         stem = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
-        files = 0
+        files = count = 0
         for batch in batches:
             index = []
             for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 payload = html.as_py().encode()
                 digest = base32_sha1(payload)
-                data = gzip.compress(record(page_id, url, payload, digest, refers_to, refers_to is not None), LEVEL, mtime=0)
+                data = gzip.compress(record(page_id, url, payload, digest, refers_to, refers_to is not None, place=f"{stem}:{count}"), LEVEL, mtime=0)
+                count += 1
                 if out is None or at + len(data) > file_bytes and at:
                     if out is not None:
                         out.close()
@@ -115,7 +117,7 @@ def write(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str =
         if out is not None:
             out.close()
 
-    return materialise(rows.mapInArrow(run, INDEX), "warc-index")
+    return materialise(rows.mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, span: int = SPAN) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -163,5 +165,8 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
                     out.append((number("x-page-id"), total, digest, fields["warc-type"], number("x-refers-to-page-id")) + (payload,) * with_payload)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    picked = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return picked.mapInArrow(run, RECORDS + (", payload binary" if with_payload else ""))
+    spark = index.sparkSession
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    picked = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return picked.mapInArrow(tidy(run), RECORDS + (", payload binary" if with_payload else ""))
