@@ -23,7 +23,7 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "d
 
     For each label the ids with the smallest hashes are taken, at most ``rows``, and of
     their texts, in that order, the first that fit into ``size`` bytes in all (at least one).
-    Rows whose id's crc32 modulo folds is 0, null labels and null ids are never learnt from.
+    Of an id's several texts, that with the smallest hash counts, once. Rows whose id's crc32 modulo folds is 0, null labels and null ids are never learnt from.
     """
     known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and k is not null").where(remainder(F.col("k"), folds) != 0)
     known = known.groupBy("k").agg(F.max("y").alias("y"))
@@ -31,7 +31,8 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "d
     first = [known.where(F.col("y") == y).select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(rows) for y in (0, 1)]
     picked = F.broadcast(first[0].unionByName(first[1]))
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(picked, "k")
-    sizes = sorted((r["y"], r["h"], r["k"], r["n"], r["x"]) for r in texts.select("y", "h", "k", F.octet_length("t").alias("n"), F.xxhash64("t").alias("x")).collect())  # numbers of at most 2 * rows ids
+    least = texts.groupBy("y", "h", "k").agg(F.min(F.struct(F.xxhash64("t").alias("x"), F.octet_length("t").alias("n"))).alias("m"))
+    sizes = sorted((r["y"], r["h"], r["k"], r["n"], r["x"]) for r in least.select("y", "h", "k", "m.n", "m.x").collect())  # a row for each of at most 2 * rows ids
     room, chosen = {0: size, 1: size}, []
     for y, h, k, n, x in sizes:
         if n <= room[y] or room[y] == size:
@@ -40,7 +41,8 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "d
     wanted = df.sparkSession.createDataFrame(chosen, "k long, x long") if chosen else None
     out: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
     if wanted is not None:
-        for r in texts.withColumn("x", F.xxhash64("t")).join(F.broadcast(wanted), ["k", "x"]).select("y", "h", "t").toLocalIterator():
+        found = texts.withColumn("x", F.xxhash64("t")).join(F.broadcast(wanted), ["k", "x"])
+        for r in found.groupBy("y", "h", "k").agg(F.min("t").alias("t")).toLocalIterator():
             out[r["y"]].append((r["h"], r["t"]))
     return {y: [t for _, t in sorted(v)] for y, v in out.items()}, counts
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.labelled import Calibration, held_out, sample
-from tagloom.llm.store import small_batches
+from tagloom.llm.store import small_batches, tidy
 
 DICTIONARY, LEVEL, CUTOFF, FOLDS = 112 << 10, 3, 0.3, 5
 
@@ -95,7 +95,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= cutoff).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), FOLDS).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(df: DataFrame, model: Model, *, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -112,4 +112,4 @@ def keep(df: DataFrame, model: Model, *, text_col: str = "text", cutoff: float =
             p = own.calibration(features(texts)) if features and texts else np.full(len(texts), own.share)
             yield batch.filter(pa.array(p >= cutoff))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

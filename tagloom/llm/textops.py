@@ -7,7 +7,6 @@ combine the hashes of their words in order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +31,12 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
-        size = 1 << max(20, math.ceil(math.log2(max(2, n))))
+        size = max(2 * CHUNK + 1, n)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        held = _powers[base] = np.multiply.accumulate(steps)
+        held = np.multiply.accumulate(steps)
+        if size == 2 * CHUNK + 1:  # longer ones aren't kept
+            _powers[base] = held
     return held[:n]
 
 
@@ -73,24 +74,41 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     return words, bounds
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, bounds, starts, ends, prefix sums); starts and ends count from the first offset."""
+def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, bounds, starts, ends, hashes of the first ``stem`` bytes); starts and ends count from the
+    first offset. A text over CHUNK bytes is taken in pieces that end between words."""
     base = int(offsets[0])
     raw = data[base : int(offsets[-1])]
     cut = offsets - base
+    if len(cut) > 2 or len(raw) <= 2 * CHUNK:
+        hashes, starts, ends, stems = _words_of(raw, cut[1:-1], between, stem)
+    else:
+        found, at = [], 0
+        while at < len(raw):
+            stop = min(len(raw), at + CHUNK)
+            while stop < len(raw) and not between[raw[stop]]:
+                gap = np.flatnonzero(between[raw[stop : stop + 4096]])
+                stop = stop + int(gap[0]) if len(gap) else min(len(raw), stop + 4096)
+            h, s, e, t = _words_of(raw[at:stop], cut[:0], between, stem)
+            found.append((h, s + at, e + at, t if stem else h[:0]))
+            at = stop
+        hashes, starts, ends, stems = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, np.searchsorted(starts, cut), starts, ends, stems if stem else None
+
+
+def _words_of(raw: np.ndarray, edges: np.ndarray, between: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     inside = ~between[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
-    edges = cut[1:-1]
     edges = edges[(edges > 0) & (edges < len(raw))]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * _power(_BASE, len(raw)), out=total[1:])
-    return hash_span(total, starts, ends), np.searchsorted(starts, cut), starts, ends, total
+    return hash_span(total, starts, ends), starts, ends, hash_span(total, starts, np.minimum(ends, starts + stem)) if stem else None
 
 
 def hash_span(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -5,9 +5,9 @@ words, words to their stems (first five bytes), each by continuation counts (in
 different contexts it occurs in that kind of text), and stems to one distribution of
 continuation counts that both kinds share. So an expression that is rare in either kind
 costs the same in both, and a new form of a known stem counts as its stem does. The
-difference of the log-likelihoods, per word and per square root of words, and that of the
-most toxic words become a probability by a logistic calibration on texts that the models
-have not seen.
+difference of the log-likelihoods, per word and per square root of words, that of the three most
+toxic words and how many words are clearly toxic become a probability by a logistic calibration
+on texts that the models have not seen.
 
 The models are fitted on a bounded sample of labelled texts (labelled.sample: at most 3,000
 rows and 12 MiB for each label, two thirds for the models, one for the calibration). Words are
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import textops
 from tagloom.llm.labelled import Calibration, held_out, sample
-from tagloom.llm.store import small_batches
+from tagloom.llm.store import small_batches, tidy
 
-CUTOFF, FOLDS, DISCOUNT, STEM = 0.5, 5, 0.75, 5
+CUTOFF, FOLDS, DISCOUNT, STEM, TOP = 0.5, 5, 0.75, 5, 3
 _START = np.uint64(0x5741525453)
 
 
@@ -40,8 +40,8 @@ def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     """Hashes of words, hashes of their stems, and document bounds, in chunks of documents."""
     data, offsets = textops.text_buffers(texts)
     for a, b in textops.chunks(offsets):
-        words, bounds, starts, ends, total = textops.find_words(data, offsets[a : b + 1], textops.LETTERS)
-        yield words, textops.hash_span(total, starts, np.minimum(ends, starts + STEM)), bounds
+        words, bounds, _, _, stems = textops.find_words(data, offsets[a : b + 1], textops.LETTERS, STEM)
+        yield words, stems, bounds
 
 
 def _bigrams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +67,14 @@ def _counts(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.bincount(at[there], minlength=len(keys)).astype(float)
 
 
+def _discounts(times: np.ndarray) -> np.ndarray:
+    """What is taken off a bigram seen 0, 1, 2, and 3 times or more, estimated from how many
+    bigrams are seen so often: where nearly all are seen once, one more costs them nearly all."""
+    n = [max(1, int((times == k).sum())) for k in range(1, 5)]
+    part = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0, *(min(max(k - (k + 1) * part * n[k] / n[k - 1], 0.05), k - 0.01) for k in (1, 2, 3))])
+
+
 class Models:
     """Both models as sorted arrays with the terms of P(word | history) of each kind."""
 
@@ -81,7 +89,7 @@ class Models:
         stem_of = np.concatenate([k[1] for k in kinds])[first]
         self.stems = np.unique(stem_of)
         self.histories = np.unique(np.concatenate([k[2] for k in kinds]))
-        self.pairs = np.unique(np.concatenate([k[3][k[4] > 1] for k in kinds]))
+        self.pairs = np.unique(np.concatenate([k[3] for k in kinds]))
         shared = sum(_counts(self.stems, k[1]) for k in kinds)
         self.unseen = 1 / (shared.sum() + len(self.stems) + 1)
         shared = (shared + 1) * self.unseen
@@ -103,16 +111,16 @@ class Models:
             self.stem_p.append(stem_p.astype(np.float32))
             self.word_p.append((np.maximum(own - DISCOUNT, 0) / every + rest * stem_p[at] * of_stem).astype(np.float32))
             total = np.bincount(np.searchsorted(self.histories, histories), weights=times, minlength=len(self.histories))
-            often = times > 1
-            h = np.searchsorted(self.histories, histories[often])
-            p = (times[often] - DISCOUNT) / total[h]
+            h = np.searchsorted(self.histories, histories)
+            p = (times - _discounts(times)[np.minimum(times, 3)]) / total[h]
             held = np.zeros(len(self.pairs))
-            held[np.searchsorted(self.pairs, pairs[often])] = p
+            held[np.searchsorted(self.pairs, pairs)] = p
             self.pair_p.append(held.astype(np.float32))
             self.history_rest.append((1 - np.bincount(h, weights=p, minlength=len(self.histories))).astype(np.float32))
 
-    def evidence(self, words: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log P(word | history, toxic) - log P(word | history, ordinary) of every word."""
+    def evidence(self, words: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | history, toxic) - log P(word | history, ordinary) of every word, and the same
+        of the backoff models alone, without the history."""
         before, pairs = _bigrams(words, bounds)
         w, known = _find(self.words, words)
         s, akin = _find(self.stems, stems)
@@ -124,21 +132,29 @@ class Models:
         for y in (0, 1):
             p = pick(self.stem_p[y], s, akin, self.stem_rest[y] * self.unseen) * new * self.word_rest[y]
             p = np.where(known, self.word_p[y][w], p) if len(self.words) else p
+            out.append(np.log(np.maximum(p, 1e-30)))
             p = p * pick(self.history_rest[y], h, met, 1.0) + pick(self.pair_p[y], g, joint, 0.0)
             out.append(np.log(np.maximum(p, 1e-30)))
-        return out[1] - out[0]
+        return out[3] - out[1], out[2] - out[0]
 
     def features(self, texts: pa.Array) -> np.ndarray:
         rows = []
         for words, stems, bounds in _words(texts):
-            x = self.evidence(words, stems, bounds)
+            whole, x = self.evidence(words, stems, bounds)
             n = np.diff(bounds)
             sums = lambda v, b=bounds: np.diff(np.concatenate(([0.0], np.cumsum(v)))[b])
-            total, strong, strongest = sums(x), sums(np.where(x > 2, x, 0.0)), sums(np.where(x > 3.5, x, 0.0))
-            most = np.array([x[a:b].max() if b > a else 0.0 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
-            m = np.maximum(n, 1)
-            rows.append(np.column_stack([total / m, total / np.sqrt(m), np.log1p(100 * strong / m), np.log1p(strongest), most, np.log(m)]))
-        return np.concatenate(rows) if rows else np.zeros((0, 6))
+            m, total = np.maximum(n, 1), sums(whole)
+            hot = np.flatnonzero(x > 1)
+            doc = np.searchsorted(bounds, hot, "right") - 1
+            hot = hot[np.lexsort((-x[hot], doc))]
+            first, held = np.searchsorted(doc, np.arange(len(n))), np.bincount(doc, minlength=len(n))
+            most = np.zeros((len(n), TOP))
+            for k in range(TOP):
+                ok = held > k
+                most[ok, k] = x[hot[first[ok] + k]]
+            clear, strong = sums(x > 3), sums(x > 4.5)
+            rows.append(np.column_stack([total / m, total / np.sqrt(m), most, np.log1p(clear), np.log1p(strong), np.log1p(100 * clear / m), np.log(m)]))
+        return np.concatenate(rows) if rows else np.zeros((0, TOP + 6))
 
 
 class Model:
@@ -172,4 +188,4 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= cutoff).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), FOLDS).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
