@@ -17,7 +17,9 @@ n-gram's hash bucket was hit over all documents, then by hash.
 4. The global order is cut into fragments. The overlap of a pair is counted in each
    fragment on its own and summed for each pair, so no task holds whole sets.
 
-N-grams are 64-bit hashes and classes 64-bit hashes of sets.
+N-grams are 64-bit hashes. A class is named by the first half of a 128-bit hash of its set; where
+sets that differ in the second half share the first (a few among 10**10 documents, collected), by
+the second.
 
 Defined cases. Null text is empty; documents without words have no n-grams, no links and
 their own id as component; fewer words than an n-gram has count as one n-gram. Null ids
@@ -30,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import textops
 from tagloom.llm.components import components
 from tagloom.llm.joins import look_up, without_ids
-from tagloom.llm.store import discard, materialise, small_batches
+from tagloom.llm.store import discard, finished, materialise, small_batches, tidy
 
 WIDTH, NUM, DEN = 5, 80, 100
 BUCKETS, PIECE = 1 << 20, 1 << 14
@@ -57,8 +60,16 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield from textops.shingle_sets(words, bounds, width)
 
 
-def _class(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _names(grams: np.ndarray, size: int = 8) -> tuple[int, int]:
+    """Two hashes of a set; size is the bytes of the first."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:size], "little", signed=size == 8), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _class(grams: np.ndarray, shared: frozenset[int], size: int = 8) -> int:
+    """The name of a set; shared are first hashes that several sets have."""
+    first, second = _names(grams, size)
+    return second if first in shared else first
 
 
 def _sketch(grams: np.ndarray) -> bytes:
@@ -69,15 +80,17 @@ def _hits(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
 
 
-def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, n, class, sketch) of every document; the bucket counts; the number of n-grams."""
+def _profile(df: DataFrame, id_col: str, text_col: str, width: int, size: int) -> tuple[DataFrame, frozenset[int], np.ndarray, int]:
+    """(doc_id, n, class, sketch) of every document; the first hashes that several sets have; the
+    bucket counts; the number of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
 
-        def out(ids, sizes, classes, sketches, pieces, blobs):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, sizes, classes, sketches, pieces, blobs), kinds, strict=True)], ["doc_id", "n", "class", "sketch", "piece", "counts"])
+        def out(ids, sizes, names, sketches, pieces, blobs):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            columns = (ids, sizes, [a for a, _ in names], [b for _, b in names], sketches, pieces, blobs)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "class", "second", "sketch", "piece", "counts"])
 
         for batch in batches:
             sizes, classes, sketches, held, waiting = [], [], [], [], 0
@@ -88,7 +101,7 @@ def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Dat
                     counts += _hits(held)
                     held, waiting = [], 0
                 sizes.append(len(grams))
-                classes.append(_class(grams))
+                classes.append(_names(grams, size))
                 sketches.append(_sketch(grams))
             if held:
                 counts += _hits(held)
@@ -97,7 +110,7 @@ def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Dat
         if counts.any():
             blobs = [zlib.compress(counts[i : i + PIECE].astype("<i4").tobytes(), 1) for i in range(0, BUCKETS, PIECE)]
             none = [None] * len(blobs)
-            yield out(none, none, none, none, list(range(len(blobs))), blobs)
+            yield out(none, none, [(None, None)] * len(blobs), none, list(range(len(blobs))), blobs)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -107,13 +120,17 @@ def _profile(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Dat
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**31 - 1).astype("<i4").tobytes(), 1) for v in held.values()], pa.binary())], ["piece", "counts"])
 
-    schema = "doc_id long, n long, class long, sketch binary, piece int, counts binary"
-    seen = materialise(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema), "profile")
-    parts = seen.where("piece is not null").select("piece", "counts").mapInArrow(add, "piece int, counts binary")
+    schema = "doc_id long, n long, class long, second long, sketch binary, piece int, counts binary"
+    seen = materialise(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema), "profile")
+    parts = seen.where("piece is not null").select("piece", "counts").mapInArrow(tidy(add), "piece int, counts binary")
     total = np.zeros(BUCKETS, np.int64)
-    for row in parts.repartition(BUCKETS // PIECE, "piece").mapInArrow(add, "piece int, counts binary").toLocalIterator():
+    for row in parts.repartition(BUCKETS // PIECE, "piece").mapInArrow(tidy(add), "piece int, counts binary").toLocalIterator():
         total[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] += np.frombuffer(zlib.decompress(row["counts"]), "<i4")
-    return seen.where("piece is null").drop("piece", "counts"), total.astype(np.int32), int(total.sum())
+    found = seen.where("piece is null").drop("piece", "counts")
+    alike = found.where("n > 0").groupBy("class").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
+    shared = frozenset(r["class"] for r in alike.collect())  # of n sets about n * n / 2**65
+    name = F.when(F.col("class").isin(list(shared)), F.col("second")).otherwise(F.col("class")) if shared else F.col("class")
+    return found.withColumn("class", name).drop("second"), shared, total.astype(np.int32), int(total.sum())
 
 
 def _ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -134,7 +151,7 @@ def pivots(counts: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts, parts: int) -> DataFrame:
+def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts, parts: int, named) -> DataFrame:
     """(token, class, n, pos): the n-grams of classes' heads that at least two classes have."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
     kind = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -150,7 +167,7 @@ def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts,
                 n = len(grams)
                 if not n:
                     continue
-                own = _class(grams)
+                own = named(grams)
                 if own in seen:
                     continue
                 if len(seen) >= 100_000:
@@ -201,11 +218,11 @@ def _heads(df: DataFrame, text_col: str, width: int, num: int, den: int, counts,
             part = rows[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c]).astype(np.int64) if c != "token" else np.ascontiguousarray(part[c]).view(np.int64), pa.int64()) for c in ("token", "class", "n", "pos")], ["token", "class", "n", "pos"])
 
-    dealt = df.select(F.lit(0).alias("x"), F.col(text_col).cast("string")).mapInArrow(emit, "part int, rows binary").repartition(parts, "part")
-    return dealt.mapInArrow(meet, "token long, class long, n long, pos long")
+    dealt = df.select(F.lit(0).alias("x"), F.col(text_col).cast("string")).mapInArrow(tidy(emit), "part int, rows binary").repartition(parts, "part")
+    return dealt.mapInArrow(tidy(meet), "token long, class long, n long, pos long")
 
 
-def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: DataFrame, counts, cut: np.ndarray) -> DataFrame:
+def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: DataFrame, counts, cut: np.ndarray, named) -> DataFrame:
     """(class, fragment, grams) of the classes whose document's id is in needed, and of a few
     others; a class may come more than once."""
     h = F.xxhash64(F.col(id_col).cast("long"))
@@ -225,7 +242,7 @@ def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: Dat
             for own in _sets(some, width):
                 if not len(own):
                     continue
-                name = _class(own)
+                name = named(own)
                 where = np.searchsorted(cut, _ranked(own, counts), "right")
                 for f in np.unique(where).tolist():
                     classes.append(name)
@@ -235,7 +252,7 @@ def _segments(df: DataFrame, id_col: str, text_col: str, width: int, needed: Dat
                 ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], ["class", "fragment", "grams"])
 
-    return df.select(h.alias("h"), F.col(text_col).cast("string")).mapInArrow(run, "class long, fragment int, grams array<long>")
+    return df.select(h.alias("h"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "class long, fragment int, grams array<long>")
 
 
 def _possible(n: Column, m: Column, left: Column, num: int, den: int) -> Column:
@@ -298,7 +315,7 @@ def _rest(rows: DataFrame, profile: DataFrame, num: int, den: int, parts: int) -
             for k in range(0, len(pairs), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16), c]) for c in (0, 1)], ["a", "b"])
 
-    return met.repartition(parts, "token", "i", "j").mapInArrow(run, schema).distinct()
+    return met.repartition(parts, "token", "i", "j").mapInArrow(tidy(run), schema).distinct()
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -313,14 +330,19 @@ def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, num: int,
     return held.where(F.col("both") * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class) of every row of df."""
+def link(df: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class) of every row of df, as a written table."""
+    return finished(lambda: _link(df, **options), "linked")
+
+
+def _link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, name_bytes: int = 8) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
-    profile, counts, total = _profile(df, id_col, text_col, width)
+    profile, shared, counts, total = _profile(df, id_col, text_col, width, name_bytes)
+    name_of = partial(_class, shared=shared, size=name_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (den - num) // den // 1_000_000))
     classes = materialise(profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    heads = materialise(_heads(df, text_col, width, num, den, counts, parts), "heads")
+    heads = materialise(_heads(df, text_col, width, num, den, counts, parts, name_of), "heads")
     share = heads.groupBy("class").agg((F.count("*") / F.first("n")).alias("share"))
     links, labels, cut = None, None, pivots(counts, FRAGMENTS)
     for turn in range(STAR_ROUNDS + 1):
@@ -333,9 +355,10 @@ def link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width
             pairs = _star(rows, F.xxhash64("class", F.lit(turn)), num, den)
         pairs = materialise(pairs, "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
-        segments = materialise(_segments(df, id_col, text_col, width, asked.select("doc_id"), counts, cut), "segments")
+        segments = materialise(_segments(df, id_col, text_col, width, asked.select("doc_id"), counts, cut, name_of), "segments")
         found = materialise(_verified(pairs, segments, classes, num, den), "found")
         discard(segments)
+        discard(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)

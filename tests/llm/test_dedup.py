@@ -109,6 +109,8 @@ def test_jaccard_against_all_pairs(spark, seed, width, num):
     want = smallest_reachable(sets, num, 100)
     rows = jaccard.link(docs(spark, texts), width=width, num=num, den=100).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(sets[i]), want[i]) for i in sets}
+    few = jaccard.link(docs(spark, texts), width=width, num=num, den=100, name_bytes=1).collect()  # many sets of one name
+    assert {r["doc_id"]: r["component_id"] for r in few} == want
     kept = {r["doc_id"] for r in jaccard.dedup(docs(spark, texts), width=width, num=num, den=100).collect()}
     assert kept == {i for i in sets if want[i] == i}
 
@@ -150,7 +152,7 @@ def edit_distance_inside(item, text):
 def test_leaks_against_full_distance(spark):
     rng = random.Random(5)
     letters = "abcdefgh ij"
-    items = [(k, "".join(rng.choices(letters, k=rng.choice([20, 30, 60, 90])))) for k in range(12)] + [(99, None), (98, "tiny")]
+    items = [(k, "".join(rng.choices(letters, k=rng.choice([20, 30, 60, 90])))) for k in range(12)] + [(99, None), (98, "tiny"), (97, "Twelve chars"), (96, " -- "), (95, items_twice := "repeated item of the benchmark"), (94, items_twice)]
     texts = []
     for k in range(80):
         text = "".join(rng.choices(letters, k=150))
@@ -161,7 +163,8 @@ def test_leaks_against_full_distance(spark):
                 item[p : p + 1] = rng.choice([[], [rng.choice("xyz")], [item[p], "q"]])
             text = text[:50] + "".join(item).upper() + text[50:]
         texts.append((k, text))
-    texts += [(500, None), (501, ""), (502, items[3][1]), (502, items[3][1])]
+    texts += [(500, None), (501, ""), (502, items[3][1]), (502, items[3][1]), (503, "one tiny thing"), (504, "tinyish"), (505, "of TWELVE, chars."), (506, "x" + items_twice)]
+    texts += [(507, "word " * 40_000 + items[4][1] + " word" * 40_000)]
     df = docs(spark, texts)
     found = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=100)
     got = sorted((r["doc_id"], r["item_id"], r["errors"]) for r in found.collect())
@@ -169,14 +172,29 @@ def test_leaks_against_full_distance(spark):
     for d, text in texts:
         for i, item in items:
             a = decontaminate.plain(item)
-            if len(a) >= decontaminate.MIN_CHARS:
-                errors = edit_distance_inside(a, decontaminate.plain(text))
-                if errors <= int(decontaminate.MAX_ERROR * len(a)):
-                    want.append((d, i, errors))
+            budget, plain = int(decontaminate.MAX_ERROR * len(a)), decontaminate.plain(text)
+            if not a or not plain:
+                continue
+            if not budget:
+                want += [(d, i, 0)] * (f" {a} " in f" {plain} ")
+            elif d == 507:
+                want += [(d, i, 0)] * (i == 4)
+            elif (errors := edit_distance_inside(a, plain)) <= budget:
+                want.append((d, i, errors))
     assert got == sorted(want)
     assert {r["doc_id"] for r in decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {d for d, _ in texts} - {d for d, _, _ in want}
 
 
+def test_clean_decides_by_row(spark):
+    """Null ids, and one id on a clean and on a contaminated row; columns named like those of a join."""
+    item = "a passage that the benchmark asks about, word for word"
+    rows = spark.createDataFrame([(None, item, 1, "x"), (None, "clean", 2, "x"), (3, f"see: {item}!", 3, "x"), (3, "clean too", 4, "x"), (3, "clean too", 4, "x"), (4, None, 5, "x")], "doc_id long, text string, word long, maybe string")
+    items = spark.createDataFrame([(1, item), (2, "q" * 3000)], "item_id long, text string")
+    for block in (10, 1 << 20):
+        out = decontaminate.clean(rows, items, block_chars=block, hold_chars=1)
+        assert out.columns == rows.columns and sorted(r["word"] for r in out.collect()) == [2, 4, 4, 5]
+
+
 def test_spans():
     item = "the quick brown fox jumps over the lazy dog"
     edits, start, stop = decontaminate.locate(item, "xx the quick brwn fox jumps over the lazzy dog yy", 3)
@@ -195,3 +213,36 @@ def test_queries_have_names():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
     assert queries.ORACLE_SQL.keys() <= queries.QUERIES.keys()
+
+
+def test_jaccard_messy_rows(spark):
+    """Null ids, ids on several texts, columns named like results; a group of nulls alone has no id."""
+    base, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, base), (5, base + " x"), (3, base), (None, other), (None, other + " y"), (7, "one two"), (7, "three"), (8, None)]
+    df = spark.createDataFrame([(*r, "mine", 1, 2) for r in rows], "doc_id long, text string, component_id string, n_shingles int, class int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(df).collect()), key=str)
+    want = [(None, 36, 3), (5, 37, 3), (3, 36, 3), (None, 36, None), (None, 37, None), (7, 1, 7), (7, 1, 7), (8, 0, 8)]
+    assert got == sorted(want, key=str)
+    out = jaccard.dedup(df)
+    assert out.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "7", "7", "8", "None", "None", "None"]
+
+
+def test_small_hosts_and_ties(spark):
+    """Two pages are enough; a line on exactly the ratio of the pages stays; repeated rows are pages."""
+    page = lambda *lines: "".join(f"<p>{x}</p>" for x in lines)
+    rows = [(1, "http://two.org/a", page("menu", "own")), (2, "http://two.org/b", page("menu", "else")), (3, "http://one.org/", page("menu", "menu"))]
+    rows += [(10 + k, f"http://ten.org/{k}", page(*["exactly"] * (k < 3), *["over"] * (k < 4), f"own {k}")) for k in range(10)]
+    rows += [(30, "http://same.org/", page("all of it")), (30, "http://same.org/", page("all of it")), (31, "http://long.org/", page(*(f"line {k}" for k in range(30_000)))), (32, "http://long.org/x", page("line 7"))]
+    out = {r["page_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1]["text"] == "own" and out[2]["text"] == "else" and out[3]["text"] == "menu\nmenu"
+    assert out[10]["text"] == "exactly\nown 0" and out[13]["text"] == "own 3"
+    assert out[30]["text"] == "" and out[31]["n_lines"] == 30_000 and out[31]["n_dropped"] == 1 and out[32]["n_dropped"] == 1
+
+
+def test_look_up_within_a_size(spark):
+    """Hot keys whose values are too large together to broadcast join by shuffle, with the same result."""
+    rows = spark.createDataFrame([(k % 3, k) for k in range(600)] + [(None, 1), (9, 2)], "key long, v long")
+    table = spark.createDataFrame([(0, list(range(400_000))), (1, list(range(500_000))), (2, list(range(300_000)))], "key long, held array<long>")
+    found = look_up(rows, table, "key", 602, "size(held)").select("key", F.size("held").alias("n")).groupBy("key", "n").count().collect()
+    assert {(r["key"], r["n"], r["count"]) for r in found} == {(0, 400_000, 200), (1, 500_000, 200), (2, 300_000, 200), (None, None, 1), (9, None, 1)}

@@ -1,5 +1,6 @@
 """Tokens, packing, WARC, classifiers, language model and pipeline."""
 
+import gzip
 import io
 import math
 import re
@@ -11,10 +12,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagloom.llm import packing, ppm, quality, queries, textops, token_store, toxicity, warc
-from tagloom.llm.store import fresh_dir
+from tagloom.llm.labelled import sample
+from tagloom.llm.store import filesystem, fresh_dir
 from tagloom.llm.tokenise import Encoder, read_file
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,6 +25,9 @@ DOCS = "doc_id long, text string, sequence_id string, score string"
 MESSY = [(9, "two  spaces and\nlines "), (2, None), (2, ""), (None, "no id"), (5, "same same"), (5, "same same"), (7, "word " * 60_000), (1, "İ Σας ΑΣ é don't <|endoftext|> 12 3"), (3, "x\n\ny \t z")]
 
 
+TEXT = "The quick brown fox of the report ran over {0} hills and the long river before the evening came to town number {0}. " * 4
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "mine", "mine") for i, t in rows], DOCS)
 
@@ -178,6 +184,21 @@ def test_warc(spark):
     small = warc.write(df, fresh_dir(spark, "warc"), min_bytes=5)
     assert {r["page_id"]: r["record_type"] for r in small.collect()}[1] == "response"
     assert warc.write(df.limit(0), fresh_dir(spark, "warc")).count() == 0
+    assert warc.read(index, folder).rdd.getNumPartitions() >= 4
+
+
+def test_record_ids_are_unique(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", "c"), (None, "u", "c"), (None, "u", "d"), (None, "u", "d")]
+    folder = fresh_dir(spark, "warc")
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder).collect()
+    fs, root = filesystem(folder)
+    ids, refers = [], []
+    for r in index:
+        with fs.open_input_file(f"{root}/{r['file']}") as f:
+            fields = warc.parse(gzip.decompress(f.read_at(r["length"], r["offset"])))[0]
+        ids.append(fields["warc-record-id"])
+        refers += [fields[k] for k in ("warc-refers-to",) if k in fields]
+    assert len(set(ids)) == len(rows) and set(refers) <= set(ids) and len(refers) == 2
 
 
 def test_ranges():
@@ -203,6 +224,110 @@ def test_held_out_accuracy(spark, module, label, least):
     assert module.score(docs(spark, []), model).count() == 0
 
 
+TOXIC = ["you stupid clown, you stupid moron", "stupid moron trash here", "what trash, you moronic clown", "ordinary words with one idiot"]
+ORDINARY = ["the weather is fine and the day is long", "a long day in the sun", "one of the words is fine", "ordinary words in a line"]
+
+
+def plain_kneser_ney(texts):
+    """For a text, log P(word | history) of either kind and of its backoff alone, from dictionaries; and
+    all that a history's words, new forms and new stems add up to."""
+    words_in = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+    pairs = {y: Counter(p for t in v for w in [words_in(t)] for p in zip([None, *w], w, strict=False)) for y, v in texts.items()}
+    own = {y: Counter(w for _, w in p) for y, p in pairs.items()}
+    stems = {y: Counter(w[:5] for _, w in p) for y, p in pairs.items()}
+    both, both_stems = own[0] + own[1], stems[0] + stems[1]
+    unseen = 1 / (sum(both_stems.values()) + len(both_stems) + 1)
+
+    def stem_p(y, s):
+        n, rest = len(pairs[y]), 0.75 * len(stems[y]) / len(pairs[y])
+        return max(stems[y][s] - 0.75, 0) / n + rest * unseen * ((both_stems[s] + 1) if s in both_stems else 1)
+
+    def word_p(y, w, stem=None):
+        """Of a word, or of all new words of a stem together (w is None)."""
+        stem = w[:5] if stem is None else stem
+        n, rest = len(pairs[y]), 0.75 * len(own[y]) / len(pairs[y])
+        whole = sum(c for x, c in both.items() if x[:5] == stem) + 1
+        part = (both[w] if w in both else 1) / whole if stem in both_stems else 1
+        return max(own[y][w] - 0.75, 0) / n + rest * stem_p(y, stem) * part
+
+    def pair_p(y, h, w):
+        n = [max(1, sum(c == k for c in pairs[y].values())) for k in (1, 2, 3, 4)]
+        off = [min(max(k - (k + 1) * n[0] / (n[0] + 2 * n[1]) * n[k] / n[k - 1], 0.05), k - 0.01) for k in (1, 2, 3)]
+        after = {x: c - off[min(c, 3) - 1] for (g, x), c in pairs[y].items() if g == h}
+        total = sum(c for (g, _), c in pairs[y].items() if g == h)
+        if not total:
+            return 0.0, 1.0
+        return after.get(w, 0.0) / total, 1 - sum(after.values()) / total
+
+    def evidence(t):
+        out = []
+        for h, w in zip([None, *words_in(t)], words_in(t), strict=False):
+            back = [word_p(y, w) for y in (0, 1)]
+            full = [p + rest * b for (p, rest), b in zip((pair_p(y, h, w) for y in (0, 1)), back, strict=True)]
+            out.append((math.log(full[1] / full[0]), math.log(back[1] / back[0])))
+        return out
+
+    def total(y, h):
+        known = sum(p + rest * word_p(y, w) for w in both for p, rest in [pair_p(y, h, w)])
+        return known + pair_p(y, h, None)[1] * sum(word_p(y, None, s) for s in [*both_stems, b"~~~~~~"])
+
+    return evidence, total, [None, *both]
+
+
+def test_kneser_ney_against_dictionaries():
+    import pyarrow as pa
+
+    texts = {0: ORDINARY, 1: TOXIC}
+    evidence, total, histories = plain_kneser_ney(texts)
+    for y in (0, 1):
+        for h in histories:
+            assert total(y, h) == pytest.approx(1.0, abs=1e-9)
+    models = toxicity.Models(texts)
+    for t in [*TOXIC, *ORDINARY, "Stupidity in the sun", "unheard of", "clown clown clown", "x"]:
+        for words, stems, bounds in toxicity._words(pa.array([t])):
+            full, back = models.evidence(words, stems, bounds)
+            want = evidence(t)
+            assert full == pytest.approx([f for f, _ in want], abs=1e-3) and back == pytest.approx([b for _, b in want], abs=1e-3)
+
+
+def test_compressed_sizes():
+    """The features are those of plain Zstandard calls, and the dictionaries tell the kinds apart."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    of = lambda words: [" ".join(rng.choice(words, 40)) for _ in range(60)]
+    good, bad = of([f"sensible{k}" for k in range(40)]), of([f"BUY!!now{k}$" for k in range(40)])
+    model = quality.Model({0: bad, 1: good}, {0: 60, 1: 60})
+    texts = [t.encode() for t in (*good[:3], *bad[:3], "")]
+    size = lambda t, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d and zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    for t, row in zip(texts, model.features()(texts), strict=True):
+        g, b, n = size(t, model.dictionaries[0]), size(t, model.dictionaries[1]), size(t, None)
+        assert row == pytest.approx([(b - g) / (b + g), math.log((n + 8) / (len(t) + 8)), math.log(len(t) + 8), math.log((g + 8) / (n + 8))])
+    p = model.calibration(model.features()(texts))
+    assert min(p[:3]) > 0.9 and max(p[3:6]) < 0.1 and 0 <= p[6] <= 1
+
+
+def test_sample_is_bounded_by_ids(spark):
+    """One id on many rows counts once; ties and rows without label or id are settled."""
+    rows = [(1, f"text {k % 3}") for k in range(60)] + [(2, "b"), (3, "c"), (None, "d"), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1), (4, None), (9, 1)], "doc_id long, quality int")
+    texts, counts = sample(docs(spark, rows), labels, "quality", folds=1 << 30)
+    assert counts == {0: 2, 1: 2} and len(texts[1]) == 1 and sorted(texts[0]) == ["b", "c"]
+    few, _ = sample(docs(spark, rows), labels, "quality", folds=1 << 30, rows=1)
+    assert len(few[0]) == 1
+
+
+def test_quality_keeps_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    model = quality.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    df = docs(spark, MESSY)
+    kept = quality.keep(df, model)
+    assert kept.columns == df.columns and quality.keep(df.limit(0), model).count() == 0
+    own = {(r["doc_id"], r["n"]): r["score"] for r in quality.score(df, model).join(df.selectExpr("doc_id as d", "coalesce(length(text), 0) as n"), F.expr("doc_id <=> d")).collect()}
+    assert kept.count() <= df.count() and all(r["sequence_id"] == "mine" for r in kept.collect()) and own
+    assert quality.keep(df, model, cutoff=0.0).count() == len(MESSY) and quality.keep(df, model, cutoff=1.1).count() == 0
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_without_labels(spark, module, label):
     none = spark.createDataFrame([], f"doc_id long, {label} int")
@@ -302,7 +427,8 @@ def stream_events(text):
     stream = b"\n" * 5 + b"".join(b" " + w for w in words) + b" \n"
     for i in range(6, len(stream)):
         depth = i - stream.rindex(b" ", 0, i)
-        yield [("whole", stream[i - depth : i])] * (depth > 6) + [stream[i - k : i] for k in range(6, -1, -1)], stream[i]
+        reach = max(depth, 4)
+        yield [("whole", stream[i - depth : i])] * (depth > 6) + [stream[i - k : i] for k in range(min(reach, 6), -1, -1)], stream[i]
 
 
 def test_scores_against_brute_force(spark):
@@ -371,6 +497,14 @@ def test_words():
     hashes, bounds = textops.hash_words(data, offsets)
     assert np.diff(bounds).tolist() == [3, 0, 0, 1, 4]
     assert hashes[6] == hashes[7] and hashes[4] != hashes[5]
+    long = [f"{k} word " * 9 + "x" * (k % 3000) for k in range(3000)]
+    data, offsets = textops.text_buffers(pa.array([" ".join(long)]))
+    apart, cuts = textops.text_buffers(pa.array(long))
+    whole = textops.find_words(data, offsets, stem=5)
+    parts = [textops.find_words(apart, cuts[i : i + 2], stem=5) for i in range(len(long))]
+    assert len(data) > 2 * textops.CHUNK
+    assert (whole[0] == np.concatenate([p[0] for p in parts])).all() and (whole[4] == np.concatenate([p[4] for p in parts])).all()
+    assert (whole[3] - whole[2] == np.concatenate([p[3] - p[2] for p in parts])).all()
     sets = list(textops.shingle_sets(hashes, bounds, 4))
     assert [len(s) for s in sets] == [1, 0, 0, 1, 1]
 
@@ -383,6 +517,16 @@ def test_pipeline(spark):
         kept = stage(spark, kept, SMALL)
         assert kept.columns == docs_.columns
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+    messy = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), "mine") for i, t in [*MESSY, *((k, TEXT.format(k)) for k in (20, 21, 21)), (22, TEXT.format(20)), (None, TEXT.format(23))]],
+        "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string",
+    )
+    kept = messy
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SMALL)
+        assert kept.columns == messy.columns
+        assert {r["text_sha256"] for r in kept.collect()} <= {"mine"}
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).count() >= kept.count()
     nothing = docs_.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, SMALL).count() == 0
