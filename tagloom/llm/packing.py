@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.store import small_batches
+from tagloom.llm.store import small_batches, tidy
 from tagloom.llm.tokenise import read_file, shared
 
 CAPACITY, SLACK, TAIL = 4096, 0.01, 64
@@ -123,4 +123,4 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
             yield out(rows)
 
     picked = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return picked.mapInArrow(tidy(run), SCHEMA + (", ids array<int>" if with_ids else ""))

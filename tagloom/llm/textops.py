@@ -31,11 +31,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
-        size = max(2 * CHUNK + 1, n)
+        size = max(CHUNK + 1, n)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         held = np.multiply.accumulate(steps)
-        if size == 2 * CHUNK + 1:  # longer ones aren't kept
+        if size == CHUNK + 1:  # longer ones aren't kept
             _powers[base] = held
     return held[:n]
 
@@ -80,7 +80,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     base = int(offsets[0])
     raw = data[base : int(offsets[-1])]
     cut = offsets - base
-    if len(cut) > 2 or len(raw) <= 2 * CHUNK:
+    if len(cut) > 2 or len(raw) <= CHUNK:
         hashes, starts, ends, stems = _words_of(raw, cut[1:-1], between, stem)
     else:
         found, at = [], 0

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.store import filesystem, make_dir, small_batches
+from tagloom.llm.store import filesystem, make_dir, small_batches, tidy
 from tagloom.llm.tokenise import read_file, shared
 
 MAGIC = b"TLBITS01"
@@ -207,9 +207,9 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "d
             row = [[shard], [part], [len(writer.keys)], [writer.total], [size]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["shard", "part", "docs", "tokens", "bytes"])
 
-    encoded = picked.mapInArrow(encode, "part int, k long, h long, ids binary")
+    encoded = picked.mapInArrow(tidy(encode), "part int, k long, h long, ids binary")
     dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("k", "h", "ids").select("k", "ids")
-    rows = dealt.mapInArrow(run, MANIFEST).collect()  # one row for each task
+    rows = dealt.mapInArrow(tidy(run), MANIFEST).collect()  # one row for each task
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
@@ -242,4 +242,4 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], with_ids
                         yield out(held)
 
     shards = spark.createDataFrame(rows, "shard string, base long").repartition(max(1, len(rows)))
-    return shards.mapInArrow(run, schema)
+    return shards.mapInArrow(tidy(run), schema)
