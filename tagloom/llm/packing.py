@@ -123,4 +123,4 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
             yield out(rows)
 
     picked = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(tidy(run), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return picked.mapInArrow(tidy(run, encodes=True), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -9,6 +9,7 @@ other's local disks.
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -128,9 +129,10 @@ def _libc():
     return libc
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidy(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
     """A function of batches after which the worker process, which is kept for later tasks, gives its free
-    memory back. Large arrays are mapped on their own, so that they leave no holes in the heap."""
+    memory back. Large arrays are mapped on their own, so that they leave no holes in the heap. A task
+    that doesn't encode lets go of the encoder that earlier ones left."""
 
     def wrapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -138,6 +140,9 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         libc = _libc()
         if libc is not None:
             libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        tokenise = sys.modules.get("tagloom.llm.tokenise")
+        if tokenise is not None and not encodes and tokenise.release() and libc is not None:
+            libc.malloc_trim(0)
         try:
             yield from run(batches)
         finally:

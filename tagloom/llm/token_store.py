@@ -207,9 +207,9 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "d
             row = [[shard], [part], [len(writer.keys)], [writer.total], [size]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["shard", "part", "docs", "tokens", "bytes"])
 
-    encoded = picked.mapInArrow(tidy(encode), "part int, k long, h long, ids binary")
+    encoded = picked.mapInArrow(tidy(encode, encodes=True), "part int, k long, h long, ids binary")
     dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("k", "h", "ids").select("k", "ids")
-    rows = dealt.mapInArrow(tidy(run), MANIFEST).collect()  # one row for each task
+    rows = dealt.mapInArrow(tidy(run, encodes=True), MANIFEST).collect()  # one row for each task
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 

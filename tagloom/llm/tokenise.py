@@ -18,6 +18,7 @@ CHUNK characters; longer texts are cut at such boundaries too.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -290,6 +291,15 @@ def read_file(path: str) -> bytes:
 def shared(file: bytes) -> Encoder:
     """This process's encoder of the file. One is held; another file's takes its place."""
     if file not in _held:
-        _held.clear()
+        release()
         _held[file] = Encoder(file)
     return _held[file]
+
+
+def release() -> bool:
+    """Let go of the encoder that is held; whether there was one."""
+    had = bool(_held)
+    _held.clear()
+    if had:
+        gc.collect()  # it refers to itself
+    return had
