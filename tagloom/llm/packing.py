@@ -96,8 +96,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
-def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, plain: bool = False) -> DataFrame:
     """One row per piece. with_ids adds the ids themselves as column ``ids`` (array of int).
+    Strings of special tokens become their ids unless ``plain``.
 
     sequence_id is the number of the partition times 2**33 plus a count, so it is unique
     over all workers and the same when a lost task runs again.
@@ -106,7 +107,7 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
     file = df.sparkSession.sparkContext.broadcast(read_file(tokenizer))  # a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, rows = shared(file.value), Packer(TaskContext.get().partitionId() << 33, capacity), []
+        encoder, packer, rows = shared(file.value, plain), Packer(TaskContext.get().partitionId() << 33, capacity), []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             made = _batch(rows)

@@ -13,11 +13,13 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_scopes: list[list[DataFrame]] = []
+#: The tables that the innermost finished() of this thread deletes.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("tables_on_the_way", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,20 +49,23 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].append(made)
+    on_the_way = _scope.get()
+    if on_the_way is not None:
+        on_the_way.append(made)
     return made
 
 
 def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What make() returns as a written table, without the tables that were written on the way."""
-    _scopes.append([])
+    """What make() returns as a written table, without the tables that were written on the way.
+    Each thread has its own, so operators can run side by side."""
+    on_the_way: list[DataFrame] = []
+    outer = _scope.set(on_the_way)
     try:
         df = make()
     finally:
-        scope = _scopes.pop()
+        _scope.reset(outer)
     made = materialise(df, name)
-    for table in scope:
+    for table in on_the_way:
         discard(table)
     return made
 

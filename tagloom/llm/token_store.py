@@ -166,8 +166,9 @@ def _range_of(keys: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndar
     return (first + np.minimum(share * (last - first + 1), last - first).astype(np.int64)).astype(np.int32)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> list[dict]:
+def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, plain: bool = False) -> list[dict]:
     """Encode df into shards below folder, in ascending order of id; the manifest, in order.
+    Strings of special tokens become their ids unless ``plain``.
 
     Texts are encoded where they lie, and ids of two or four bytes are dealt by ranges of (id,
     hash of text), so one id that many rows share is spread too, and a lost shard encodes nothing again.
@@ -182,14 +183,14 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, *, id_col: str = "d
     bounds = _bounds(df.select(key), parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(file.value)
+        encoder = shared(file.value, plain)
         for batch in batches:
             keys, ties = batch.column(0).fill_null(-(1 << 63)).to_numpy(), batch.column(1).to_numpy()
             ids = [x.tobytes() for x in encoder.many(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(_range_of(keys, ties, bounds)), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["part", "k", "h", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, part = shared(file.value), None, TaskContext.get().partitionId()
+        encoder, writer, part = shared(file.value, plain), None, TaskContext.get().partitionId()
         bits = bits_for(max(encoder.vocab, end_id + 1))
         end = np.array([end_id], np.uint32)
         shard = f"part-{part:08d}-{uuid.uuid4().hex}.bits"

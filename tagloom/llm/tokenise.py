@@ -11,8 +11,9 @@ from the tokenizer file:
 - anything else: no cuts, each text is encoded whole.
 
 A worker process keeps its encoder from task to task (see shared()), so what one task has met
-the next ones know. Special tokens' strings in a text are ordinary text. Null is the empty
-text. Memory: at most two generations of ``memo`` words, whatever the corpus, and the words of
+the next ones know. Strings of special tokens in a text become their ids, as by the library's own
+setting; with ``plain`` they are ordinary text. Texts that may hold one are encoded whole by the
+library. Null is the empty text. Memory: at most two generations of ``memo`` words, whatever the corpus, and the words of
 CHUNK characters; longer texts are cut at such boundaries too.
 """
 
@@ -33,7 +34,7 @@ _INSIDE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters beyond ASCII that are one letter in lower case too.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _MARKS = ".,;:!?"
-_held: dict[bytes, Encoder] = {}
+_held: dict[tuple[bytes, bool], Encoder] = {}
 
 
 class _Memo:
@@ -106,15 +107,19 @@ def _segments(text: str, between: re.Pattern) -> Iterator[str]:
 class Encoder:
     """ids(text) of one tokenizer file, as unsigned 16-bit integers if its ids fit, else 32-bit."""
 
-    def __init__(self, file: bytes, memo: int = MEMO):
+    def __init__(self, file: bytes, memo: int = MEMO, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_buffer(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        lead = os.path.commonprefix(added)
+        self.lead = lead if lead.upper() == lead.lower() else ""
         parts = {name: getattr(self.tokenizer, name) for name in ("normalizer", "pre_tokenizer")}
         self.rule = cutting_rule({name: json.loads(part.__getstate__()) for name, part in parts.items() if part is not None})
         self.mark = self.whole({"spaced": "\n", "dropped": "~"}.get(self.rule, ""))
@@ -247,8 +252,22 @@ class Encoder:
             return self._spaced(texts)
         return self.memo.look([t.replace("\n", " ").split(" ") for t, _ in texts])
 
+    def _has_added(self, text: str) -> bool:
+        """Whether the text may hold a token that is found before any splitting."""
+        return self.added is not None and self.lead in text and self.added.search(text) is not None
+
+    def _by_library(self, text: str) -> np.ndarray:
+        """The ids of a text, by the library alone; no added token holds a space."""
+        if self.rule is None or " " in self.added.pattern:
+            return self.whole(text)
+        lead = " " if self.rule == "spaced" else ""
+        return np.concatenate([self.whole(lead * (i > 0) + s) for i, s in enumerate(_segments(text, self._between()))])
+
+    def _between(self) -> re.Pattern:
+        return _INSIDE if self.rule == "spaced" else re.compile(" ")
+
     def _long(self, text: str) -> np.ndarray:
-        between = _INSIDE if self.rule == "spaced" else re.compile(" ")
+        between = self._between()
         return np.frombuffer(b"".join(self._joined([(s, not i)])[0] for i, s in enumerate(_segments(text, between))), self.dtype)
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -267,6 +286,8 @@ class Encoder:
                 continue
             if self.rule is None:
                 out[i] = self.whole(text)
+            elif self._has_added(text):
+                out[i] = self._by_library(text)
             elif len(text) > CHUNK:
                 out[i] = self._long(text)
             else:
@@ -288,12 +309,12 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def shared(file: bytes) -> Encoder:
+def shared(file: bytes, plain: bool = False) -> Encoder:
     """This process's encoder of the file. One is held; another file's takes its place."""
-    if file not in _held:
+    if (file, plain) not in _held:
         release()
-        _held[file] = Encoder(file)
-    return _held[file]
+        _held[file, plain] = Encoder(file, plain=plain)
+    return _held[file, plain]
 
 
 def release() -> bool:

@@ -1,5 +1,6 @@
 """Tokens, packing, WARC, classifiers, language model and pipeline."""
 
+import functools
 import gzip
 import io
 import math
@@ -13,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tagloom.llm import packing, ppm, quality, queries, textops, token_store, toxicity, warc
@@ -37,34 +39,65 @@ def encoders():
     return {kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=500) for kind in ("bytes", "words")}
 
 
-def plain_ids(encoder, text):
-    return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+@functools.cache
+def library(kind, plain=False):
+    made = Tokenizer.from_file(queries.tokenizer_path(kind))
+    made.encode_special_tokens = plain
+    return made
+
+
+def plain_ids(kind, text, plain=False):
+    """The ids by the library alone."""
+    return library(kind, plain).encode(text or "", add_special_tokens=False).ids
 
 
 def test_remembered_words_change_nothing(encoders):
     texts = [r[0] for r in duckdb.sql(f"select text from '{SMALL}/documents.parquet'").fetchall()][:60] + [t for _, t in MESSY]
-    for encoder in encoders.values():
+    for kind, encoder in encoders.items():
         for text in texts:
-            assert encoder.ids(text).tolist() == plain_ids(encoder, text)
+            assert encoder.ids(text).tolist() == plain_ids(kind, text)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list("ab 'sé\n\t\r\x0b\x1c\xa01.~_́☃A"))))
 def test_any_text_is_encoded_alike(text):
-    for encoder in _cached().values():
-        assert encoder.ids(text).tolist() == plain_ids(encoder, text)
+    for kind, encoder in _cached().items():
+        assert encoder.ids(text).tolist() == plain_ids(kind, text)
+
+
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "abc", " ", "\n", "x<|", "é", ".", "\u0338"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(SPECIAL), max_size=12))
+def test_special_strings(parts):
+    """Their ids by default, as by the library; ordinary text if that is asked for."""
+    text = "".join(parts)
+    for kind, encoder in _cached().items():
+        assert encoder.ids(text).tolist() == plain_ids(kind, text)
+        assert _cached_plain()[kind].ids(text).tolist() == plain_ids(kind, text, True)
+
+
+def test_special_strings_in_long_texts(encoders):
+    text = "some words and <|endoftext|> then, " * 60_000
+    for kind, encoder in encoders.items():
+        assert encoder.ids(text).tolist() == plain_ids(kind, text)
 
 
 def test_marks_after_known_words(encoders):
-    for encoder in encoders.values():
+    for kind, encoder in encoders.items():
         for text in ("a foo- foo b", "a foo-, foo, foo., b.; b foo: foo!", "\nfoo-\nfoo-. 12. 12 x.. .", "é é. É, \u0130 \u0130. ß. \ufb01."):
-            assert encoder.ids(text).tolist() == plain_ids(encoder, text)
+            assert encoder.ids(text).tolist() == plain_ids(kind, text)
+
+
+@functools.cache
+def _cached():
+    return {kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=50) for kind in ("bytes", "words")}
 
 
-def _cached(held={}):  # noqa: B006
-    if not held:
-        held.update({kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=50) for kind in ("bytes", "words")})
-    return held
+@functools.cache
+def _cached_plain():
+    return {kind: Encoder(read_file(queries.tokenizer_path(kind)), memo=50, plain=True) for kind in ("bytes", "words")}
 
 
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=300))
@@ -108,7 +141,7 @@ def test_token_store(spark, encoders):
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 2, 3, 5, 5, 7, 9]
     texts = {}
     for i, t in MESSY:
-        texts.setdefault(i, []).append([*plain_ids(encoders["bytes"], t), 2])
+        texts.setdefault(i, []).append([*plain_ids("bytes", t), 2])
     for r in rows:
         assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids"] in texts[r["doc_id"]]
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
@@ -149,7 +182,7 @@ def check_pieces(rows, want):
 def test_packing(spark, encoders):
     want = {}
     for i, t in MESSY:
-        want.setdefault(i, []).append([*plain_ids(encoders["words"], t), 2])
+        want.setdefault(i, []).append([*plain_ids("words", t), 2])
     check_pieces(packing.pack(docs(spark, MESSY), queries.tokenizer_path("words"), with_ids=True).collect(), want)
     assert packing.pack(docs(spark, []), queries.tokenizer_path("words")).count() == 0
 
