@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, jaccard, line_dedup, packing, ppm, quality, token_store, toxicity, warc
+from tagloom.llm import align, codes, decontaminate, exact_dedup, jaccard, line_dedup, packing, ppm, quality, token_store, toxicity, url_filter, warc
 from tagloom.llm.store import fresh_dir
 
-TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
+TOKENIZERS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json", "pieces": "piece_bpe_32k.model"}
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
 def tokenizer_path(kind: str) -> str:
@@ -67,7 +68,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_ppm, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination, op8_line_dedup, op9_warc, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), tokenizer_path("bytes"), tokenizer_path("pieces"))
+
+
+_ALL = (
+    op1_quality, op2_ppm, op3_ngram_jaccard, op4_token_store, op5_packing, op6_exact_dedup, op7_decontamination,
+    op8_line_dedup, op9_warc, op10_toxicity, op11_vector_codes, op12_url_filter, op13_token_alignment,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round as two tables: the nearest entry of every part, and the entries after it. A part's
+    nearest entry is the least of distance * entries + index."""
+    nearest = """
+        {name} as materialized (
+            select v.id, v.part, v.x, min(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + b.entry) as best
+            from parts v join {books} b on v.part = b.part group by v.id, v.part, v.x)"""
+    moved = """
+        sums{k} as (
+            select part, best % {entries} as entry, pos, count(*) as n, sum(y) as y
+            from (select part, best, unnest(x) as y, unnest(range(1, len(x) + 1)) as pos from near{k}) group by all),
+        means{k} as (select part, entry, list(cast((y - ((y % n) + n) % n) // n as bigint) order by pos) as x from sums{k} group by part, entry),
+        books{after} as materialized (select b.part, b.entry, coalesce(m.x, b.x) as x from books{k} b left join means{k} m on b.part = m.part and b.entry = m.entry)"""
+    steps = [nearest.format(name=f"near{k}", books=f"books{k}", entries=entries) + "," + moved.format(k=k, after=k + 1, entries=entries) for k in range(rounds)]
+    return f"""
+        with whole as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        parts as materialized (
+            select vec_id as id, unnest(range({parts})) as part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) as x from whole),
+        books0 as materialized (select part, row_number() over (partition by part order by id) - 1 as entry, x from parts qualify entry < {entries}),
+        {",".join(steps)},
+        {nearest.format(name="last", books=f"books{rounds}", entries=entries)},
+        coded as (select id, string_agg(printf('%02x', cast(best % {entries} as int)), '' order by part) as code, cast(sum(best // {entries}) as bigint) as error from last group by id),
+        digest as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from books{rounds})
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+        from whole join coded on vec_id = id join digest on true
+    """
 
 ORACLE_SQL = {
     "op3_ngram_jaccard": r"""
@@ -109,6 +157,17 @@ ORACLE_SQL = {
                case when page_id = keep then 'response' else 'revisit' end as record_type, case when page_id <> keep then keep end as refers_to
         from b
     """,
+    "op11_vector_codes": _codes_sql(),
+    "op12_url_filter": rf"""
+        with rules(verdict, host, start) as (values {", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)}),
+        cut as (
+            select page_id, translate(regexp_extract(coalesce(url, ''), '{url_filter.URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(coalesce(url, ''), '{url_filter.URL}', 2) as path, row_number() over () as row from pages),
+        best as (
+            select row, arg_max(r.host || start, (length(r.host || start), length(r.host))) as rule, arg_max(verdict, (length(r.host || start), length(r.host))) as verdict
+            from cut c join rules r on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(path, start) group by row)
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from cut left join best on cut.row = best.row
+    """,
     "op6_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,

@@ -23,18 +23,20 @@ import gc
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, compress, count, pairwise, repeat
 from operator import is_
+from typing import TypeVar
 
 import numpy as np
 
+T = TypeVar("T")
 LONG_WORD, MEMO, CHUNK, GROUP = 64, 400_000, 1 << 20, 200
 _INSIDE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters beyond ASCII that are one letter in lower case too.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _MARKS = ".,;:!?"
-_held: dict[tuple[bytes, bool], Encoder] = {}
+_held: dict[tuple, object] = {}
 
 
 class _Memo:
@@ -309,12 +311,17 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def shared(file: bytes, plain: bool = False) -> Encoder:
-    """This process's encoder of the file. One is held; another file's takes its place."""
-    if (file, plain) not in _held:
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What make() gave for the key, kept by this process. One thing is held; another's takes its place."""
+    if key not in _held:
         release()
-        _held[file, plain] = Encoder(file, plain=plain)
-    return _held[file, plain]
+        _held[key] = make()
+    return _held[key]
+
+
+def shared(file: bytes, plain: bool = False) -> Encoder:
+    """This process's encoder of the file."""
+    return held((file, plain), lambda: Encoder(file, plain=plain))
 
 
 def release() -> bool:
