@@ -31,12 +31,14 @@ Null ids stay null. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain, pairwise
-from operator import itemgetter
+import json
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, compress, count, pairwise, repeat
+from operator import is_, itemgetter
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -48,6 +50,8 @@ from tagloom.llm.tokenise import _INSIDE, LONG_WORD, Encoder, _segments, held, r
 MEMO, GROUP, CHUNK = 300_000, 200, 1 << 20
 LINKS, DOCS, ROWS, SPLIT = 1 << 21, 1 << 15, 256, 4096
 WORD_MARK = "▁"
+#: Fixed value: how byte-level tokenizers split a text before merging.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -117,6 +121,18 @@ class Striped:
         self.kind = np.dtype("<u4" if self.stripes * self.cells < 1 << 32 else "<u8")
 
 
+def _quick(file: bytes, tokens: list[bytes]) -> tiktoken.Encoding | None:
+    """An encoder of byte-level BPE by ranks, if the file's merges come in the order of the ids that they make;
+    then a pair's rank and that of what it makes are the same, and so are all results."""
+    model = json.loads(file)["model"]
+    vocab, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    if model.get("type") != "BPE" or len(vocab) - len(merges) not in (256, 257) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    if sorted(tokens[:256]) != [bytes([b]) for b in range(256)]:
+        return None
+    return tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(merges)])}, special_tokens={})
+
+
 class Aligner:
     """Tokens, groups and links of texts, by units that are remembered."""
 
@@ -134,10 +150,11 @@ class Aligner:
         self.striped = Striped(self.a.vocab, len(pieces))
         names = [[b"%d" % i for i in range(n)] for n in (self.a.vocab, len(pieces))]
         self.text = [x + end for side, ends in zip(names, (b",|", b",;"), strict=True) for end in (ends[:1], ends[1:]) for x in side]
+        self.text_len = np.array([len(t) for t in self.text], np.int64)
+        self.quick = _quick(file_a, self.a_bytes) if self.a.rule == "spaced" else None
         self.limit = memo
         self.young: dict[str, Unit] = {}
         self.old: dict[str, Unit] = {}
-        self.long: dict[str, Unit] = {}
 
     def _aligned(self, texts: list[bytes], a: np.ndarray, b: np.ndarray) -> list[Unit] | None:
         """The units, from their bytes and all ids of both sides; None if the ids don't give each text back."""
@@ -157,51 +174,61 @@ class Aligner:
         named = np.empty(len(a) + len(b), np.int64)
         named[np.arange(len(a)) + b_upto[np.cumsum(a_shut) - a_shut]] = a + a_shut * self.a.vocab
         named[np.arange(len(b)) + a_upto[np.cumsum(b_shut) - b_shut + 1]] = 2 * self.a.vocab + b + b_shut * len(self.b_bytes)
-        words = list(map(self.text.__getitem__, named.tolist()))
+        groups = b"".join(map(self.text.__getitem__, named.tolist()))
         a_n, b_n, links = a_before[ends] + 1, b_before[ends] + 1, np.cumsum(a_at | b_at)[ends]
         numbers = (np.diff(a_n, prepend=0) + (np.diff(b_n, prepend=0) << 31)).tolist()
-        cuts, bounds = [0, *(a_n + b_n).tolist()], [0, *(links * size).tolist()]
-        return [(b"".join(words[u:v]), blob[x:y], n) for u, v, x, y, n in zip(cuts, cuts[1:], bounds, bounds[1:], numbers, strict=False)]
+        cuts, bounds = [0, *np.cumsum(self.text_len[named])[a_n + b_n - 1].tolist()], [0, *(links * size).tolist()]
+        return [(groups[u:v], blob[x:y], n) for u, v, x, y, n in zip(cuts, cuts[1:], bounds, bounds[1:], numbers, strict=False)]
 
-    def _learn_some(self, units: list[str], lines: bool, known: dict[str, bytes]) -> list[Unit]:
+    def _a_ids(self, units: list[str], lines: bool) -> np.ndarray:
+        """All of A's ids of units one after the other. Plain ASCII has the same splits in every version of Unicode and takes a shorter way."""
+        if self.quick and all(map(str.isascii, units)):
+            return np.array(self.quick.encode_ordinary("".join(units) if lines else " " + " ".join(units)), np.int64)
+        known = self.a._learn(units)
+        return np.frombuffer(b"".join(known[u] if u in known else self.a.whole(u if lines else " " + u).tobytes() for u in units), self.a.dtype).astype(np.int64)
+
+    def _learn_some(self, units: list[str], lines: bool) -> list[Unit]:
         """Units that all follow a space, or all are led by a line feed."""
-        a = np.frombuffer(b"".join(map(known.__getitem__, units)), self.a.dtype).astype(np.int64)
         groups = (units[i : i + GROUP] for i in range(0, len(units), GROUP))
         b = np.array([x for g in groups for x in (self.b.encode("".join(g))[1:] if lines else self.b.encode(" ".join(g)))], np.int64)
-        found = self._aligned([(u if lines else " " + u).encode() for u in units], a, b)
+        found = self._aligned([(u if lines else " " + u).encode() for u in units], self._a_ids(units, lines), b)
         if found is None and len(units) > 1:
             half = len(units) // 2
-            return self._learn_some(units[:half], lines, known) + self._learn_some(units[half:], lines, known)
+            return self._learn_some(units[:half], lines) + self._learn_some(units[half:], lines)
         return found or [NO_TOKENS]
 
-    def _learn(self, units: list[str]) -> dict[str, Unit]:
+    def _learn(self, units: Iterable[str]) -> dict[str, Unit]:
         """Units by their text; none for those with white space at an end."""
-        known = self.a._learn(units)
+        kinds: dict[tuple[bool, bool], list[str]] = {}
+        for u in units:
+            lines = u.startswith("\n")
+            bare = u[1:] if lines else u
+            if bare and bare.strip() == bare:
+                kinds.setdefault((lines, u.isascii()), []).append(u)
         out = {}
-        for lines in (False, True):
-            some = [u for u in units if u in known and u.startswith("\n") is lines]
+        for (lines, _), some in kinds.items():
             for i in range(0, len(some), GROUP * 20):
                 part = some[i : i + GROUP * 20]
-                out.update(zip(part, self._learn_some(part, lines, known), strict=True))
+                out.update(zip(part, self._learn_some(part, lines), strict=True))
         return out
 
-    def _look(self, units: set[str]) -> None:
-        """Make sure that the units are known, as far as they can be cut out. Long ones are known until the next call."""
-        lacking = [u for u in units if u not in self.young]
-        more = {u: self.old[u] for u in lacking if u in self.old}
-        fresh = self._learn([u for u in lacking if u not in more]) if len(more) < len(lacking) else {}
-        self.long = {u: fresh.pop(u) for u in [u for u in fresh if len(u) > LONG_WORD]}
-        more.update(fresh)
-        if len(self.young) + len(more) > self.limit:
-            self.old, self.young = self.young, {u: x for u, x in self.young.items() if u in units}
-        self.young.update(more)
-
-    def _found(self, units: list[str]) -> list[Unit] | None:
-        """The units, unless one of them can't be cut out."""
-        found = list(map(self.young.get, units))
-        if None in found:
-            found = [x or self.long.get(u) for x, u in zip(found, units, strict=True)]
-        return None if None in found else found
+    def _units(self, lists: list[list[str]]) -> list[list[Unit | None]]:
+        """The units of each list, None for one that can't be cut out."""
+        every = list(chain.from_iterable(lists))
+        found = list(map(self.young.get, every))
+        lacking = list(compress(count(), map(is_, found, repeat(None))))
+        if lacking:
+            wanted = {every[i] for i in lacking}
+            known = {u: self.old[u] for u in wanted if u in self.old}
+            fresh = self._learn(wanted.difference(known))
+            if len(self.young) + len(known) + len(fresh) > self.limit:
+                self.old, self.young = self.young, {}
+            known.update(fresh)
+            self.young.update(known if max(map(len, wanted)) <= LONG_WORD else {u: x for u, x in known.items() if len(u) <= LONG_WORD})
+            for i in lacking:
+                found[i] = known.get(every[i])
+        ends = [0, *accumulate(map(len, lists))]
+        return [found[a:b] for a, b in pairwise(ends)]
 
     def _whole(self, text: str) -> Unit:
         """A text that isn't cut, after a space."""
@@ -213,17 +240,16 @@ class Aligner:
         if not self.cuts:
             return [self._whole(text)]
         parts = _INSIDE.split(text)
-        bare = {p for p in parts if p.split() == [p]}
-        self._look(bare)
-        return [(p in bare and (self.young.get(p) or self.long.get(p))) or self._whole(p) for p in parts]
+        bare = [p for p in parts if p.split() == [p]]
+        known = dict(zip(bare, self._units([bare])[0], strict=True))
+        return [known.get(p) or self._whole(p) for p in parts]
 
     def _many(self, texts: list[str]) -> Iterator[Found]:
         plain = [self.cuts and "\n\n" not in t and "  " not in t for t in texts]
         cut = [t.replace("\n", " \n").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self._look(set(chain.from_iterable(cut)))
-        every = [self._found(units) for units in cut]
-        for text, units in zip(texts, every, strict=True):
-            some = units or self._carefully(text)
+        for text, some in zip(texts, self._units(cut), strict=True):
+            if not some or None in some:
+                some = self._carefully(text)
             total = sum(map(itemgetter(2), some))
             if total < 0:
                 yield None
