@@ -8,12 +8,14 @@ unchanged. One Aho-Corasick automaton finds all pieces in a document, and Myers'
 bit-parallel distance verifies the stretch around each hit, from which a piece's place in
 the item tells where the item must lie.
 
-An item whose budget is 0 must stand between the same borders as in the benchmark: its ends are
-ends of words.
+One rule holds for items of every length: an item has a space on either side, as a text has at its
+ends, and these count as its characters. So an item that stands inside a word lacks one or two of its
+characters, which its budget may allow or not.
 
-The benchmark is the query set: it is broadcast in blocks of at most ``block_chars`` characters
-(or one item). Documents are read once: a task holds up to ``hold_chars`` characters of them
-(or one) and takes the blocks in turn, with one block's automaton at a time.
+The benchmark is the query set, cut into blocks of at most ``block_chars`` characters (or one item). One
+block is broadcast; more are written to the shared folder by tasks and read there one by one, so the driver
+holds one block at most. Documents are read once: a task holds up to ``hold_chars`` characters of
+them (or one) and takes the blocks in turn, with one block's automaton at a time.
 
 Defined cases. Null text or an empty table gives no match; null items and items without a letter
 or digit are no evidence and match nothing. Repeated documents are each reported, repeated items
@@ -24,13 +26,13 @@ row, whatever its id, and keeps all columns. Texts are searched whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.store import small_batches, tidy
+from tagloom.llm.store import filesystem, materialise, small_batches, tidy
 
 MAX_ERROR, BLOCK_CHARS, HOLD_CHARS = 0.08, 1 << 20, 1 << 23
 SCHEMA = "doc_id long, item_id long, errors long, start long, stop long"
@@ -85,13 +87,15 @@ def locate(item: str, text: str, budget: int) -> tuple[int, int, int] | None:
 
 
 class Matcher:
+    """Items with a space on either side, in texts with a space on either side."""
+
     def __init__(self, items: list[tuple[int | None, str]], max_error: float):
         import ahocorasick
 
-        self.items = [(key, text, int(max_error * len(text))) for key, text in items]
+        self.items = [(key, f" {text} ", int(max_error * len(text))) for key, text in items]
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, text, budget) in enumerate(self.items):
-            for place, piece in pieces(text, budget) if budget else [(-1, f" {text} ")]:
+        for i, (_, item, budget) in enumerate(self.items):
+            for place, piece in pieces(item, budget):
                 found.setdefault(piece, []).append((i, place))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
@@ -103,9 +107,10 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         if not self.items:
             return
-        for last, (size, where) in self.automaton.iter(f" {text} "):
+        padded = f" {text} "
+        for last, (size, where) in self.automaton.iter(padded):
             for i, place in where:
-                begin = last - size - place  # the text has a space before it here
+                begin = last + 1 - size - place
                 budget, held = self.items[i][2], spans.setdefault(i, [])
                 lo, hi = max(0, begin - budget), begin + len(self.items[i][1]) + budget
                 if held and held[-1][0] <= lo <= held[-1][1]:
@@ -116,13 +121,13 @@ class Matcher:
             key, item, budget = self.items[i]
             best = None
             for lo, hi in _joined(held):
-                found = locate(item, text[lo:hi], budget)
+                found = locate(item, padded[lo:hi], budget)
                 if found and (best is None or found[0] < best[0]):
                     best = found[0], found[1] + lo, found[2] + lo
                     if not found[0]:
                         break
             if best:
-                yield key, *best
+                yield key, best[0], min(best[1], len(text)), max(0, min(best[2] - 2, len(text)))
 
 
 def _joined(spans: list[list[int]]) -> list[list[int]]:
@@ -135,39 +140,73 @@ def _joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(rows: Iterable[tuple[int | None, str | None]], limit: int) -> Iterator[list[tuple[int | None, str]]]:
     held, size = [], 0
-    for row in items.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        text = plain(row["t"])
+    for key, raw in rows:
+        text = plain(raw)
         if not text:
             continue
         if held and size + len(text) > limit:
             yield held
             held, size = [], 0
-        held.append((row["k"], text))
+        held.append((key, text))
         size += len(text)
     if held:
         yield held
 
 
+class _Written:
+    """Blocks in files of the shared folder, of which a task holds one at a time."""
+
+    def __init__(self, items: DataFrame, limit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for block in _blocks(rows, limit):
+                yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in block]], pa.list_(pa.int64())), pa.array([[t for _, t in block]], pa.list_(pa.string()))], ["keys", "texts"])
+
+        self.files = sorted(materialise(items.mapInArrow(tidy(run), "keys array<long>, texts array<string>"), "items").inputFiles())
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, str]]]:
+        import pyarrow.parquet as pq
+
+        for uri in self.files:
+            fs, path = filesystem(uri)
+            with fs.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(batch_size=1):
+                    for keys, texts in zip(batch.column("keys").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+                        yield list(zip(keys, texts, strict=True))
+
+
+class _Broadcast:
+    """One block, or none."""
+
+    def __init__(self, items: DataFrame, limit: int):
+        rows = ((r["k"], r["t"]) for r in items.collect())  # at most limit characters
+        self.blocks = [items.sparkSession.sparkContext.broadcast(b) for b in _blocks(rows, limit)]
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, str]]]:
+        return (b.value for b in self.blocks)
+
+
 class _Search:
     """All blocks of items, as a task holds them against documents."""
 
     def __init__(self, items: DataFrame, item_col: str, text_col: str, max_error: float, block_chars: int, hold_chars: int):
-        context = items.sparkSession.sparkContext
-        self.blocks = [context.broadcast(block) for block in _blocks(items, item_col, text_col, block_chars)]
+        listed = items.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+        size = listed.agg(F.coalesce(F.sum(F.char_length("t") + 1), F.lit(0)).alias("n")).first()["n"]
+        self.single = size <= block_chars
+        self.blocks = (_Broadcast if self.single else _Written)(listed, 2 * block_chars if self.single else block_chars)
         self.max_error, self.hold = max_error, hold_chars
 
     def __call__(self, batches: Iterator[pa.RecordBatch], text_of: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
         """Each batch with the matches of its rows."""
-        matcher = Matcher(self.blocks[0].value, self.max_error) if len(self.blocks) == 1 else None
+        matcher = Matcher([x for block in self.blocks for x in block], self.max_error) if self.single else None
         held: list[tuple[pa.RecordBatch, list[str]]] = []
         size = 0
 
         def search() -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
             found = [[[] for _ in texts] for _, texts in held]
-            for block in self.blocks:
-                m = matcher or Matcher(block.value, self.max_error)
+            for m in [matcher] if matcher else (Matcher(block, self.max_error) for block in self.blocks):
                 for rows, (_, texts) in zip(found, held, strict=True):
                     for row, text in zip(rows, texts, strict=True):
                         row += m.matches(text)
