@@ -1,13 +1,13 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass 1 hashes every whole text and counts how often each slot of a blocked Bloom
-filter is hit (two bits in one 64-bit word for each text). Slots that were hit twice or
+filter is hit (two bits in one 64-bit word, one number for each text). Slots that were hit twice or
 more form a second filter. Pass 2 tests every row: a text that occurs twice hits only
 such slots, so a row that misses one is unique and passes straight through without a
 shuffle. Only the rest ("possibly repeated") are grouped by their SHA-256.
 
 Bounds. The broadcast filter has at most ``max_filter_bits / 64`` rows of 16 bytes; unless given, so
-many that they take about a thirty-second of an executor's memory, and 2**20 rows at least.
+many that they take about a thirty-second of an executor's memory or the driver's, if that is less, and 2**20 rows at least.
 Beyond about ``max_filter_bits / 16`` texts it passes less and less straight through, and
 rows are grouped by digest instead; the result is the same. Groups with at least a
 65,536th of all rows are at most 65,536, so their keepers are broadcast and none of their
@@ -35,8 +35,10 @@ MIN_FILTER_BITS, ROW_COST, MEMORY_SHARE = 1 << 26, 64, 32
 
 
 def filter_bits(spark: SparkSession) -> int:
-    """The filter's bits for which this session's executors have room."""
-    memory = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.sparkContext.getConf().get("spark.executor.memory", "1g"))
+    """The filter's bits for which this session's executors have room, and its driver, where it is put together."""
+    conf = spark.sparkContext.getConf()
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    memory = min(size(conf.get(f"spark.{who}.memory", "1g")) for who in ("executor", "driver"))
     return max(MIN_FILTER_BITS, memory // MEMORY_SHARE // ROW_COST * 64)
 
 
@@ -55,12 +57,13 @@ def _bit(hashed: Column, shift: int) -> Column:
 
 
 def repeated_slots(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """(word, bits): of each word of the filter, the bits that at least two rows hit."""
+    """(word, bits): of each word of the filter, the bits of the slots that at least two rows hit. A slot is
+    a word and both its bits, so one number for each row is counted."""
     h = F.xxhash64(key)
-    word = F.pmod(h, F.lit(words))
-    slots = keys.select(F.explode(F.array_distinct(F.array(*(word * 64 + _bit(h, s) for s in (40, 46))))).alias("slot"))
+    slots = keys.select((F.pmod(h, F.lit(words)) * 4096 + _bit(h, 40) * 64 + _bit(h, 46)).alias("slot"))
     twice = slots.groupBy("slot").agg(F.count("*").alias("hits")).where("hits >= 2")
-    return twice.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    both = F.expr("shiftleft(1L, cast(shiftright(slot, 6) & 63 as int)) | shiftleft(1L, cast(slot & 63 as int))")
+    return twice.groupBy(F.expr("shiftright(slot, 12)").alias("word")).agg(F.bit_or(both).alias("bits"))
 
 
 class _Filter:
