@@ -59,7 +59,7 @@ from tagloom.llm import textops
 from tagloom.llm.labelled import held_out
 from tagloom.llm.store import discard, finished, materialise, small_batches, tidy
 
-FOLDS, ORDER, CROSS = 10, 6, 4
+FOLDS, ORDER, CROSS = 10, 6, 6
 PART_BYTES, PART_POWER = 1 << 22, 0.75
 MAX_FREQUENT, MAX_WINDOWS = 1 << 19, 1 << 20
 SMOOTH = 0.1
@@ -348,19 +348,25 @@ TERM = np.dtype([("word", "<u4"), ("log", "<f8")])
 
 
 def _packed(rows: np.ndarray) -> bytes:
-    """Column by column, and compressed here, since Parquet's codec takes memory outside the heap
-    for whole pages."""
-    data = b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
-    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    """Column by column, and byte by byte within a column, windows as differences, since most come
+    sorted. Compressed here, since Parquet's codec takes memory outside the heap for whole pages."""
+    parts = []
+    for c in rows.dtype.names:
+        column = np.ascontiguousarray(rows[c])
+        column = np.diff(column, prepend=column.dtype.type(0)) if c == "window" else column
+        parts.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(rows), -1).T).tobytes())
+    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(b"".join(parts), asbytes=True)
 
 
 def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    data = pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True)
+    data = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True), np.uint8)
     rows, at = np.empty(n, kind), 0
     for c in kind.names:
-        rows[c] = np.frombuffer(data, kind[c], n, at)
-        at += n * kind[c].itemsize
+        size = kind[c].itemsize
+        column = np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind[c]).reshape(n)
+        rows[c] = np.cumsum(column, dtype=kind[c]) if c == "window" else column
+        at += n * size
     return rows
 
 
