@@ -1,7 +1,7 @@
 """Tags whose share of the posts grew between two windows of time.
 
 One pass counts both windows: the scan is filtered to the time that they span, and every
-tag gets two conditional counts. Posts count once for each tag. Scores are columns over
+tag gets two conditional counts; totals and artists come from the same pass. Posts count once for each tag. Scores are columns over
 the counts, so they can be changed without a new scan.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.text import color_of, tag_array
 from tagloom.model import CATEGORIES, column_of
 from tagloom.operators.tags import by_category
+from tagloom.sources.generations import Generations, source_key
 
 ONLY_NEW_GROWTH = 999999.0
 
@@ -128,25 +129,42 @@ def in_windows(posts: DataFrame, scan: Scan) -> DataFrame:
     return rows.select("recent", matched.alias("matched"), pairs.alias("tags"), *extra)
 
 
+#: Places of rows that stand for the posts themselves, and of pairs of tag and artist; tags have the place of their category.
+MATCHED, SCANNED, PAIR = -2, -1, len(CATEGORIES)
+
+
 def count(posts: DataFrame, scan: Scan) -> Counts:
+    """All counts from one aggregate over one read of the posts. Every post gives a row for itself, if it has
+    the seeds one more, one for each of its tags, and one for each tag with its only artist. What a
+    group stands for is told by the least place, which is known after the aggregate only, so tags, totals and
+    artists share its exchange."""
     rows = in_windows(posts, scan)
     priority = F.create_map(*(F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)))
+    none = F.lit(None).cast("string")
+    item = lambda tag, solo, place: F.struct(tag.alias("tag"), solo.alias("solo"), place.alias("place"))
+    named = F.transform("tags", lambda p: F.struct(p["tag"].alias("tag"), priority[p["category"]].alias("place")))
     names = F.array_distinct(F.transform("tags", lambda p: p["tag"]))
-    places = F.transform(names, lambda t: F.struct(t.alias("tag"), F.array_min(F.transform(F.filter("tags", lambda p: p["tag"] == t), lambda p: priority[p["category"]])).alias("place")))
-    exploded = rows.where("matched").select("recent", F.explode(places).alias("t"), *(["solo"] if scan.artists else [])).select("recent", "t.tag", "t.place", *(["solo"] if scan.artists else []))
-    tags = exploded.groupBy("tag").agg(F.min("place").alias("place"), F.count_if("recent").alias("recent"), F.count_if(~F.col("recent")).alias("baseline"))
-    tags = tags.select("tag", F.array(*map(F.lit, CATEGORIES))[F.col("place")].alias("category"), "recent", "baseline")
-    totals = rows.agg(
-        F.count_if(F.col("matched") & F.col("recent")).alias("total_recent"), F.count_if(F.col("matched") & ~F.col("recent")).alias("total_baseline"),
-        F.count("*").alias("scanned"), F.count_if("matched").alias("matched"),
+    tags = F.transform(names, lambda t: item(t, none, F.array_min(F.transform(F.filter(named, lambda p: p["tag"] == t), lambda p: p["place"]))))
+    listed = F.concat(F.array(item(none, none, F.lit(MATCHED))), tags)
+    if scan.artists:
+        pairs = F.transform(names, lambda t: item(t, F.col("solo"), F.lit(PAIR)))
+        listed = F.concat(listed, F.when(F.col("recent") & F.col("solo").isNotNull(), pairs).otherwise(F.array().cast("array<struct<tag: string, solo: string, place: int>>")))
+    every = F.concat(F.array(item(none, F.lit(""), F.lit(SCANNED))), F.when(F.col("matched"), listed).otherwise(F.array().cast("array<struct<tag: string, solo: string, place: int>>")))
+    groups = rows.select("recent", F.explode(every).alias("t")).groupBy("t.tag", "t.solo").agg(F.min("t.place").alias("place"), F.count_if("recent").alias("recent"), F.count_if(~F.col("recent")).alias("baseline"))
+    of = F.col("place")
+    found = groups.where(of.between(0, PAIR - 1)).select("tag", F.array(*map(F.lit, CATEGORIES))[of].alias("category"), "recent", "baseline")
+    total = lambda kind, c: F.coalesce(F.sum(F.when(of == kind, F.col(c))), F.lit(0).cast("long"))
+    totals = groups.where(of < 0).agg(
+        total(MATCHED, "recent").alias("total_recent"), total(MATCHED, "baseline").alias("total_baseline"),
+        (total(SCANNED, "recent") + total(SCANNED, "baseline")).alias("scanned"), (total(MATCHED, "recent") + total(MATCHED, "baseline")).alias("matched"),
     )
     artists = None
     if scan.artists:
-        pairs = exploded.where("recent and solo is not null").groupBy("tag", "solo").agg(F.count("*").alias("n"))
-        most = F.min(F.struct((-F.col("n")).alias("less"), "solo"))  # of equals the first by name
-        artists = pairs.groupBy("tag").agg(F.sum("n").alias("solo_posts"), most.alias("m"))
+        pairs = groups.where(of == PAIR).where(F.col("recent") >= F.col("baseline"))  # always: pairs are of recent posts
+        most = F.min(F.struct((-F.col("recent")).alias("less"), "solo"))  # of equals the first by name
+        artists = pairs.groupBy("tag").agg(F.sum("recent").alias("solo_posts"), most.alias("m"))
         artists = artists.select("tag", "solo_posts", (-F.col("m.less")).alias("top"), F.col("m.solo").alias("top_artist"))
-    return Counts(tags, totals, artists)
+    return Counts(found, totals, artists)
 
 
 def _grown(counts: Counts, scoring: Scoring) -> DataFrame:
@@ -204,21 +222,44 @@ def status(counts: Counts, scan: Scan, scoring: Scoring, cached: bool = False) -
     )
 
 
+#: The tables of Counts, as a durable cache keeps them.
+CACHE = {
+    "tags": "tag string, category string, recent long, baseline long", "totals": "total_recent long, total_baseline long, scanned long, matched long",
+    "artists": "tag string, solo_posts long, top long, top_artist string",
+}
+
+
 class ExplosionFinder:
-    """Scans once for each Scan and rescores from the kept counts; ``status`` tells of the last result."""
+    """Scans once for each Scan and rescores from the kept counts; ``status`` tells of the last result.
+    With a cache folder, counts outlive the application, and are found again as long as the files that the posts are
+    read from are the same."""
 
-    def __init__(self, posts: DataFrame):
-        self.posts, self.kept, self.status = posts, {}, ""
+    def __init__(self, posts: DataFrame, cache: str | None = None):
+        self.posts, self.cache, self.kept, self.status = posts, cache, {}, ""
 
     def find(self, scan: Scan, scoring: Scoring = Scoring()) -> DataFrame:
         if scoring.dominance is not None and not scan.artists:
             scan = replace(scan, artists=True)
         cached = scan in self.kept
         if not cached:
-            self.kept[scan] = count(self.posts, scan).persist()
+            self.kept[scan], cached = self._counts(scan)
         self.status = status(self.kept[scan], scan, scoring, cached)
         return scored(self.kept[scan], scoring)
 
+    def _counts(self, scan: Scan) -> tuple[Counts, bool]:
+        """The counts of a scan, and whether they were cached."""
+        if self.cache is None:
+            return count(self.posts, scan).persist(), False
+        key = source_key(scan, self.posts)
+        folder = Generations(self.posts.sparkSession, f"{self.cache}/{source_key(scan)[:32]}")
+        wanted = {name: schema for name, schema in CACHE.items() if name != "artists" or scan.artists}
+        found = folder.load(wanted, key)
+        if found is not None:
+            return Counts(**found), True
+        counts = count(self.posts, scan)
+        folder.save({name: getattr(counts, name) for name in wanted}, key)
+        return Counts(**folder.load(wanted, key)), False
+
     def close(self) -> None:
         for counts in self.kept.values():
             counts.unpersist()

@@ -1,53 +1,75 @@
 """The graph of tags that occur together.
 
-Nodes are few (``max_nodes``, at most some hundreds), so their names are broadcast; the
-pairs of each post are made of its nodes alone, within its row.
+Nodes are few (``max_nodes``, at most some hundreds), so their names and counts are one map, a scalar
+subquery; the pairs of each post are made of its nodes alone, within its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import tag_array
-from tagloom.model import CATEGORIES, column_of
-from tagloom.operators.tags import all_tags, posts_with, ranked
+from tagloom.model import CATEGORIES, MIXED, column_of
+from tagloom.operators.tags import all_tags, has_focus, labelled_tags, ranked
 
 ALL = (*CATEGORIES, "mixed", "unknown")
 MOST_NODES = 1000
 
 
+def _beside(posts: DataFrame, focus: str) -> DataFrame:
+    """(tag, count, coverage, category, related, beside): every tag with its category among all posts, and with its
+    count and category among those that have the focus; one count of all tags for both."""
+    near = posts.select(F.when(has_focus(posts, focus), True).otherwise(False).alias("near"), F.explode(labelled_tags(posts)).alias("p"))
+    only = lambda c: F.when(F.col("near"), c)
+    found = near.groupBy(F.col("p.tag").alias("tag")).agg(
+        F.count("*").alias("count"), F.min("p.category").alias("low"), F.max("p.category").alias("high"),
+        F.count_if("near").alias("related"), F.min(only(F.col("p.category"))).alias("near_low"), F.max(only(F.col("p.category"))).alias("near_high"),
+    )
+    # These always hold; they keep every use of the counts on the same columns, so that one exchange serves all.
+    found = found.where((F.col("count") >= F.col("related")) & (F.col("low") <= F.col("high")) & (F.col("near_low").isNull() | (F.col("near_low") <= F.col("near_high"))))
+    kind = lambda low, high: F.when(F.col(low) == F.col(high), F.col(low)).otherwise(MIXED)
+    coverage = F.col("count") / F.greatest(F.lit(1), posts.agg(F.count("*")).scalar()) * 100.0
+    return found.select("tag", "count", coverage.alias("coverage"), kind("low", "high").alias("category"), "related", kind("near_low", "near_high").alias("beside"))
+
+
 def nodes(posts: DataFrame, max_nodes: int = 60, focus: str = "", categories: tuple[str, ...] = ALL) -> DataFrame:
     """(tag, category, count, coverage, related): the most frequent tags of the categories;
     with a focus, it and the tags most frequent beside it, with the counts of all posts and,
     as related, of the posts that have the focus."""
     if not 1 <= max_nodes <= MOST_NODES:
         raise ValueError(f"a graph has 1 to {MOST_NODES} nodes")
-    allowed = F.col("category").isin(list(categories))
-    every = ranked(all_tags(posts), max(8000, max_nodes * 40)).where(allowed)
+    allowed = list(categories)
     if not focus:
+        every = ranked(all_tags(posts), max(8000, max_nodes * 40)).where(F.col("category").isin(allowed))
         return every.orderBy(F.desc("count"), "tag").limit(max_nodes).withColumn("related", F.lit(0).cast("long"))
-    near = ranked(all_tags(posts_with(posts, focus)), max(5000, max_nodes * 20)).where(allowed).select("tag", F.col("count").alias("related"))
-    own = every.where(F.col("tag") == focus).join(near, "tag", "left").select("tag", "category", "count", "coverage", F.coalesce("related", F.lit(0).cast("long")).alias("related"), F.lit(0).alias("turn"))
-    others = near.where(F.col("tag") != focus).orderBy(F.desc("related"), "tag").limit(max_nodes)
-    beside = others.join(every, "tag").select("tag", "category", "count", "coverage", "related", F.lit(1).alias("turn"))
+    counted = _beside(posts, focus)
+    every = ranked(counted, max(8000, max_nodes * 40)).where(F.col("category").isin(allowed))
+    near = counted.where("related > 0").orderBy(F.desc("related"), "tag").limit(max(5000, max_nodes * 20)).where(F.col("beside").isin(allowed))
+    own = every.where(F.col("tag") == focus).drop("related", "beside").join(near.select("tag", "related"), "tag", "left")
+    own = own.select("tag", "category", "count", "coverage", F.coalesce("related", F.lit(0).cast("long")).alias("related"), F.lit(0).alias("turn"))
+    others = near.where(F.col("tag") != focus).select("tag", "related").orderBy(F.desc("related"), "tag").limit(max_nodes)
+    beside = others.join(every.drop("related", "beside"), "tag").select("tag", "category", "count", "coverage", "related", F.lit(1).alias("turn"))
     return own.unionByName(beside).orderBy("turn", F.desc("related"), "tag").limit(max_nodes).drop("turn")
 
 
 def settled(chosen: DataFrame) -> DataFrame:
-    """The nodes (at most MOST_NODES rows) as a local table, so that edges, degrees and radii don't
-    count them again."""
+    """The nodes (at most MOST_NODES rows) as a local table, for several actions on them; this runs a job."""
     return chosen.sparkSession.createDataFrame(chosen.limit(MOST_NODES).collect(), chosen.schema)
 
 
+def _sizes(chosen: DataFrame) -> Column:
+    """The nodes' counts by tag, a bounded map that is evaluated once in a query, however often it is used."""
+    return F.map_from_entries(chosen.agg(F.collect_list(F.struct("tag", "count"))).scalar())
+
+
 def edge_counts(posts: DataFrame, chosen: DataFrame) -> DataFrame:
     """(a, b, count): posts that have both nodes a < b, each post once."""
-    names = chosen.agg(F.collect_set("tag")).scalar()  # one bounded array
     if "tag_string" in posts.columns:
         own = tag_array(F.col("tag_string"))
     else:
         own = F.flatten(F.array(*(tag_array(F.col(column_of(c))) for c in CATEGORIES if column_of(c) in posts.columns)))
-    rows = posts.select(F.sort_array(F.array_intersect(own, names)).alias("t")).where(F.size("t") >= 2)
+    rows = posts.select(F.sort_array(F.array_intersect(own, F.map_keys(_sizes(chosen)))).alias("t")).where(F.size("t") >= 2)
     first = rows.select(F.posexplode("t").alias("i", "a"), "t")
     pairs = first.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("count"))
@@ -55,9 +77,9 @@ def edge_counts(posts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def edges(counts: DataFrame, chosen: DataFrame, min_count: int = 2, max_nodes: int = 60) -> DataFrame:
     """(a, b, count, strength): the heaviest edges; strength is the count over that of the rarer node."""
-    of = lambda c: F.broadcast(chosen.select(F.col("tag").alias(c), F.greatest(F.lit(1), "count").alias(f"n_{c}")))
-    strong = counts.where(F.col("count") >= min_count).join(of("a"), "a").join(of("b"), "b")
-    strong = strong.select("a", "b", "count", (F.col("count") / F.least("n_a", "n_b")).alias("strength"))
+    sizes = _sizes(chosen)
+    rarer = F.greatest(F.lit(1), F.least(F.try_element_at(sizes, F.col("a")), F.try_element_at(sizes, F.col("b"))))
+    strong = counts.where(F.col("count") >= min_count).withColumn("strength", F.col("count") / rarer).where("strength is not null")
     return strong.orderBy(F.desc("count"), F.desc("strength"), "a", "b").limit(max(max_nodes * 5, 80))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.plans.query import parse
+from tagloom.plans.query import Term, parse
 
 SORTS = {"Score": "score", "Favorites": "fav_count", "Date": "created_at"}
 
@@ -31,11 +32,12 @@ class SearchSpec:
         """(column, descending): the query's own order, or else the chosen one."""
         return parse(self.query).order or (SORTS[self.sort], self.descending)
 
-    def conditions(self) -> list[Column]:
-        """Dates compare as strings; a time of day on the last date lies beyond it."""
+    def conditions(self, tested: Callable[[Term], Column | None] = lambda term: None) -> list[Column]:
+        """Dates compare as strings; a time of day on the last date lies beyond it. ``tested`` may give a
+        term's test in another form."""
         width, height = F.col("image_width"), F.col("image_height")
         shapes = {"Landscape": width > height, "Portrait": width < height, "Square": width == height}
-        tests = [parse(self.query).condition()]
+        tests = [parse(self.query).condition(tested)]
         if self.ratings:
             tests.append(F.col("rating").isin(list(self.ratings)))
         for bound, test in ((self.date_from, F.col("created_at").__ge__), (self.date_to, F.col("created_at").__le__), (self.min_score, F.col("score").__ge__), (self.min_favs, F.col("fav_count").__ge__)):
@@ -57,10 +59,37 @@ def first_of_file(posts: DataFrame) -> DataFrame:
     return posts.groupBy(F.col("md5").alias("_md5")).agg(first.alias("_post")).select("_post.*")
 
 
+def write_by_file(posts: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """Keep posts as a table bucketed by md5, and return it: its posts of one file lie in one bucket."""
+    posts.write.bucketBy(buckets, "md5").sortBy("md5", "id").option("path", path).mode("overwrite").saveAsTable(table)
+    return posts.sparkSession.table(table)
+
+
+def first_of_bucketed(table: DataFrame) -> DataFrame:
+    """As first_of_file, for a table bucketed by md5: nothing is shuffled, and only ids are aggregated. Rows
+    with their file's first id are found by a hash join within the bucket; several rows of one id
+    are told apart by their dates and then by their other columns."""
+    named = table.where(F.col("md5").isNotNull())
+    least = named.groupBy("md5").agg(F.min("id").alias("_first"))
+    last = F.lit((1 << 63) - 1)  # in place of null; not a key of the join, which the buckets would not have
+    is_first = F.coalesce("id", last) <= F.coalesce("_first", last)
+    near = named.join(least.hint("shuffle_hash"), "md5").where(is_first)
+    ties = [F.asc_nulls_first(c) for c in ("created_at", *(c for c in table.columns if c not in ("id", "md5", "created_at")))]
+    one = near.withColumn("_place", F.row_number().over(Window.partitionBy("md5").orderBy(*ties))).where("_place = 1")
+    none = table.where(F.col("md5").isNull()).orderBy(F.asc_nulls_last("id"), *ties).limit(1)
+    return one.select(*table.columns).unionByName(none)
+
+
+def shuffle_key(seed: int) -> Column:
+    """A post's place in the order that a seed shuffles posts into: a hash of the seed and the id alone."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+
+
 def ordered(posts: DataFrame, column: str, descending: bool, seed: int = 0) -> DataFrame:
-    """Sorted with nulls first either way, ties by id; or shuffled by a seed."""
+    """Sorted with nulls first either way, ties by id; or shuffled by a seed. A seed has one order, however the
+    posts are partitioned and whichever tasks run again."""
     if column == "random":
-        return posts.orderBy(F.rand(seed))
+        return posts.orderBy(shuffle_key(seed), "id", F.asc_nulls_first("md5"), F.asc_nulls_first("created_at"))
     key = F.desc_nulls_first(column) if descending else F.asc_nulls_first(column)
     return posts.orderBy(key, F.asc_nulls_first("id"))
 

@@ -87,6 +87,13 @@ def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
     place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("t.category")).cast("int")
     rows = once.select(doy.alias("doy"), F.when(doy.isNotNull(), year_month(F.col("created_at"))).alias("ym"), F.explode(by_category()).alias("t"))
     each = rows.groupBy(F.col("t.tag").alias("tag"), place.alias("place"), "doy", "ym").agg(F.count("*").alias("n"))
+    every = once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n"))
+    return from_each(each, every, min_posts)
+
+
+def from_each(each: DataFrame, every: DataFrame, min_posts: int = 1000) -> Counts:
+    """Counts from rows (tag, place, doy, ym, n), which may repeat, and (ym, n) of all posts; place is the
+    category's, from 1."""
     kind = lambda day, month, last: F.struct(day.alias("doy"), month.alias("ym"), F.lit(last).alias("is_month"))
     both = each.select("tag", "place", "n", F.explode(F.array(kind(F.col("doy"), F.lit(None).cast("string"), False), kind(F.lit(None).cast("int"), F.col("ym"), True))).alias("k"))
     summed = both.groupBy("tag", "k").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
@@ -98,7 +105,6 @@ def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
         F.collect_list(F.when(F.col("k.ym").isNotNull(), F.struct(F.col("k.ym").alias("ym"), "n"))).alias("months"),
     )
     often = tags.where((F.col("posts") >= min_posts) & F.col("place").isNotNull())
-    every = once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n"))
     return Counts(often.select("tag", F.array(*map(F.lit, CATEGORIES))[F.col("place") - 1].alias("category"), "days", "months"), every)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +45,17 @@ def tag_counts(posts: DataFrame, empty: bool = False) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
 
 
+def labelled_tags(posts: DataFrame) -> Column:
+    """array of (tag, category) of a post: by its category columns, or of tag_string without any."""
+    present = tuple(c for c in CATEGORIES if column_of(c) in posts.columns)
+    return by_category(present, spaced_tags) if present else _labelled(spaced_tags(F.col("tag_string")), UNKNOWN)
+
+
 def all_tags(posts: DataFrame, n_posts: int | None = None) -> DataFrame:
     """(tag, category, count, coverage) of every tag. A tag of several categories is mixed;
     coverage is the count in percent of the posts and may exceed 100. Frames without
     category columns are counted by tag_string, as unknown."""
-    present = [c for c in CATEGORIES if column_of(c) in posts.columns]
-    if present:
-        pairs = posts.select(F.explode(by_category(tuple(present), spaced_tags)).alias("p")).select("p.tag", "p.category")
-    else:
-        pairs = posts.select(F.explode(spaced_tags(F.col("tag_string"))).alias("tag"), F.lit(UNKNOWN).alias("category"))
+    pairs = posts.select(F.explode(labelled_tags(posts)).alias("p")).select("p.tag", "p.category")
     counts = pairs.groupBy("tag").agg(F.count("*").alias("count"), F.min("category").alias("low"), F.max("category").alias("high"))
     category = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(MIXED)
     total = posts.agg(F.count("*")).scalar() if n_posts is None else F.lit(n_posts)
@@ -66,16 +69,50 @@ def tag_map(posts: DataFrame, top_n: int = 5000, focus: str = "") -> DataFrame:
     return ranked(all_tags(posts), top_n)
 
 
+def occurrences(posts: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """(tag, category) of every tag in the category columns of posts."""
+    return posts.select(F.explode(by_category(categories, spaced_tags)).alias("p")).select("p.tag", "p.category")
+
+
+def most_frequent(pairs: DataFrame, n: int, buckets: int = 1 << 16) -> DataFrame:
+    """(tag, category, count) of the n most frequent tags of (tag, category), exactly, without counting the others.
+
+    A first pass counts hash buckets of tags, which bounds the count of every tag in them. The tags of
+    the fullest buckets are counted; the n-th of these counts is a bound that the n-th tag of all
+    reaches. Only buckets that reach it can hold a tag that belongs to the result, so the last pass
+    counts the tags of those alone. The driver sees at most a number for each bucket, and broadcast
+    are bucket numbers."""
+    spark = pairs.sparkSession
+    bucket = F.pmod(F.xxhash64("tag"), F.lit(buckets)).cast("int").alias("bucket")
+    placed = pairs.select("tag", "category", bucket)
+    held = placed.groupBy("bucket").agg(F.count("*").alias("most")).orderBy(F.desc("most"), "bucket").toArrow()  # one row for each bucket
+
+    def within(rows) -> DataFrame:
+        chosen = spark.createDataFrame(rows.select(["bucket"]))
+        counted = placed.join(F.broadcast(chosen), "bucket", "left_semi").groupBy("tag").agg(F.count("*").alias("count"), F.min("category").alias("low"), F.max("category").alias("high"))
+        return counted.select("tag", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(MIXED).alias("category"), "count")
+
+    if not held.num_rows:
+        return pairs.limit(0).select("tag", "category", F.lit(0).cast("long").alias("count"))
+    bound = ranked(within(held.slice(0, 2 * n)), n).agg(F.min("count").alias("least"), F.count("*").alias("tags")).first()
+    least = bound["least"] if bound["tags"] == n else 0
+    return ranked(within(held.filter(pc.greater_equal(held["most"], least))), n)
+
+
 def ranked(tags: DataFrame, n: int) -> DataFrame:
     return tags.orderBy(F.desc("count"), "tag").limit(n)
 
 
-def posts_with(posts: DataFrame, tag: str) -> DataFrame:
-    """The posts that have a tag in tag_string, or in their category columns without one."""
+def has_focus(posts: DataFrame, tag: str) -> Column:
+    """Whether a post has a tag in tag_string, or in its category columns without one."""
     if "tag_string" in posts.columns:
-        return posts.where(has_tag(F.col("tag_string"), tag))
+        return has_tag(F.col("tag_string"), tag)
     present = [column_of(c) for c in CATEGORIES if column_of(c) in posts.columns]
-    return posts.where(has_tag(F.concat_ws(" ", *present), tag)) if present else posts.limit(0)
+    return has_tag(F.concat_ws(" ", *present), tag) if present else F.lit(False)
+
+
+def posts_with(posts: DataFrame, tag: str) -> DataFrame:
+    return posts.where(has_focus(posts, tag))
 
 
 def visible(tags: DataFrame, text: str = "", category: str | None = None, min_count: int = 0) -> DataFrame:

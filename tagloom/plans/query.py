@@ -9,6 +9,7 @@ whether or not the term is negated.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -144,8 +145,12 @@ class Query:
     clauses: tuple[tuple[Term, ...], ...] = ()
     order: tuple[str, bool] | None = None
 
-    def condition(self) -> Column:
-        parts = [reduce(Column.__or__, [t.column() for t in clause]) for clause in self.clauses]
+    def condition(self, tested: Callable[[Term], Column | None] = lambda term: None) -> Column:
+        """All clauses as one column; ``tested`` may give a term's test in another form."""
+        parts = []
+        for clause in self.clauses:
+            own = [(t, tested(t)) for t in clause]
+            parts.append(reduce(Column.__or__, [t.column() if test is None else test for t, test in own]))
         return reduce(Column.__and__, parts, F.lit(True))
 
 

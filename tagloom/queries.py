@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as fn
@@ -15,7 +15,10 @@ from tagloom.operators.search import SearchSpec
 from tagloom.plans.query import plain_condition
 from tagloom.sources import posts as sources
 from tagloom.sources import sinks
+from tagloom.sources.stored import PostStore
+from tagloom.sources.upkeep import CountStore
 from tagloom.streaming.counts import windowed_counts
+from tagloom.streaming.distinct import distinct_counts, run_available
 from tagloom.testing.posts_view import posts, posts_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +78,13 @@ def dedup_md5(spark: SparkSession, d: str) -> DataFrame:
     return search.first_of_file(posts(spark, d)).select("id", "md5")
 
 
+@query("dedup_bucketed", "select id, md5, score, tag_string from (select *, row_number() over (partition by md5 order by id nulls last, created_at nulls first) as n from posts) where n = 1")
+def dedup_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """One post for each file, from a table bucketed by md5."""
+    table = search.write_by_file(posts(spark, d), f"posts_by_file_{abs(hash(d)) % 10**9}", sinks.scratch(spark), 8)
+    return search.first_of_bucketed(table).select("id", "md5", "score", "tag_string")
+
+
 @query("sort_topk", f"select id, rating, score, fav_count, tag_string from posts where contains({PAD}, ' large ') order by fav_count desc nulls first, id nulls first limit 100")
 def sort_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.preview(search.search(posts(spark, d), SearchSpec("large order:score -order:favcount order:nonsense")))
@@ -109,7 +119,11 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
     return tags.tag_counts(posts(spark, d))
 
 
-SORTED = {"id_asc": "id", "id_desc": "id desc", "score": "score desc, id", "score_asc": "score, id", "favcount": "fav_count desc, id", "favcount_asc": "fav_count, id", "created_at": "created_at desc, id", "date_asc": "created_at, id"}
+SORTED = {
+    "id": "id", "id_asc": "id", "id_desc": "id desc", "score": "score desc, id", "score_desc": "score desc, id", "score_asc": "score, id",
+    "favcount": "fav_count desc, id", "favcount_desc": "fav_count desc, id", "favcount_asc": "fav_count, id",
+    "created_at": "created_at desc, id", "created_at_desc": "created_at desc, id", "created_at_asc": "created_at, id", "date": "created_at desc, id", "date_desc": "created_at desc, id", "date_asc": "created_at, id",
+}
 
 
 @query("sort_orders", " union all ".join(f"select * from (select '{name}' as ord, id from posts where contains({PAD}, ' brand_24 ') order by {by} limit 4)" for name, by in SORTED.items()))
@@ -130,6 +144,12 @@ def tag_map(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tags.tag_map(posts(spark, d), 150))
 
 
+@query("tag_map_exact_top", f"{OCCURRENCES} select tag, category, count from ({TAG_MAP}) order by count desc, tag limit 40")
+def tag_map_exact_top(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent tags without counting the others."""
+    return tags.most_frequent(tags.occurrences(posts(spark, d)), 40, 4096)
+
+
 RELATED = OCCURRENCES.replace("from posts", f"from near").replace("with o as", f"with near as (select * from posts where contains({PAD}, ' nation_9 ')), o as")
 
 
@@ -214,6 +234,16 @@ def event_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("stream_distinct", "select cast(date_trunc('day', ts) as timestamp) as start, event_type as label, count(*) as count from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 day group by 1, 2", with_posts=False)
+def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of events of which some arrive twice, counted once each; the windows that are closed at its end."""
+    events, folder = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), sinks.scratch(spark)
+    events.unionByName(events.where("event_id % 3 = 0")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    found = run_available(distinct_counts(stream, F.col("event_id"), "ts", F.col("event_type"), late="1 day"), f"{folder}/out", f"{folder}/checkpoint")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # -- explosion ---------------------------------------------------------------------------
 
 WINDOWS = explosion.Windows("1997-01-01", "1998-12-31", "1999-01-01", "1999-06-30")
@@ -334,6 +364,24 @@ query("seasonality_timeline", f"""{COUNTED}, g as (select substr(created_at, 1,
     c as (select strftime(unnest(generate_series(min(cast(ym || '-01' as date)), max(cast(ym || '-01' as date)), interval 1 month)), '%Y-%m') as ym from g)
     select c.ym, coalesce(n, 0) as n, round(coalesce(n, 0) * 1.0 / greatest(1, coalesce(total, 0)) * 100, 6) as percent from c left join (select * from months where tag = 'promo') m using (ym) left join g using (ym)""")(lambda spark, d: rounded(seasonality.timeline(_season(spark, d), "promo")))
 
+ARRIVALS = "with a as (select *, case when id % 5 < 2 then 0 when id % 5 < 4 then 1 else 2 end as arrival from posts union all select *, 2 as arrival from posts where id % 5 < 2), k as (select *, coalesce(nullif(md5, ''), cast(nullif(id, 0) as varchar)) as key from a), once as (select * from (select *, row_number() over (partition by key order by arrival, id nulls last, created_at nulls first) as rn from k) where key is null or rn = 1)"
+KEPT_UP = ARRIVALS + ", o as (" + " union all ".join(f"select {i} as place, created_at, unnest(string_split(tag_string_{c}, ' ')) as tag from once" for i, c in enumerate(CATEGORIES, 1)) + ")"
+
+
+def kept_up(spark: SparkSession, d: str) -> CountStore:
+    """Counts after three arrivals, the last of which brings posts of the first again."""
+    every, store = posts(spark, d), CountStore(spark, sinks.scratch(spark))
+    for part in ("id % 5 < 2", "id % 5 in (2, 3)", "id % 5 in (0, 1, 4)"):
+        store.add(every.where(part))
+    return store
+
+
+query("kept_counts", f"{KEPT_UP} select tag, place, cast(date_diff('day', date '2000-01-01', cast('2000' || substr(created_at, 5, 6) as date)) as integer) as doy, substr(created_at, 1, 7) as ym, count(*) as n from o where tag <> '' group by all")(
+    lambda spark, d: kept_up(spark, d).tags()
+)
+query("kept_totals", f"{KEPT_UP} select tag, count(*) as count from o where tag <> '' group by tag")(lambda spark, d: kept_up(spark, d).totals())
+query("kept_months", f"{ARRIVALS} select substr(created_at, 1, 7) as ym, count(*) as n from once group by 1")(lambda spark, d: kept_up(spark, d).months())
+
 # -- graph -------------------------------------------------------------------------------
 
 N = 25
@@ -349,7 +397,7 @@ LIMITED = ("artist", "copyright", "character", "general", "mixed", "unknown")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.settled(graph.nodes(posts(spark, d), N))
+    return graph.nodes(posts(spark, d), N)
 
 
 query("bubble_nodes", f"{NODES} select * from nodes")(lambda spark, d: rounded(_nodes(spark, d)))
@@ -367,7 +415,13 @@ query("bubble_labels", f"{NODES}, b as (select sqrt(min(count)) as lo, sqrt(max(
     lambda spark, d: graph.labelled(graph.radii(_nodes(spark, d)), "nation_2").select("tag")
 )
 
-query("order_random", "select id from posts where score > 400")(lambda spark, d: search.search(posts(spark, d), SearchSpec("score:>400 order:random", seed=7)).select("id"))
+@query("order_random", "select id, row_number() over (order by md5('7:' || id), id) as place from posts where score > 300 order by place limit 200")
+def order_random(spark: SparkSession, d: str) -> DataFrame:
+    """The first posts of a shuffle, with their places in it."""
+    first = search.search(posts(spark, d), SearchSpec("score:>300 order:random", seed=7)).limit(200)
+    return first.select("id", F.row_number().over(Window.orderBy(search.shuffle_key(7), "id")).alias("place"))
+
+
 query("tag_anchors", f"select id, coalesce(list_aggregate(list_transform(string_split(tag_string_artist, ' '), lambda t: '<a href=\"' || t || '\" style=\"color:{COLORS['artist']}; text-decoration:none;\">' || t || '</a>'), 'string_agg', ' '), '') as artists from posts")(
     lambda spark, d: posts(spark, d).select("id", fn.anchors(F.col("tag_string_artist"), COLORS["artist"]).alias("artists"))
 )
@@ -384,6 +438,38 @@ def posts_files(spark: SparkSession, d: str) -> DataFrame:
     return search.matching(read, SearchSpec(date_from="1997-01-01", date_to="1998-06-30")).select("id", "rating", "score", "fav_count", "created_at", "md5")
 
 
+# -- stored posts ------------------------------------------------------------------------
+
+_stores: dict[tuple[str, str], PostStore] = {}
+
+
+def stored(spark: SparkSession, d: str) -> PostStore:
+    """The posts as a store, written once for each application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        _stores[key] = PostStore.write(posts(spark, d), sinks.scratch(spark), block_rows=1000)
+    return _stores[key]
+
+
+def _stored_search(name: str, spec: SearchSpec, where: str) -> None:
+    query(name, f"select {COLUMNS} from posts where {where}")(lambda spark, d: stored(spark, d).matching(spec).select(*SHOWN))
+
+
+_stored_search("stored_tags", SearchSpec("supplier_000000007 red_rod or blue_rod -economy", ("g", "s", "q")), f"contains({PAD}, ' supplier_000000007 ') and (contains({PAD}, ' red_rod ') or contains({PAD}, ' blue_rod ')) and not contains({PAD}, ' economy ') and rating in ('g', 's', 'q')")
+_stored_search("stored_wildcards", SearchSpec("red_* -*_rod *000*07 score:>50"), rf"regexp_matches({PAD}, '(^|\s)red_\S*($|\s)') and not regexp_matches({PAD}, '(^|\s)\S*_rod($|\s)') and regexp_matches({PAD}, '(^|\s)\S*000\S*07($|\s)') and score > 50")
+_stored_search("stored_months", SearchSpec("promo", date_from="1996-02-29", date_to="1996-05-01"), f"contains({PAD}, ' promo ') and created_at >= '1996-02-29' and created_at <= '1996-05-01'")
+
+
+@query("stored_windows", "with w as (select 'p' || p_size as name, cast(1992 + p_size % 6 as varchar) || '-0' || (1 + p_size % 9) || '-15' as date_from, cast(1992 + p_size % 6 as varchar) || '-0' || (1 + p_size % 9) || '-28' as date_to from part where p_size <= 8 group by p_size) select name, id, created_at from posts join w on created_at >= date_from and created_at <= date_to")
+def stored_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in the windows of a table; the months to read are found as the query runs."""
+    size = F.col("p_size")
+    month = F.concat((1992 + size % 6).cast("string"), F.lit("-0"), (1 + size % 9).cast("string"))
+    windows = spark.read.parquet(f"{d}/part.parquet").where("p_size <= 8").select("p_size").distinct()
+    windows = windows.select(F.concat(F.lit("p"), size.cast("string")).alias("name"), F.concat(month, F.lit("-15")).alias("date_from"), F.concat(month, F.lit("-28")).alias("date_to"))
+    return stored(spark, d).in_windows(windows).select("name", "id", "created_at")
+
+
 # -- dictionary, files -------------------------------------------------------------------
 
 WORDS = "select lower(p_name) as name, p_size from part"
@@ -407,6 +493,13 @@ query("alias_expand", f"{ENTRIES} select * from e", with_posts=False)(_entries)
 query("autocomplete", f"{ENTRIES} select display, tag, color, count, case when count >= 1000000 then printf('%.1fM', count / 1e6) when count >= 1000 then printf('%.1fk', count / 1e3) else cast(count as varchar) end as shown_count from e where starts_with(key, 'ro') or contains(key, '_ro') order by count desc, display limit 20", with_posts=False)(
     lambda spark, d: autocomplete.complete(_entries(spark, d), "ro")
 )
+PREFIXES = f"""{ENTRIES}, s as (select *, unnest(list_filter(range(1, length(key) + 1), lambda i: i = 1 or substr(key, i - 1, 1) = '_')) as i from e where length(key) >= 2),
+    p as (select distinct substr(key, i, l) as prefix, key, display, tag, color, count from s, (select unnest([2, 3, 4]) as l) where i + l - 1 <= length(key))"""
+query("autocomplete_prefixes", f"{PREFIXES} select prefix, place, display, count from (select *, cast(row_number() over (partition by prefix order by count desc, display, key, color) as integer) as place from p) where place <= 5", with_posts=False)(
+    lambda spark, d: autocomplete.by_prefix(_entries(spark, d), 4, 5).select("prefix", "place", "display", "count")
+)
+
+
 query("dictionary_counts", f"with {DICTIONARY}, n as (select tag, count(*) as n from (select unnest(string_split(tag_string, ' ')) as tag from posts) group by 1) select d.tag, color, coalesce(n, 0) as count from d left join n using (tag)")(
     lambda spark, d: sinks.refreshed(_dictionary(spark, d).unionByName(spark.createDataFrame([], "tag string, color string, count long")), tags.tag_counts(posts(spark, d)))
 )

@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.sources.generations import Generations
+
 
 def through_parquet(df: DataFrame, path: str) -> DataFrame:
     """Write a result and read it back, so that what follows starts from the files."""
@@ -41,24 +43,16 @@ def joined_tags(tags: DataFrame) -> DataFrame:
     return tags.agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["tag"]), ", ").alias("tags"))
 
 
-def save_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_tables(spark: SparkSession, path: str, schemas: Mapping[str, str]) -> dict[str, DataFrame] | None:
-    """The tables written by save_tables, or None if one is missing or lacks a column."""
-    out = {}
-    for name, schema in schemas.items():
-        try:
-            df = spark.read.parquet(f"{path}/{name}")
-        except Exception:  # noqa: BLE001  a cache that can't be read is no cache
-            return None
-        wanted = {c.split()[0] for c in schema.split(", ")}
-        if not wanted <= set(df.columns):
-            return None
-        out[name] = df
-    return out
+def save_tables(tables: Mapping[str, DataFrame], path: str, key: str | None = None) -> None:
+    """Replace the tables kept at a path, all at once: one that is read meanwhile, or whose save is
+    killed, is as it was. ``key`` tells what they were made from; see generations.source_key()."""
+    spark = next(iter(tables.values())).sparkSession
+    Generations(spark, path).save(tables, key)
+
+
+def load_tables(spark: SparkSession, path: str, schemas: Mapping[str, str], key: str | None = None) -> dict[str, DataFrame] | None:
+    """The tables written by save_tables; None if one is missing or lacks a column, or if they have another key."""
+    return Generations(spark, path).load(schemas, key)
 
 
 def write_dictionary(tags: DataFrame, counts: DataFrame, path: str) -> DataFrame:
