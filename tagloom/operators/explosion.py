@@ -162,7 +162,8 @@ def count(posts: DataFrame, scan: Scan) -> Counts:
     if scan.artists:
         pairs = groups.where(of == PAIR).where(F.col("recent") >= F.col("baseline"))  # always: pairs are of recent posts
         most = F.min(F.struct((-F.col("recent")).alias("less"), "solo"))  # of equals the first by name
-        artists = pairs.groupBy("tag").agg(F.sum("recent").alias("solo_posts"), most.alias("m"))
+        # never null, so a join by it asks for no filter on tags, which would reach below the shared aggregate
+        artists = pairs.groupBy(F.coalesce("tag", F.lit("")).alias("tag")).agg(F.sum("recent").alias("solo_posts"), most.alias("m"))
         artists = artists.select("tag", "solo_posts", (-F.col("m.less")).alias("top"), F.col("m.solo").alias("top_artist"))
     return Counts(found, totals, artists)
 

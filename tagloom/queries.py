@@ -158,6 +158,15 @@ def tag_map_related(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tags.tag_map(posts(spark, d), 60, "nation_9"))
 
 
+BY_COLUMN = RELATED.replace(PAD, "(' ' || concat_ws(' ', " + ", ".join(f"tag_string_{c}" for c in CATEGORIES) + ") || ' ')")
+
+
+@query("tag_map_related_columns", f"{BY_COLUMN} select * from ({TAG_MAP.replace('from posts', 'from near')} order by count desc, tag limit 60) where tag <> 'nation_9'")
+def tag_map_related_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The map around a tag, of posts without tag_string."""
+    return rounded(tags.tag_map(posts(spark, d).drop("tag_string"), 60, "nation_9"))
+
+
 @query("tag_map_filter", f"{OCCURRENCES}, m as ({TAG_MAP}) select tag, category, count, printf('%.4f', coverage) as coverage_percent from m where contains(lower(tag), 'rod') and category = 'character' and count >= 300")
 def tag_map_filter(spark: SparkSession, d: str) -> DataFrame:
     return sinks.tag_map_rows(tags.visible(rounded(tags.all_tags(posts(spark, d))), "ROD", "character", 300))
@@ -309,6 +318,20 @@ SHARES = f"""{_exploded(SOLO)},
 query("explosion_why", SHARES)(lambda spark, d: rounded(explosion.scored(explosion.count(posts(spark, d), SOLO), explosion.Scoring(5, 1.05, 1 << 20, dominance=30.0, dominance_min_solo=2)).select("tag", "color", "delta_pct", "why")))
 query("explosion_totals", f"""{_exploded(SEEDED)}, m as (select count(*) filter (where {SEED_TEST}) as matched, count(*) filter (where recent and {SEED_TEST}) as total_recent, count(*) filter (where not recent and {SEED_TEST}) as total_baseline, count(*) as scanned from rows)
     select total_recent, total_baseline, scanned, matched from m""")(lambda spark, d: explosion.count(posts(spark, d), SEEDED).totals)
+BEFORE = """with anchor as (select cast(coalesce(substr(max(created_at), 1, 10), '2000-01-01') as date) as d from posts),
+    w as (select d as recent_to, d - 30 as recent_from, d - 31 as baseline_to, cast(d - 31 - interval 6 month as date) as baseline_from from anchor)
+    select count(*) filter (where substr(created_at, 1, 10) between cast(recent_from as varchar) and cast(recent_to as varchar)) as total_recent,
+           count(*) filter (where substr(created_at, 1, 10) between cast(baseline_from as varchar) and cast(baseline_to as varchar)) as total_baseline from posts, w"""
+
+
+@query("explosion_default_windows", BEFORE)
+def explosion_default_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in the windows that are proposed from the latest date."""
+    every = posts(spark, d)
+    windows = explosion.Windows.before(sources.latest_date(every).first()[0])
+    return explosion.count(every, explosion.Scan(windows)).totals.select("total_recent", "total_baseline")
+
+
 query("explosion_only_new", f"{_exploded(CHARACTERS)}{_scored(new=True, least=1)}")(lambda spark, d: _found(spark, d, CHARACTERS, explosion.Scoring(1, 1.05, 60, only_new=True)))
 query("explosion_exclude_new", f"{_exploded(CHARACTERS)}{_scored(exclude_new=True, least=1, extra=chr(32).join(['and tag not in', repr(('red_rod', 'old_gear'))]))}")(lambda spark, d: _found(spark, d, CHARACTERS, explosion.Scoring(1, 1.05, 60, exclude_new=True, excluded=("red_rod", "old_gear"))))
 query("explosion_seeded", f"{_exploded(SEEDED, SEED_TEST)}{_scored()}")(lambda spark, d: _found(spark, d, SEEDED, explosion.Scoring(5, 1.05, 60)))
@@ -356,6 +379,19 @@ query("seasonality_dedup", "with k as (select *, coalesce(nullif(md5, ''), cast(
 query("seasonality_peaks", f"{_peaks_sql(SPEC)} select * from peaks")(lambda spark, d: rounded(seasonality.peaks(_season(spark, d), SPEC)))
 query("seasonality_recurrence", f"{_peaks_sql(NAMED, r'''category in ('character', 'general', 'artist') and regexp_matches(tag, '^.*_r.d$') and not regexp_matches(tag, '^large') and not regexp_matches(tag, '^[n-o]')''')} select * from peaks")(lambda spark, d: rounded(seasonality.peaks(_season(spark, d), NAMED)))
 query("seasonality_heat", f"{_peaks_sql(SPEC)} select cast(d as integer) as doy, count(tag) as tags from range(366) r(d) left join peaks on (d - best_doy + 366) % 366 < w group by d")(lambda spark, d: seasonality.heat(seasonality.peaks(_season(spark, d), SPEC)))
+query("seasonality_heat_levels", f"{_peaks_sql(SPEC)}, h as (select cast(d as integer) as doy, count(tag) as tags from range(366) r(d) left join peaks on (d - best_doy + 366) % 366 < w group by d), e as (select min(tags) as lo, max(tags) as hi from h) select doy, round(case when hi <= lo or tags <= lo then 0.0 else ln(1.0 + (tags - lo)) / ln(1.0 + (hi - lo)) end, 6) as level from h, e")(
+    lambda spark, d: rounded(seasonality.heat_levels(seasonality.heat(seasonality.peaks(_season(spark, d), SPEC))).select("doy", "level"))
+)
+
+
+@query("seasonality_kept", f"{_peaks_sql(SPEC)} select * from peaks")
+def seasonality_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of counts that were saved and loaded again."""
+    counts, folder = _season(spark, d), sinks.scratch(spark)
+    sinks.save_tables({name: getattr(counts, name) for name in seasonality.CACHE}, folder, "posts")
+    return rounded(seasonality.peaks(seasonality.Counts.of(**sinks.load_tables(spark, folder, seasonality.CACHE, "posts")), SPEC))
+
+
 query("seasonality_on_day", f"{_peaks_sql(SPEC)} select tag, best_doy from peaks where (5 - best_doy + 366) % 366 < w")(lambda spark, d: seasonality.peaks_on(seasonality.peaks(_season(spark, d), SPEC), 5).select("tag", "best_doy"))
 query("seasonality_ahead_mean", f"{COUNTED} select tags.tag, cast(d as integer) as doy, round(coalesce(sum(n), 0) / 7.0, 6) as mean from (select tag from cats where category = 'meta') tags cross join range(366) r(d) left join days on days.tag = tags.tag and (doy - d + 366) % 366 < 7 group by 1, 2")(
     lambda spark, d: rounded(seasonality.ahead_mean((c := _season(spark, d)).days.join(c.categories.where("category = 'meta'").select("tag"), "tag", "left_semi")))
@@ -415,6 +451,23 @@ query("bubble_labels", f"{NODES}, b as (select sqrt(min(count)) as lo, sqrt(max(
     lambda spark, d: graph.labelled(graph.radii(_nodes(spark, d)), "nation_2").select("tag")
 )
 
+DRAWN = f"{NODES}, {PAIRS}, drawn as (select a, b, p.count, p.count * 1.0 / least(x.count, y.count) as strength from pairs p join nodes x on a = x.tag join nodes y on b = y.tag where p.count >= 3 order by p.count desc, strength desc, a, b limit 125)"
+
+
+def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    every, chosen = posts(spark, d), _nodes(spark, d)
+    return chosen, graph.edges(graph.edge_counts(every, chosen), chosen, 3, N)
+
+
+query("bubble_weights", f"{DRAWN}, e as (select min(count) as lo, max(count) as hi from drawn) select a, b, round(least(1.0, greatest(0.0, case when hi > lo then (count - lo) / greatest(1.0, hi - lo) else 1.0 end * 0.55 + least(1.0, greatest(0.0, strength)) * 0.45)), 6) as weight from drawn, e")(
+    lambda spark, d: rounded(graph.edge_weights(_drawn(spark, d)[1]).select("a", "b", "weight"))
+)
+query("bubble_stronger", f"{DRAWN} select a, b, count from drawn where strength >= 40 / 100.0")(lambda spark, d: graph.stronger(_drawn(spark, d)[1], 40).select("a", "b", "count"))
+query("bubble_named", f"{DRAWN}, hits as (select tag from nodes where contains(lower(tag), 'brand')) select tag, category, count from nodes where tag in (select tag from hits) or tag in (select b from drawn where a in (select tag from hits)) or tag in (select a from drawn where b in (select tag from hits))")(
+    lambda spark, d: graph.named(*_drawn(spark, d), "BRAND").select("tag", "category", "count")
+)
+
+
 @query("order_random", "select id, row_number() over (order by md5('7:' || id), id) as place from posts where score > 300 order by place limit 200")
 def order_random(spark: SparkSession, d: str) -> DataFrame:
     """The first posts of a shuffle, with their places in it."""
@@ -523,6 +576,12 @@ def export_urls(spark: SparkSession, d: str) -> DataFrame:
     return sinks.urls(search.search(posts(spark, d), SearchSpec("small order:id")))
 
 
+@query("search_written", f"select id, md5 from posts where contains({PAD}, ' small ') and score > 100")
+def search_written(spark: SparkSession, d: str) -> DataFrame:
+    """A result that was written and read back."""
+    return sinks.through_parquet(search.search(posts(spark, d), SearchSpec("small score:>100")), sinks.scratch(spark)).select("id", "md5")
+
+
 @query("post_links", "select id, 'https://posts.example.org/posts/' || id as url from posts where score > 430")
 def post_links(spark: SparkSession, d: str) -> DataFrame:
     return search.post_links(search.matching(posts(spark, d), SearchSpec("score:>430")), "https://posts.example.org")

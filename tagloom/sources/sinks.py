@@ -67,11 +67,16 @@ def refreshed(tags: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for files: below the shared one that spark.checkpoint.dir names; in local mode
-    without it, a temporary one."""
+    """A new folder for files, which the driver deletes when it ends: below the shared one that spark.checkpoint.dir
+    names; in local mode without it, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-    return f"{root.rstrip('/')}/tagloom/files-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/tagloom/files-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder

@@ -460,7 +460,7 @@ def stream_events(text):
     stream = b"\n" * 5 + b"".join(b" " + w for w in words) + b" \n"
     for i in range(6, len(stream)):
         depth = i - stream.rindex(b" ", 0, i)
-        reach = max(depth, 4)
+        reach = max(depth, ppm.CROSS)
         yield [("whole", stream[i - depth : i])] * (depth > 6) + [stream[i - k : i] for k in range(min(reach, 6), -1, -1)], stream[i]
 
 

@@ -48,28 +48,36 @@ def plan_of(df):
     return df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def scanned(df):
-    """Rows that the scans of a query that ran gave, and the files they opened."""
-    found = collections.Counter()
+def scans(df):
+    """Rows and files of every scan of a query that ran, also in subqueries; what another exchange stands in for isn't read."""
+    found = []
 
     def walk(node):
         name = node.nodeName()
         if name.startswith("AdaptiveSparkPlan"):
             return walk(node.executedPlan())
-        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage")):
+        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage", "TableCacheQueryStage")):
             return walk(node.plan())
+        if name.startswith("Reused"):
+            return None
         if name.startswith("Scan parquet"):
-            for metric in ("numOutputRows", "numFiles"):
-                found[metric] += node.metrics().apply(metric).value()
-        children = node.children()
-        for i in range(children.size()):
-            walk(children.apply(i))
+            found.append({m: node.metrics().apply(m).value() for m in ("numOutputRows", "numFiles")})
+        for more in (node.children(), node.subqueries()):
+            for i in range(more.size()):
+                child = more.apply(i)
+                walk(child.child() if child.nodeName().startswith("Subquery") else child)
 
     rows = df.collect()
     walk(df._jdf.queryExecution().executedPlan())
     return rows, found
 
 
+def scanned(df):
+    """Rows that the scans of a query that ran gave, and the files they opened."""
+    rows, found = scans(df)
+    return rows, {m: sum(x[m] for x in found) for m in ("numOutputRows", "numFiles")}
+
+
 QUERIES = [
     "hero_17", "hero_17 red_rod", "hero_17 OR hero_3 sky", "-hero_17 work_2", "work_1 -sky", "nobody", "hero_3 nobody", "hero_1 or score:>340", "red_*", "*_rod hero_5", "-red_* hero_9", "*ero_4*", "r", "h*t",
     "*", "-*", "a.b", "x*y", "*x*y*", "*a.b", "red_tab", "hero_*7 OR nobody", "1girl -*_hat rating:g", "nob*dy", "-nob*dy work_0", "re*_r*d",
@@ -139,26 +147,23 @@ def test_an_explosion_reads_its_months(store):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and seen["numOutputRows"] < ROWS / 4
 
 
-def scans(df):
-    """Scans in the plan that ran, without those that another stage's exchange stood in for."""
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan.split("== Initial Plan ==")[0].count("FileScan"), plan
+def test_one_scan_for_all_counts_of_an_explosion(posts):
+    w = explosion.Windows("2020-01-01", "2022-12-31", "2023-01-01", "2024-12-31")
+    some = posts.withColumn("tag_string_artist", F.concat(F.lit("artist_"), (F.col("id") % 7).cast("string")))
+    counts = explosion.count(some, explosion.Scan(w, artists=True))
+    rows, found = scans(explosion.scored(counts, explosion.Scoring(1, 0.0, 50, dominance=10.0)))
+    assert rows and len(found) == 1
 
 
-def test_one_scan_for_explosions_and_graphs(posts):
-    w = explosion.Windows("2020-01-01", "2022-12-31", "2023-01-01", "2024-12-31")
-    counts = explosion.count(posts, explosion.Scan(w, artists=True))
-    df = explosion.scored(counts, explosion.Scoring(1, 0.0, 50, dominance=50.0))
-    rows, seen = scanned(df)
-    assert rows
-    jobs = posts.sparkSession.sparkContext.statusTracker()
-    posts.sparkSession.sparkContext.setJobGroup("building", "nothing runs while a graph is built")
+def test_graphs_start_no_job_while_they_are_built(spark, posts):
+    spark.sparkContext.setJobGroup("building", "nothing runs while a graph is built")
     nodes = graph.nodes(posts, 12, "hero_17", graph.ALL)
     drawn = graph.edges(graph.edge_counts(posts, nodes), nodes, 1, 12)
-    assert not jobs.getJobIdsForGroup("building")
-    posts.sparkSession.sparkContext.setJobGroup("", "")
-    assert drawn.collect() == graph.edges(graph.edge_counts(posts, n := graph.settled(nodes)), n, 1, 12).collect()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("", "")
+    rows, found = scans(drawn)
+    assert rows == graph.edges(graph.edge_counts(posts, n := graph.settled(nodes)), n, 1, 12).collect()
+    assert len(found) <= 3  # the tags of all posts with and without the focus, their number, and the pairs
 
 
 def test_explosion_against_loops(posts):
