@@ -257,6 +257,15 @@ def test_held_out_accuracy(spark, module, label, least):
     assert module.score(docs(spark, []), model).count() == 0
 
 
+def test_toxic_texts_are_found(spark):
+    """Of the held-out rows of a larger table."""
+    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    found = toxicity.score(table("documents"), toxicity.train(table("documents"), table("labels")))
+    rows = found.join(table("labels"), "doc_id").where("held_out").collect()
+    share = lambda kind: sum(r["predicted"] for r in rows if r["toxic"] == kind) / sum(r["toxic"] == kind for r in rows)
+    assert share(1) >= 0.9 and share(0) <= 0.03
+
+
 TOXIC = ["you stupid clown, you stupid moron", "stupid moron trash here", "what trash, you moronic clown", "ordinary words with one idiot"]
 ORDINARY = ["the weather is fine and the day is long", "a long day in the sun", "one of the words is fine", "ordinary words in a line"]
 
