@@ -44,16 +44,16 @@ def direct_codes(rows, parts, entries, rounds):
     return found, books
 
 
-def vectors():
+def vectors(far=3e9):
     rng = np.random.default_rng(3)
     rows = [(int(k), (rng.integers(-40, 40, 8) / 16).tolist(), int(k) % 3 if k % 7 else None) for k in rng.permutation(60)]
-    rows += [(5, rows[0][1], 1), (5, rows[0][1], 1), (None, rows[3][1], 2), (900, None, 0), (901, [], 0), (902, [1.0] * 5, 0), (903, [*[0.5] * 7, None], 0), (904, [*[0.5] * 7, math.nan], 0), (905, [*[0.5] * 7, -math.inf], 0), (-4, [3e9, *[-1e9] * 7], 0)]
+    rows += [(5, rows[0][1], 1), (5, rows[0][1], 1), (None, rows[3][1], 2), (900, None, 0), (901, [], 0), (902, [1.0] * 5, 0), (903, [*[0.5] * 7, None], 0), (904, [*[0.5] * 7, math.nan], 0), (905, [*[0.5] * 7, -math.inf], 0), (-4, [far, *[-far / 3] * 7], 0)]
     return rows
 
 
 @pytest.mark.parametrize(("parts", "entries", "rounds"), [(4, 256, 4), (2, 7, 3), (8, 1, 2)])
 def test_vector_codes(spark, parts, entries, rounds):
-    rows = vectors()
+    rows = vectors(3e9 if entries > 1 else 3e5)  # with one entry, the far vector is that of all others
     df = spark.createDataFrame([(k, v, lab, "mine", 1.5) for k, v, lab in rows], "vec_id long, embedding array<double>, label int, code string, key double").repartition(5)
     want, books = direct_codes(rows, parts, entries, rounds)
     got = codes.compress(df, parts=parts, entries=entries, rounds=rounds).collect()
@@ -78,6 +78,9 @@ def test_vector_codes_are_usable(spark):
     assert codes.train(empty) is None and codes.compress(empty).collect() == [] and codes.encode(empty, None).collect() == []
     with pytest.raises(ValueError, match="equal parts"):
         codes.train(df, parts=3)
+    far = spark.createDataFrame([(1, [3e9] * 4), (2, [-3e9] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError"):
+        codes.encode(far, codes.train(far, parts=2, entries=1, rounds=0)).collect()
 
 
 def test_distances_beyond_floats():
