@@ -61,7 +61,7 @@ from tagloom.llm.store import discard, finished, materialise, small_batches, tid
 
 FOLDS, ORDER, CROSS = 10, 6, 6
 PART_BYTES, PART_POWER = 1 << 22, 0.75
-MAX_FREQUENT, MAX_WINDOWS = 1 << 19, 1 << 20
+MAX_FREQUENT, MAX_WINDOWS = 1 << 19, 1 << 21
 SMOOTH = 0.1
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
 FLUSH, AT_ONCE = 200_000, 100_000
@@ -347,26 +347,36 @@ WINDOW = np.dtype([("window", "<u8"), ("weight", "<i8")])
 TERM = np.dtype([("word", "<u4"), ("log", "<f8")])
 
 
+def _pack_column(column: np.ndarray, steps: bool = False) -> bytes:
+    """A column byte by byte, as differences if it comes mostly sorted. Compressed here, since Parquet's
+    codec takes memory outside the heap for whole pages."""
+    column = np.ascontiguousarray(np.diff(column, prepend=column.dtype.type(0)) if steps else column)
+    planes = np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T)
+    return len(column).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack_column(blob: bytes, kind: np.dtype, steps: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * size, asbytes=True), np.uint8).reshape(size, n)
+    column = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    return np.cumsum(column, dtype=kind) if steps else column
+
+
 def _packed(rows: np.ndarray) -> bytes:
-    """Column by column, and byte by byte within a column, windows as differences, since most come
-    sorted. Compressed here, since Parquet's codec takes memory outside the heap for whole pages."""
-    parts = []
-    for c in rows.dtype.names:
-        column = np.ascontiguousarray(rows[c])
-        column = np.diff(column, prepend=column.dtype.type(0)) if c == "window" else column
-        parts.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(rows), -1).T).tobytes())
-    return len(rows).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(b"".join(parts), asbytes=True)
+    """Column by column."""
+    blobs = [_pack_column(rows[c], c == "window") for c in rows.dtype.names]
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
 
 
 def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    data = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * kind.itemsize, asbytes=True), np.uint8)
-    rows, at = np.empty(n, kind), 0
+    columns, at = [], 0
     for c in kind.names:
-        size = kind[c].itemsize
-        column = np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind[c]).reshape(n)
-        rows[c] = np.cumsum(column, dtype=kind[c]) if c == "window" else column
-        at += n * size
+        size = int.from_bytes(blob[at : at + 8], "little")
+        columns.append(_unpack_column(blob[at + 8 : at + 8 + size], kind[c], c == "window"))
+        at += 8 + size
+    rows = np.empty(len(columns[0]), kind)
+    for c, column in zip(kind.names, columns, strict=True):
+        rows[c] = column
     return rows
 
 
@@ -774,11 +784,13 @@ def _score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fol
             row += count
             rare, owners = np.concatenate(rare), np.concatenate(owners)
             if len(rare):
-                part = (rare % np.uint64(parts)).astype(np.int32)
+                order = _ranked(rare)
+                rare, owners = rare[order], owners[order]
+                part = (rare % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int32)  # 16 bits are sorted by radix
                 order = np.argsort(part, kind="stable")
                 cuts = [c for c in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(c)]
                 none = [None] * len(cuts)
-                columns = (*[none] * 7, [int(part[c[0]]) for c in cuts], [rare[c].tobytes() for c in cuts], [owners[c].tobytes() for c in cuts])
+                columns = (*[none] * 7, [int(part[c[0]]) for c in cuts], [_pack_column(rare[c], True) for c in cuts], [_pack_column(owners[c]) for c in cuts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, scan_kinds, strict=True)], scan_names)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, part int, hashes binary, rows binary"
@@ -795,7 +807,7 @@ def _score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fol
                     own = np.frombuffer(hashes, np.uint64)
                     known.append((own, np.full(len(own), -1) if counts is None else np.frombuffer(counts, np.int64), np.frombuffer(logs)))
                 else:
-                    asked.append((np.frombuffer(hashes, np.uint64), np.frombuffer(rows, np.int64)))
+                    asked.append((_unpack_column(hashes, np.uint64, True), _unpack_column(rows, np.int64)))
         if not asked:
             return
         keys, counts, logs = (np.concatenate(x) for x in zip(*known, strict=True))
