@@ -138,13 +138,14 @@ def count(posts: DataFrame, scan: Scan) -> Counts:
     the seeds one more, one for each of its tags, and one for each tag with its only artist. What a
     group stands for is told by the least place, which is known after the aggregate only, so tags, totals and
     artists share its exchange."""
-    rows = in_windows(posts, scan)
     priority = F.create_map(*(F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)))
     none = F.lit(None).cast("string")
     item = lambda tag, solo, place: F.struct(tag.alias("tag"), solo.alias("solo"), place.alias("place"))
-    named = F.transform("tags", lambda p: F.struct(p["tag"].alias("tag"), priority[p["category"]].alias("place")))
-    names = F.array_distinct(F.transform("tags", lambda p: p["tag"]))
-    tags = F.transform(names, lambda t: item(t, none, F.array_min(F.transform(F.filter(named, lambda p: p["tag"] == t), lambda p: p["place"]))))
+    # tags stand in the order of their categories, so the first of equal ones has the least place
+    rows = in_windows(posts, scan).withColumn("names", F.col("tags.tag"))
+    first = F.filter("tags", lambda p, i: F.array_position("names", p["tag"]) == i + 1)
+    names = F.array_distinct("names")
+    tags = F.transform(first, lambda p: item(p["tag"], none, priority[p["category"]]))
     listed = F.concat(F.array(item(none, none, F.lit(MATCHED))), tags)
     if scan.artists:
         pairs = F.transform(names, lambda t: item(t, F.col("solo"), F.lit(PAIR)))
