@@ -21,6 +21,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def source_bytes(df: DataFrame) -> int:
+    """The length of all files that a frame is read from; 0 where there are none. What is made of the frame is split by it."""
+    conf, total = df.sparkSession._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def read_posts(spark: SparkSession, *paths: str) -> DataFrame:
     """The union of the paths that exist, each conformed; FileNotFoundError if none does."""
     found = [p for p in paths if _exists(spark, p)]

@@ -36,9 +36,11 @@ from tagloom.functions.text import date_unit, spaced_tags, tag_array, wildcard_p
 from tagloom.model import POSTS_SCHEMA
 from tagloom.operators.search import SearchSpec, first_of_file, ordered
 from tagloom.plans.query import Term, parse
-from tagloom.sources.posts import conform
+from tagloom.sources.posts import conform, source_bytes
 
 BLOCK_ROWS, MOST, RANGES = 20_000, 10_000, 64
+#: Of the files that posts are read from, for each range that is written; bits of a block's number within its range.
+PART_BYTES, RANGE_BITS = 8 << 20, 20
 OTHER, NONE = "other", "none"
 START, END = "\x02", "\x03"
 CLUSTER = ("tag_string_copyright", "tag_string_character", "tag_string_artist", "id")
@@ -84,18 +86,24 @@ class PostStore:
 
     @staticmethod
     def write(posts: DataFrame, path: str, *, block_rows: int = BLOCK_ROWS, parts: int | None = None, most: int = MOST) -> PostStore:
-        """Store posts below a new folder. ``parts``: how many ranges of posts are written side by side."""
+        """Store posts below a new folder. ``parts``: how many ranges of posts are written side by side, by default as
+        many as shuffles have, or one for each PART_BYTES of the posts' files if those are more: a range is sorted
+        in one task, and one that grows with the input would spill."""
         spark, path = posts.sparkSession, path.rstrip("/")
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(posts) // PART_BYTES))
         words, tags = tag_array(F.col("tag_string")), spaced_tags(F.col("tag_string"))
-        rows = conform(posts).withColumn("tags", tags).withColumn("words", F.when(words != tags, words)).withColumn("month", month_of(F.col("created_at")))
+        rows = conform(posts).withColumn("month", month_of(F.col("created_at")))
         placed = rows.repartitionByRange(parts, "month", *CLUSTER).sortWithinPartitions("month", *CLUSTER)
+        placed = placed.withColumn("tags", tags).withColumn("words", F.when(words != tags, words))  # neither shuffled nor sorted
         number = F.monotonically_increasing_id()  # the range's number, and the row's within it
-        block = F.shiftleft(F.shiftright(number, 33), 20) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
+        block = F.shiftleft(F.shiftright(number, 33), RANGE_BITS) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)
         placed.withColumn("block", block.cast("long")).select(*STORED.fieldNames()).write.partitionBy("month").option("parquet.block.row.count.limit", block_rows).parquet(f"{path}/posts")
         stored = spark.read.schema(STORED).parquet(f"{path}/posts")
         every = F.when(F.col("words").isNull(), F.col("tags")).otherwise(F.array_union("tags", "words"))
-        lies = stored.select(F.explode(every).alias("tag"), "month", F.col("_metadata.file_name").alias("file"), "block").distinct()
+        span = F.shiftright("block", RANGE_BITS).alias("span")
+        files = stored.select("month", span, F.col("_metadata.file_name").alias("file")).distinct()  # few: names come last
+        lies = stored.select(F.explode(every).alias("tag"), "month", "block").distinct().select("*", span)
+        lies = lies.join(F.broadcast(files), ["month", "span"]).select("tag", "month", "file", "block")
         lies.repartitionByRange(parts, "tag").sortWithinPartitions("tag", "month", "block").write.options(**_findable("tag")).parquet(f"{path}/index")
         found = stored.select(F.explode(F.array_distinct(F.coalesce("words", "tags"))).alias("word")).groupBy("word").agg(F.count("*").alias("posts"))
         found.write.parquet(f"{path}/words")
