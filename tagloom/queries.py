@@ -128,8 +128,12 @@ SORTED = {
 
 @query("sort_orders", " union all ".join(f"select * from (select '{name}' as ord, id from posts where contains({PAD}, ' brand_24 ') order by {by} limit 4)" for name, by in SORTED.items()))
 def sort_orders(spark: SparkSession, d: str) -> DataFrame:
-    found = [search.search(posts(spark, d), SearchSpec(f"brand_24 order:{name}")).limit(4).select(F.lit(name).alias("ord"), "id") for name in SORTED]
-    return reduce(DataFrame.unionByName, found)
+    """One search, whose result is written and then put into each order."""
+    specs = {name: SearchSpec(f"brand_24 order:{name}") for name in SORTED}
+    found = search.matching(posts(spark, d), specs["id"]).select("id", "score", "fav_count", "created_at")
+    found = sinks.through_parquet(found, sinks.scratch(spark))
+    first = [search.ordered(found, *spec.order()).limit(4).select(F.lit(name).alias("ord"), "id") for name, spec in specs.items()]
+    return reduce(DataFrame.unionByName, first)
 
 
 @query("tag_counts_raw", "select tag, count(*) as count from (select unnest(string_split(case when id % 9 = 0 then '' when id % 7 = 0 then replace(tag_string, 'promo', ' ') else tag_string end, ' ')) as tag from posts where tag_string is not null) group by tag")
