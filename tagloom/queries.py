@@ -150,8 +150,9 @@ def tag_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tag_map_exact_top", f"{OCCURRENCES} select tag, category, count from ({TAG_MAP}) order by count desc, tag limit 40")
 def tag_map_exact_top(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent tags without counting the others."""
-    return tags.most_frequent(tags.occurrences(posts(spark, d)), 40, 4096)
+    """The most frequent tags without counting the others; the three passes read the posts' tags from files."""
+    held = posts(spark, d).select(*(f"tag_string_{c}" for c in CATEGORIES))
+    return tags.most_frequent(tags.occurrences(sinks.through_parquet(held, sinks.scratch(spark))), 40, 4096)
 
 
 RELATED = OCCURRENCES.replace("from posts", f"from near").replace("with o as", f"with near as (select * from posts where contains({PAD}, ' nation_9 ')), o as")
