@@ -91,6 +91,30 @@ def count(posts: DataFrame, min_posts: int = 1000) -> Counts:
     return from_each(each, every, min_posts)
 
 
+def counted(posts: DataFrame) -> DataFrame:
+    """(tag, place, doy, ym, n) of distinct posts in one aggregate: occurrences of tags, and in rows without tag and place the
+    posts themselves. To be written where several tables follow from it, which would each read the posts again."""
+    once = distinct_posts(posts.select("id", "md5", "created_at", *(column_of(c) for c in CATEGORIES)))
+    return counted_once(once)
+
+
+def counted_once(once: DataFrame) -> DataFrame:
+    """As counted(), of posts that are distinct."""
+    doy = day_of_leap_year(F.col("created_at"))
+    none = F.lit(None).cast("string")
+    listed = F.concat(F.array(F.struct(none.alias("tag"), none.alias("category"))), by_category())
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("t.category")).cast("int")
+    rows = once.select(doy.alias("doy"), year_month(F.col("created_at")).alias("ym"), F.explode(listed).alias("t"))
+    month = F.when(F.col("doy").isNotNull(), F.col("ym")).alias("ym")
+    return rows.groupBy(F.col("t.tag").alias("tag"), place.alias("place"), "doy", month).agg(F.count("*").alias("n"))
+
+
+def parts_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """counted() as rows (tag, place, doy, ym, n) of tags and (ym, n) of dated posts."""
+    every = counts.where("tag is null and doy is not null").groupBy("ym").agg(F.sum("n").alias("n"))
+    return counts.where("tag is not null"), every
+
+
 def from_each(each: DataFrame, every: DataFrame, min_posts: int = 1000) -> Counts:
     """Counts from rows (tag, place, doy, ym, n), which may repeat, and (ym, n) of all posts; place is the
     category's, from 1."""

@@ -391,8 +391,9 @@ query("seasonality_heat_levels", f"{_peaks_sql(SPEC)}, h as (select cast(d as in
 
 @query("seasonality_kept", f"{_peaks_sql(SPEC)} select * from peaks")
 def seasonality_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks of counts that were saved and loaded again."""
-    counts, folder = _season(spark, d), sinks.scratch(spark)
+    """Peaks of counts that were saved and loaded again; all tables that are saved follow from one count."""
+    written = sinks.through_parquet(seasonality.counted(posts(spark, d)), sinks.scratch(spark))
+    counts, folder = seasonality.from_each(*seasonality.parts_of(written), LEAST), sinks.scratch(spark)
     sinks.save_tables({name: getattr(counts, name) for name in seasonality.CACHE}, folder, "posts")
     return rounded(seasonality.peaks(seasonality.Counts.of(**sinks.load_tables(spark, folder, seasonality.CACHE, "posts")), SPEC))
 
