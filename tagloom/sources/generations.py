@@ -71,6 +71,11 @@ class Generations:
     def path(self, generation: str, table: str) -> str:
         return f"{self.root}/{generation}/{table}"
 
+    def drop(self, generation: str, table: str) -> None:
+        """Delete a table that was written on the way to others."""
+        fs, path = self._fs(self.path(generation, table))
+        fs.delete(path, True)
+
     def commit(self, generations: list[str], key: str | None = None, after: int | None = None) -> int:
         """Make these the generations that count; ``after`` is the number of the manifest they follow on."""
         before = self.current()

@@ -20,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import day_of_leap_year, year_month
 from tagloom.model import CATEGORIES, column_of
 from tagloom.operators import seasonality
-from tagloom.operators.tags import by_category
+from tagloom.sources import sinks
 from tagloom.sources.generations import Generations
 from tagloom.sources.posts import conform
 
@@ -45,7 +44,8 @@ class CountStore:
         return self.spark.read.schema(SCHEMAS[name]).parquet(*(self.kept.path(g, name) for g in generations))
 
     def add(self, posts: DataFrame) -> None:
-        """Count an arrival; only its posts and the keys of earlier ones are read."""
+        """Count an arrival; only its posts and the keys of earlier ones are read. The posts are read three times, so a costly
+        query should be written first. What is counted is written once, and both tables follow from it."""
         now, made = self.kept.current(), self.kept.new()
         key = post_key()
         hashed = F.md5(key.cast("binary"))
@@ -56,13 +56,11 @@ class CountStore:
         keys.join(self._table("seen", now["generations"]), ["high", "low"], "left_anti").write.parquet(self.kept.path(made, "seen"))
         fresh = named.join(self._table("seen", [made]), ["high", "low"], "left_semi").unionByName(named.where("high is null"))
         once = seasonality.distinct_posts(fresh.drop("high", "low"))
-        doy = day_of_leap_year(F.col("created_at"))
-        place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("t.category")).cast("int")
-        month = F.when(doy.isNotNull(), year_month(F.col("created_at")))
-        tags = once.select(doy.alias("doy"), month.alias("ym"), F.explode(by_category()).alias("t"))
-        tags.groupBy(F.col("t.tag").alias("tag"), place.alias("place"), "doy", "ym").agg(F.count("*").alias("n")).write.parquet(self.kept.path(made, "tags"))
-        dated = once.where(doy.isNotNull()).groupBy(year_month(F.col("created_at")).alias("ym")).agg(F.count("*").alias("n"))
+        written = self.kept.path(made, "counted")
+        tags, dated = seasonality.parts_of(sinks.through_parquet(seasonality.counted_once(once), written))
+        tags.write.parquet(self.kept.path(made, "tags"))
         dated.write.parquet(self.kept.path(made, "months"))
+        self.kept.drop(made, "counted")
         self.kept.commit([*now["generations"], made], after=now["number"])
 
     def compact(self) -> None:
