@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.plans.query import Term, parse
+from tagloom.sources.posts import source_bytes
 
+BUCKET_BYTES = 32 << 20
 SORTS = {"Score": "score", "Favorites": "fav_count", "Date": "created_at"}
 
 
@@ -60,8 +62,12 @@ def first_of_file(posts: DataFrame) -> DataFrame:
 
 
 def write_by_file(posts: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
-    """Keep posts as a table bucketed by md5, and return it: its posts of one file lie in one bucket."""
-    posts.write.bucketBy(buckets, "md5").sortBy("md5", "id").option("path", path).mode("overwrite").saveAsTable(table)
+    """Keep posts as a table bucketed by md5, and return it: its posts of one file lie in one bucket. A bucket is read by
+    one task, so there are more than ``buckets`` where the posts' files are longer than BUCKET_BYTES for each. Posts are dealt by bucket
+    before, so a task writes one file; those without md5 stay dealt by id, or one task would sort them all."""
+    buckets = max(buckets, -(-source_bytes(posts) // BUCKET_BYTES))
+    dealt = posts.repartition(buckets, F.coalesce("md5", F.col("id").cast("string")))
+    dealt.write.bucketBy(buckets, "md5").sortBy("md5", "id").option("path", path).mode("overwrite").saveAsTable(table)
     return posts.sparkSession.table(table)
 
 
