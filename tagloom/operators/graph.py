@@ -69,7 +69,8 @@ def edge_counts(posts: DataFrame, chosen: DataFrame) -> DataFrame:
         own = tag_array(F.col("tag_string"))
     else:
         own = F.flatten(F.array(*(tag_array(F.col(column_of(c))) for c in CATEGORIES if column_of(c) in posts.columns)))
-    rows = posts.select(F.sort_array(F.array_intersect(own, F.map_keys(_sizes(chosen)))).alias("t")).where(F.size("t") >= 2)
+    # a generator, since uses of its column don't compute the array again
+    rows = posts.select(F.explode(F.array(F.sort_array(F.array_intersect(own, F.map_keys(_sizes(chosen)))))).alias("t")).where(F.size("t") >= 2)
     first = rows.select(F.posexplode("t").alias("i", "a"), "t")
     pairs = first.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("count"))
@@ -113,7 +114,8 @@ def labelled(sized: DataFrame, focus: str = "") -> DataFrame:
 
 def edge_weights(drawn: DataFrame) -> DataFrame:
     """drawn with ``weight``, 0 to 1: 0.55 of the scaled count and 0.45 of the strength."""
-    low, high = drawn.agg(F.min("count")).scalar(), drawn.agg(F.max("count")).scalar()
+    every = Window.partitionBy()  # a graph's few edges; two subqueries would count them twice more
+    low, high = F.min("count").over(every), F.max("count").over(every)
     scaled = F.when(high > low, (F.col("count") - low) / F.greatest(F.lit(1.0), (high - low).cast("double"))).otherwise(1.0)
     mixed = scaled * 0.55 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), "strength")) * 0.45
     return drawn.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed)))
@@ -126,6 +128,7 @@ def stronger(drawn: DataFrame, percent: float) -> DataFrame:
 def named(chosen: DataFrame, drawn: DataFrame, text: str) -> DataFrame:
     """The nodes whose name contains a text, and their neighbours."""
     hits = chosen.where(F.contains(F.lower("tag"), F.lit(text.lower()))).select("tag")
-    both = drawn.select(F.col("a").alias("tag"), F.col("b").alias("other")).unionByName(drawn.select(F.col("b").alias("tag"), F.col("a").alias("other")))
+    way = lambda x, y: F.struct(F.col(x).alias("tag"), F.col(y).alias("other"))
+    both = drawn.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
     near = both.join(F.broadcast(hits), "tag", "left_semi").select(F.col("other").alias("tag"))
     return chosen.join(F.broadcast(hits.unionByName(near).distinct()), "tag", "left_semi")

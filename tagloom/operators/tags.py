@@ -56,7 +56,9 @@ def all_tags(posts: DataFrame, n_posts: int | None = None) -> DataFrame:
     coverage is the count in percent of the posts and may exceed 100. Frames without
     category columns are counted by tag_string, as unknown."""
     pairs = posts.select(F.explode(labelled_tags(posts)).alias("p")).select("p.tag", "p.category")
-    counts = pairs.groupBy("tag").agg(F.count("*").alias("count"), F.min("category").alias("low"), F.max("category").alias("high"))
+    # in two steps: the least of a string needs a sort, which is then of the few counts and not of all occurrences
+    each = pairs.groupBy("tag", "category").agg(F.count("*").alias("n"))
+    counts = each.groupBy("tag").agg(F.sum("n").alias("count"), F.min("category").alias("low"), F.max("category").alias("high"))
     category = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(MIXED)
     total = posts.agg(F.count("*")).scalar() if n_posts is None else F.lit(n_posts)
     return counts.select("tag", category.alias("category"), "count", (F.col("count") / F.greatest(F.lit(1), total) * 100.0).alias("coverage"))

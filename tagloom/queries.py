@@ -445,13 +445,27 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(posts(spark, d), N)
 
 
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and the counts of their pairs. Nodes are found in one pass over the posts' tags and pairs in a second, so
+    the tags are written once; the nodes, which every part of a graph asks for, are settled."""
+    made = posts(spark, d).select(*(f"tag_string_{c}" for c in CATEGORIES), "tag_string")
+    every = sinks.through_parquet(made, sinks.scratch(spark))
+    chosen = graph.settled(graph.nodes(every, N))
+    return chosen, graph.edge_counts(every, chosen)
+
+
+def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chosen, counts = _pairs(spark, d)
+    return chosen, graph.edges(counts, chosen, 3, N)
+
+
 query("bubble_nodes", f"{NODES} select * from nodes")(lambda spark, d: rounded(_nodes(spark, d)))
 query("bubble_nodes_focus", f"{FOCUS} select * from nodes")(lambda spark, d: rounded(graph.nodes(posts(spark, d), N, "old_rod", LIMITED)))
 query("bubble_edges", f"{NODES}, {PAIRS} select a, b, p.count, round(p.count * 1.0 / least(x.count, y.count), 6) as strength from pairs p join nodes x on a = x.tag join nodes y on b = y.tag where p.count >= 3 order by p.count desc, p.count * 1.0 / least(x.count, y.count) desc, a, b limit 125")(
-    lambda spark, d: rounded(graph.edges(graph.edge_counts(posts(spark, d), n := _nodes(spark, d)), n, 3, N))
+    lambda spark, d: rounded(_drawn(spark, d)[1])
 )
 query("bubble_degree", f"{NODES}, {PAIRS} select nodes.tag, count(a) as degree from nodes left join (select * from pairs where count >= 900) p on tag in (a, b) group by 1")(
-    lambda spark, d: graph.degrees(graph.edge_counts(posts(spark, d), n := _nodes(spark, d)), n, 900)
+    lambda spark, d: graph.degrees((found := _pairs(spark, d))[1], found[0], 900)
 )
 query("bubble_radius", f"{NODES}, b as (select sqrt(min(count)) as lo, sqrt(max(count)) as hi from nodes) select tag, round(case when hi <= lo then 37.0 else 18 + (sqrt(count) - lo) / greatest(0.0001, hi - lo) * 38 end, 6) as radius from nodes, b")(
     lambda spark, d: rounded(graph.radii(_nodes(spark, d)).select("tag", "radius"))
@@ -463,11 +477,6 @@ query("bubble_labels", f"{NODES}, b as (select sqrt(min(count)) as lo, sqrt(max(
 DRAWN = f"{NODES}, {PAIRS}, drawn as (select a, b, p.count, p.count * 1.0 / least(x.count, y.count) as strength from pairs p join nodes x on a = x.tag join nodes y on b = y.tag where p.count >= 3 order by p.count desc, strength desc, a, b limit 125)"
 
 
-def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    every, chosen = posts(spark, d), _nodes(spark, d)
-    return chosen, graph.edges(graph.edge_counts(every, chosen), chosen, 3, N)
-
-
 query("bubble_weights", f"{DRAWN}, e as (select min(count) as lo, max(count) as hi from drawn) select a, b, round(least(1.0, greatest(0.0, case when hi > lo then (count - lo) / greatest(1.0, hi - lo) else 1.0 end * 0.55 + least(1.0, greatest(0.0, strength)) * 0.45)), 6) as weight from drawn, e")(
     lambda spark, d: rounded(graph.edge_weights(_drawn(spark, d)[1]).select("a", "b", "weight"))
 )

@@ -38,10 +38,12 @@ def _aggregates(sql: str, spelling: str) -> str:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are dealt by order before they are grouped: a partial aggregate in front of the shuffle would meet each
-    order once, sort all lines and move six arrays for each."""
+    order once, sort all lines and move six arrays for each. An order's lines are one set, whose columns are told
+    apart in the order's row; six sets would each be filled, written and sorted."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     dealt = _VIEW.replace("select l_orderkey k,", "select /*+ repartition(k) */ l_orderkey k,")
-    return conform(spark.sql(_aggregates(dealt, "array_join(array_sort(collect_set({c})), ' ')"), **tables))
+    grouped = dealt.replace("count(*) n from li group by k", "n from (select k, collect_set(struct(artist, ch, ty, br, fl, snat)) line, count(*) n from li group by k)")
+    return conform(spark.sql(_aggregates(grouped, "array_join(sort_array(array_distinct(line.{c})), ' ')"), **tables))
 
 
 def posts_sql() -> str:

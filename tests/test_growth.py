@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import queries
-from tagloom.operators import explosion, search, seasonality
+from tagloom.operators import explosion, search, seasonality, tags
 from tagloom.sources import posts as sources
 from tagloom.sources import stored, upkeep
 from tagloom.testing.posts_view import posts
@@ -72,6 +72,24 @@ def test_posts_are_made_once(spark, name):
     assert runs_over_lines(spark) == before + 1 and "lineitem.parquet" not in plan
 
 
+@pytest.mark.parametrize("name", ["bubble_edges", "bubble_degree", "bubble_weights", "bubble_stronger", "bubble_named"])
+def test_a_graph_makes_its_posts_once(spark, name):
+    """Nodes and pairs are two passes over tags that were written in one."""
+    before = runs_over_lines(spark)
+    plan = plan_of(queries.QUERIES[name](spark, DATA))
+    assert runs_over_lines(spark) == before + 1 and "lineitem.parquet" not in plan
+    assert plan.count("FileScan parquet") <= 1
+
+
+def test_occurrences_of_tags_are_not_sorted(few):
+    """Only the counts are, of which each tag has one for each category and task."""
+    plan = plan_of(tags.all_tags(few))
+    assert "SortAggregate" not in plan.rpartition("Exchange hashpartitioning(tag")[2]
+    double = few.select("id", "md5", F.lit("x y").alias("tag_string_artist"), F.lit("y").alias("tag_string_meta"))
+    found = {r["tag"]: (r["category"], r["count"]) for r in tags.all_tags(double).collect()}
+    assert found == {"x": ("artist", few.count()), "y": ("mixed", 2 * few.count())}
+
+
 def test_counts_in_one_aggregate(few):
     tags, every = seasonality.parts_of(seasonality.counted(few))
     one, other = seasonality.from_each(tags, every, 5), seasonality.count(few, 5)
