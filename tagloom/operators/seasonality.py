@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import color_of, day_of_leap_year, glob_pattern, leap_label, year_month
@@ -150,12 +150,15 @@ def with_windows(tags: DataFrame, width: int) -> DataFrame:
         raise ValueError(f"a window has 1 to {DAYS} days")
     year = F.sequence(F.lit(0), F.lit(DAYS - 1))
     none = F.lit(0).cast("long")
-    held = tags.withColumn("_on", F.map_from_entries("days"))
-    held = held.withColumn("_each", F.transform(year, lambda d: F.when(F.map_contains_key("_on", d), F.try_element_at("_on", d)).otherwise(none)))
-    held = held.withColumn("_upto", F.aggregate("_each", F.array(none), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))))
+    # each running sum is repeated up to the next day with posts; looking every day up in the list would read it 366 times
+    held = tags.withColumn("_on", F.sort_array(F.filter("days", lambda x: x["doy"].between(0, DAYS - 1))))
+    held = held.withColumn("_sums", F.aggregate("_on", F.array(none), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x["n"]))))
+    held = held.withColumn("_ends", F.concat(F.array(F.lit(-1)), F.transform("_on", lambda x: x["doy"]), F.array(F.lit(DAYS))))
+    ends = F.col("_ends")
+    held = held.withColumn("_upto", F.flatten(F.transform("_sums", lambda n, i: F.array_repeat(n, ends[i + 1] - ends[i]))))
     upto = F.col("_upto")
     total = lambda d: F.when(d + width <= DAYS, upto[F.least(d + width, F.lit(DAYS))] - upto[d]).otherwise(upto[DAYS] - upto[d] + upto[F.greatest(d + (width - DAYS), F.lit(0))])
-    return held.withColumn("totals", F.transform(year, total)).drop("_on", "_each", "_upto")
+    return held.withColumn("totals", F.transform(year, total)).drop("_on", "_sums", "_ends", "_upto")
 
 
 def ahead(days: DataFrame, width: int) -> DataFrame:
@@ -198,7 +201,8 @@ def peaks(counts: Counts, spec: PeakSpec = PeakSpec()) -> DataFrame:
     spiked = F.size(F.filter("_each", lambda n: n >= F.col("_most") * 0.1)).cast("long")
     lasting = near.where("_sum > 0").select("tag", "category", "best_doy", "score", "peak_posts", "bg_avg", "total_posts", F.inline(F.array(F.struct((F.col("_most") / F.col("_sum")).alias("part"), spiked.alias("years_spiked")))))
     lasting = lasting.where((F.col("part") <= spec.max_peak_share) & (F.col("years_spiked") >= spec.min_recurrence))
-    return lasting.select(
+    # dealt once more, few rows by then and not by tag as before: the sort first takes a sample of what it sorts, which would find all peaks twice
+    return lasting.repartition("score").select(
         "tag", "category", color_of(F.col("category")).alias("color"), leap_label(F.col("best_doy") + w // 2).alias("peak_date"), "best_doy", F.lit(w).alias("w"), "score",
         "peak_posts", "bg_avg", (F.col("part") * 100.0).alias("max_peak_share"), "years_spiked", "total_posts",
     ).orderBy(F.desc("score"), "tag")
@@ -214,7 +218,8 @@ def heat(found: DataFrame) -> DataFrame:
 
 def heat_levels(days: DataFrame, column: str = "tags") -> DataFrame:
     """days with ``level``, 0 to 1 on a logarithmic scale between the least and the most."""
-    low, high = days.agg(F.min(column)).scalar(), days.agg(F.max(column)).scalar()
+    every = Window.partitionBy()  # a year's days; two subqueries would find their peaks twice more
+    low, high = F.min(column).over(every), F.max(column).over(every)
     above = F.log1p((F.col(column) - low).cast("double")) / F.log1p((high - low).cast("double"))
     return days.withColumn("level", F.when((high <= low) | (F.col(column) <= low), 0.0).otherwise(above))
 

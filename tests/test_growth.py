@@ -90,6 +90,25 @@ def test_occurrences_of_tags_are_not_sorted(few):
     assert found == {"x": ("artist", few.count()), "y": ("mixed", 2 * few.count())}
 
 
+@pytest.mark.parametrize("name", ["seasonality_peaks", "seasonality_heat", "seasonality_heat_levels", "seasonality_on_day"])
+def test_peaks_are_found_once(spark, name):
+    """The posts are read once, and a sort samples peaks that were dealt, not the search for them."""
+    plan = plan_of(queries.QUERIES[name](spark, DATA))
+    assert plan.count("lineitem.parquet") == 1
+    if "Exchange rangepartitioning(score" in plan:
+        dealt = plan[plan.index("Exchange rangepartitioning(score") :]
+        assert dealt.index("REPARTITION_BY_COL") < dealt.index("Generate")
+
+
+def test_windows_without_looking_up_each_day(spark):
+    rows = [("a", d, n) for d, n in ((0, 3), (5, 1), (364, 2), (365, 4))] + [("b", 100, 7)]
+    counted = spark.createDataFrame(rows, "tag string, doy int, n long")
+    found = seasonality.ahead(counted, 7)
+    assert "map_contains_key" not in plan_of(found) and "map_from_entries" not in plan_of(found)
+    want = {(t, d): sum(n for tag, doy, n in rows if tag == t and (doy - d) % 366 < 7) for t in "ab" for d in range(366)}
+    assert {(r["tag"], r["doy"]): r["total"] for r in found.collect()} == want
+
+
 def test_counts_in_one_aggregate(few):
     tags, every = seasonality.parts_of(seasonality.counted(few))
     one, other = seasonality.from_each(tags, every, 5), seasonality.count(few, 5)
