@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -48,6 +49,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     that survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    give_back(df.sparkSession)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     on_the_way = _scope.get()
     if on_the_way is not None:
@@ -80,6 +82,27 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
     jvm.System.gc()
+    give_back(df.sparkSession)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let the driver, its JVM and this process, return native memory that it has freed. Every query's planning,
+    compiling and results leave some, which the C library keeps for each of the driver's hundreds of threads."""
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    lang, management = jvm.java.lang, jvm.javax.management
+    server, of = lang.management.ManagementFactory.getPlatformMBeanServer(), lang.Class.forName
+    kinds = gateway.new_array(lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(name)
+    asked = gateway.new_array(lang.Object, 4)
+    asked[0], asked[1] = management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # by the interface, as the server's class is not public
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, asked)
+    except Py4JJavaError:  # a JVM or C library without this command
+        pass
 
 
 def make_dir(spark: SparkSession, uri: str) -> None:

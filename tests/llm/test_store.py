@@ -1,6 +1,10 @@
 """Tables that operators write on the way."""
 
+import re
 import threading
+from pathlib import Path
+
+import pytest
 
 from tagloom.llm.store import finished, materialise
 
@@ -44,3 +48,23 @@ def test_inner_tables_go(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path
     there = [path(f).getFileSystem(conf).exists(path(f)) for t in seen for f in t.inputFiles()]
     assert made.count() == 10 and not any(there)
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux's own figures")
+def test_driver_gives_memory_back(spark):
+    """Memory that the driver's JVM has freed, below some that it still holds, goes back when a table is written."""
+    field = spark._jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    spans = [unsafe.allocateMemory(120_000) for _ in range(1500)]  # too small to be mapped alone
+    for at in spans:
+        unsafe.setMemory(at, 120_000, 1)
+    for at in spans[::2] + spans[1:-1:2]:
+        unsafe.freeMemory(at)
+    before = held()
+    materialise(spark.range(5), "small")
+    after = held()
+    unsafe.freeMemory(spans[-1])
+    assert before - after > 100, (before, after)
