@@ -11,8 +11,8 @@ n-gram's hash bucket was hit over all documents, then by hash.
 3. Candidates go in rounds. In a star round, every class that shares an n-gram is paired
    with the most central class that has it; links found then merge into components.
    The last round takes every pair of classes that share an n-gram of their heads and
-   are not yet in one component, unless sizes, positions or the sketches' distance (a
-   lower bound of the sets' difference) rule the link out. So no link between different
+   are not yet in one component. In every round sizes, positions and the sketches' distance
+   (a lower bound of the sets' difference) rule out pairs that can't link. So no link between different
    components is lost, and groups of near copies are not spelt out into all their pairs.
 4. The global order is cut into fragments. The overlap of a pair is counted in each
    fragment on its own and summed for each pair, so no task holds whole sets.
@@ -260,6 +260,27 @@ def _possible(n: Column, m: Column, left: Column, num: int, den: int) -> Column:
     return (num * F.greatest(n, m) <= den * F.least(n, m)) & (left * (num + den) >= num * (n + m))
 
 
+def _close(n: np.ndarray, m: np.ndarray, one: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes n and m may link by their sketches."""
+    apart = np.bitwise_count(one ^ other).sum(1, dtype=np.int64)
+    return (n + m - apart) // 2 * (num + den) >= num * (n + m)
+
+
+def _near(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+    of = lambda c: profile.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (4, 5))
+                yield batch.select(["a", "b"]).filter(pa.array(_close(n, m, one, other, num, den)))
+
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return met.mapInArrow(tidy(run), "a long, b long")
+
+
 def _star(rows: DataFrame, score: Column, num: int, den: int) -> DataFrame:
     """Pairs of each class with the first class by score that has the same n-gram."""
     hub = rows.groupBy("token").agg(F.max(F.struct(score.alias("score"), "class", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
@@ -303,9 +324,7 @@ def _rest(rows: DataFrame, profile: DataFrame, num: int, den: int, parts: int) -
             ok &= left * (num + den) >= num * (n + m)
             p, q = x[ok], y[ok]
             if len(p):
-                apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)
-                n, m = col["n"][p], col["n"][q]
-                near = (n + m - apart) // 2 * (num + den) >= num * (n + m)
+                near = _close(col["n"][p], col["n"][q], sketch[p], sketch[q], num, den)
                 p, q = col["class"][p[near]], col["class"][q[near]]
                 seen.append(np.stack((np.minimum(p, q), np.maximum(p, q)), 1))
                 if sum(map(len, seen)) > 1 << 20:
@@ -350,9 +369,9 @@ def _link(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", widt
         if turn == STAR_ROUNDS:
             pairs = _rest(rows, classes, num, den, parts)
         elif turn == 0:
-            pairs = _star(rows.join(share, "class"), F.col("share"), num, den)
+            pairs = _near(_star(rows.join(share, "class"), F.col("share"), num, den), classes, num, den)
         else:
-            pairs = _star(rows, F.xxhash64("class", F.lit(turn)), num, den)
+            pairs = _near(_star(rows, F.xxhash64("class", F.lit(turn)), num, den), classes, num, den)
         pairs = materialise(pairs, "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
         segments = materialise(_segments(df, id_col, text_col, width, asked.select("doc_id"), counts, cut, name_of), "segments")

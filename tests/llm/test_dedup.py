@@ -125,6 +125,22 @@ def test_jaccard_blocks_and_chains(spark, monkeypatch):
     assert {r["component_id"] for r in rows} == {0}
 
 
+def test_sketches_rule_out_stars(spark, monkeypatch):
+    """Two texts of common passages that alone share a rare one are no candidates in any round, so that
+    their n-grams are not moved; texts that link are."""
+    rng = random.Random(4)
+    passages = [[f"p{p}w{k}" for k in range(40)] for p in range(24)]
+    rare = [[f"r{p}w{k}" for k in range(60)] for p in range(7)]
+    texts = [(k, " ".join(sum(rng.sample(passages, 8), rare[k // 2]))) for k in range(12)]
+    last = sum(rng.sample(passages, 8), rare[6])
+    texts += [(100 + k, " ".join([*last, f"end{k}"])) for k in range(2)]
+    asked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    rows = jaccard.link(docs(spark, texts), width=4, num=85, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: k for k in range(12)} | {100: 100, 101: 100}
+    assert sum(asked) == 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 90), (90, 70), (7, 7), (50, 90)], "a long, b long")
     found = {r["node"]: r["comp"] for r in components(links).collect()}
