@@ -17,6 +17,7 @@ from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 #: The tables that the innermost finished() of this thread deletes.
@@ -105,6 +106,15 @@ def give_back(spark: SparkSession) -> None:
         pass
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and return the heap that is free then. A heap that earlier tasks
+    have grown is kept otherwise, beside the Python workers that need memory now. There is a task for each core, which
+    a scheduler deals to all executors; one that gets none keeps its heap."""
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 def make_dir(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tagloom.llm import decontaminate, packing, quality, queries
@@ -95,3 +96,16 @@ def test_pipeline_against_plain_python(spark, tmp_path):
             assert start == at and tokens == size
             at += length
         assert at == size
+
+
+def test_every_stage_first_has_heaps_given_back(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def ask(_):
+        raise Asked
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_heaps", ask)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Asked):
+            stage(spark, None, "")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from tagloom.llm.store import finished, materialise
+from tagloom.llm.store import finished, give_back_heaps, materialise
 
 
 def test_operators_side_by_side(spark):
@@ -68,3 +68,11 @@ def test_driver_gives_memory_back(spark):
     after = held()
     unsafe.freeMemory(spans[-1])
     assert before - after > 100, (before, after)
+
+
+def test_executors_give_their_heap_back(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = whole()
+    give_back_heaps(spark)
+    assert whole() > before
