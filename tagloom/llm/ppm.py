@@ -392,12 +392,17 @@ def _suffix(window: np.ndarray, parts: int) -> np.ndarray:
     return (textops.mix(window >> _STEP & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int32)
 
 
+def _inner_events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """events() of distinct words, those only whose contexts lie inside the word."""
+    padded, places, depth, owner = events(words)
+    inner = depth >= CROSS
+    return padded, places[inner], depth[inner], owner[inner]
+
+
 def _word_events(words: Words) -> np.ndarray:
     """The events of distinct words whose contexts lie inside the word; line feeds stand for what
     is before it."""
-    padded, places, depth, owner = events(words)
-    inner = depth >= CROSS
-    places, depth, owner = places[inner], depth[inner], owner[inner]
+    padded, places, depth, owner = _inner_events(words)
     window = padded[places].astype(np.uint64)
     for j in range(1, ORDER + 1):
         window |= np.where(depth >= j, padded[places - j], 10).astype(np.uint64) << np.uint64(8 * j)
@@ -433,8 +438,9 @@ class Common:
         return [tuple(column[some] for column in self.two), self.short]
 
 
-def _common(events_: DataFrame) -> Common:
-    """The contexts that every part needs, from the events' and windows' last four bytes."""
+def _common(vocabulary: DataFrame, windows: DataFrame) -> Common:
+    """The contexts that every part needs, from the last four bytes of the words' inner events and of windows.
+    The events are made for this alone, since a table of them would lie beside the shuffle that deals them."""
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.uint64), np.empty(0))
@@ -444,10 +450,16 @@ def _common(events_: DataFrame) -> Common:
             return _grouped(np.concatenate([w for w, _ in waiting]), np.concatenate([n for _, n in waiting]))[:2]
 
         for batch in batches:
-            for inner, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = _unpacked(inner, EVENT) if blob is None else _unpacked(blob, WINDOW)
-                rows = rows[rows["weight"] > 0]
-                waiting.append(_grouped(rows["window"] & np.uint64(0xFFFFFFFF), rows["weight"])[:2])
+            for blob, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if blob is None:
+                    words = Words.of(*row)
+                    padded, places, _, owner = _inner_events(words)
+                    last, weight = sum(padded[places - j].astype(np.uint64) << np.uint64(8 * j) for j in range(4)), words.counts[owner]
+                else:
+                    rows = _unpacked(blob, WINDOW)
+                    last, weight = rows["window"] & np.uint64(0xFFFFFFFF), rows["weight"]
+                taught = weight > 0
+                waiting.append(_grouped(last[taught], weight[taught])[:2])
                 size += len(waiting[-1][0])
                 if size > 4 * FLUSH:
                     waiting = [merged()]
@@ -456,7 +468,10 @@ def _common(events_: DataFrame) -> Common:
         for i in range(0, len(window), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(window[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["window", "n"])
 
-    four = events_.select("rows", "windows").mapInArrow(tidy(short), "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("binary")
+    words = ("hashes", "counts", "sizes", "data")
+    both = vocabulary.select(none.alias("windows"), *words).unionByName(windows.select("windows", *(none.alias(c) for c in words)))
+    four = both.mapInArrow(tidy(short), "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
     three = four.groupBy(F.expr("window & 16777215").alias("window")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     window, n, kinds = (three[c].to_numpy() for c in ("window", "n", "kinds"))
     return Common(window.astype(np.uint64), n, kinds)
@@ -569,10 +584,10 @@ def _answers(vocabulary: DataFrame, windows: DataFrame, parts: int) -> DataFrame
                 part, blobs = _dealt(rows, _suffix(rows["window"], parts))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([own] * len(part), pa.int32()), pa.array([block] * len(part), pa.int32()), pa.array(blobs, pa.binary())], ["part", "own", "block", "rows"])
 
-    inner = materialise(vocabulary.mapInArrow(tidy(ask), "part int, own int, block int, rows binary"), "events", compression="none")
+    inner = vocabulary.mapInArrow(tidy(ask), "part int, own int, block int, rows binary")
     none = lambda kind: F.lit(None).cast(kind)
     asked = inner.select("part", "own", "block", "rows", none("binary").alias("windows")).unionByName(windows.select("part", none("int").alias("own"), none("int").alias("block"), none("binary").alias("rows"), "windows"))
-    common = vocabulary.sparkSession.sparkContext.broadcast(_common(asked))
+    common = vocabulary.sparkSession.sparkContext.broadcast(_common(vocabulary, windows))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
     names = ["part", "block", "terms", "hashes", "weights", "logs", "often"]
 
@@ -614,9 +629,7 @@ def _answers(vocabulary: DataFrame, windows: DataFrame, parts: int) -> DataFrame
                 row = (int(to[c[0]]), None, None, hashes[c].tobytes(), weights[c].tobytes(), logs[c].tobytes(), often)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    made = materialise(asked.repartitionById(parts, F.col("part")).mapInArrow(tidy(answer), "part int, block int, terms binary, hashes binary, weights binary, logs binary, often array<long>"), "answers")
-    discard(inner)
-    return made
+    return materialise(asked.repartitionById(parts, F.col("part")).mapInArrow(tidy(answer), "part int, block int, terms binary, hashes binary, weights binary, logs binary, often array<long>"), "answers")
 
 
 def _frequent(rows: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -572,3 +572,18 @@ def test_pipeline(spark):
     nothing = docs_.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, SMALL).count() == 0
+
+
+def test_inner_events_are_not_written_beside_their_shuffle(spark, monkeypatch):
+    """What is dealt by contexts lies in the shuffle's files already; a table of it would be there twice."""
+    written = {}
+
+    def noted(df, name, **options):
+        written[name] = df.columns
+        return materialise(df, name, **options)
+
+    materialise = ppm.materialise
+    monkeypatch.setattr(ppm, "materialise", noted)
+    df = spark.createDataFrame([(i, "incomprehensible wordlengths " * 3 + str(i)) for i in range(20)], "doc_id long, text string")
+    assert ppm.score(df).count() == 20
+    assert written and not [name for name, columns in written.items() if {"block", "rows"} <= set(columns)]
